@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest"]
+SECTIONS = ["ingest", "universe"]
 
 
 def load() -> None:

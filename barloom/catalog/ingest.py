@@ -359,11 +359,11 @@ def _(t: Tables) -> DataFrame:
     sql(
         """SELECT symbol, open_time, open, high, low, close, volume, quote_volume, false AS filled FROM bars
            UNION ALL
-           SELECT symbol, open_time - (n + 1 - k) * 86400000, pc, pc, pc, pc, 0.0, NULL, true
+           SELECT symbol, open_time - (n + 1 - k) * 86400000::BIGINT, pc, pc, pc, pc, 0.0, NULL, true
            FROM (SELECT *, (gap // 86400000) - 1 AS n FROM (SELECT symbol, open_time, open_time - lag(open_time) OVER w AS gap,
                         lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time)))
              , unnest(range(1, n + 1)) AS u(k)
-           WHERE gap > 1.5 * 86400000 AND n BETWEEN 1 AND 3""",
+           WHERE gap > 1.5 * 86400000::BIGINT AND n BETWEEN 1 AND 3""",
         "bars",
     ),
 )

@@ -52,3 +52,35 @@ def running_sum_split(df: DataFrame, keys: list[str], order: list[str], values:
     local = staged.select("*", *[F.sum(src).over(inner).alias(f"_r_{name}") for name, src in values.items()])
     joined = local.join(offsets, part)
     return joined.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
+
+
+def asof_split(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    time: str,
+    values: list[str],
+    bucket: int,
+    strict: bool = True,
+) -> DataFrame:
+    """Backward as-of join: the last `right` row before (or at) each left time.
+
+    Both sides share the columns `keys` and `time`.  They are unioned and the
+    last right row is carried forward inside (keys, time bucket); one carried
+    row per bucket crosses bucket borders, so a hot key is spread over buckets.
+    """
+    packed = F.struct(*values)
+    side = 0 if strict else 1  # at equal times, right rows must sort after (strict) or before (not strict)
+    lhs = left.withColumn("_rank", F.lit(side)).withColumn("_pack", F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType))
+    rhs = right.select(*keys, time, F.lit(1 - side).alias("_rank"), packed.alias("_pack"))
+    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col(time) / F.lit(bucket)).cast("bigint"))
+    part = [*keys, "_chunk"]
+    inner = Window.partitionBy(*part).orderBy(time, "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = both.groupBy(*part).agg(
+        F.max_by("_pack", F.when(F.col("_pack").isNotNull(), F.struct(time, "_rank"))).alias("_last")
+    )
+    outer = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*part, F.last("_last", ignorenulls=True).over(outer).alias("_carry"))
+    local = both.withColumn("_seen", F.last("_pack", ignorenulls=True).over(inner)).where(F.col("_rank") == side)
+    hit = F.coalesce(F.col("_seen"), F.col("_carry"))
+    return local.join(carry, part).select(*left.columns, *[hit[v].alias(v) for v in values])

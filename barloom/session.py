@@ -30,6 +30,7 @@ def local_session(cores: int | str = 8, app: str = "barloom", memory: str = "16g
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.warehouse.dir", os.environ.get("BARLOOM_WAREHOUSE", "/tmp/barloom-warehouse"))
