@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest", "universe"]
+SECTIONS = ["ingest", "universe", "signals"]
 
 
 def load() -> None:

@@ -56,7 +56,7 @@ def sql(body: str, *deps: str, recursive: bool = False) -> str:
         visit(dep)
     if not ordered:
         return body
-    parts = ",\n".join(f"{name} AS ({CTES[name][1]})" for name in ordered)
+    parts = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name][1]})" for name in ordered)
     head = "WITH RECURSIVE " if recursive or any("UNION ALL -- recursive" in CTES[n][1] for n in ordered) else "WITH "
     body = body.strip()
     if body.upper().startswith("WITH "):

@@ -39,7 +39,7 @@ def feature_sql(f: tuple, part: str = PART) -> str:
 cte(
     "series",
     """SELECT *, ln(close / prev_close) AS lr, greatest(close - prev_close, 0.0::DOUBLE) AS up, greatest(prev_close - close, 0.0::DOUBLE) AS dn
-       FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS prev_close FROM idx)""",
+       FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS prev_close, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev_time FROM idx)""",
     "idx",
 )
 

@@ -25,10 +25,10 @@ def feature_name(f: Feature) -> str:
 
 
 def series(bars: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "open_time") -> DataFrame:
-    """Add bar_idx, prev_close, lr (log return), up and dn (absolute gains and losses)."""
+    """Add bar_idx, prev_close, prev_time, lr (log return), up and dn (absolute gains and losses)."""
     w = Window.partitionBy(*keys).orderBy(order)
-    staged = bars.withColumn("bar_idx", (F.row_number().over(w) - 1).cast("bigint")).withColumn(
-        "prev_close", F.lag("close").over(w)
+    staged = bars.withColumn("bar_idx", (F.row_number().over(w) - 1).cast("bigint")).withColumns(
+        {"prev_close": F.lag("close").over(w), "prev_time": F.lag(order).over(w)}
     )
     change = F.col("close") - F.col("prev_close")
     return staged.withColumns(
@@ -40,11 +40,6 @@ def series(bars: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "ope
     )
 
 
-def _filled(need: int, value: Column, through: int) -> Column:
-    """NULL until `need` bars lie inside the causal past."""
-    return F.when(F.col("bar_idx") + (1 + through) - 1 >= need, value)
-
-
 def feature_column(f: Feature, w: WindowSpec, through: int = -1) -> Column:
     """Column of one feature; `through` is the last bar used relative to the row."""
     kind, n = f[0], f[1]
