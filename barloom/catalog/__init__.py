@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest", "universe", "signals"]
+SECTIONS = ["ingest", "universe", "signals", "portfolio"]
 
 
 def load() -> None:

@@ -434,7 +434,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "pf_audit_positions",
     sql(
-        f"""SELECT cycle, symbol, qty, price, {r('qty * price', 'value', 6)}, {r('CASE WHEN NOT unmarked THEN qty * price / greatest(equity, 1e-9::DOUBLE) END', 'weight')},
+        f"""SELECT cycle, symbol, qty, price, {r('qty * price', 'value', 6)}, {r('CASE WHEN NOT unmarked THEN least(1000000.0::DOUBLE, qty * price / greatest(equity, 1e-9::DOUBLE)) END', 'weight')},
               {r('CASE WHEN NOT unmarked THEN equity END', 'equity', 6)} FROM cycles JOIN cycle_eq USING (cycle) WHERE abs(qty) > 1e-12""",
         "cycles",
         "cycle_eq",
@@ -442,7 +442,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     out = od.audit_positions(cycles(t))
-    return out.select("cycle", "symbol", "qty", "price", rd("value").alias("value"), rd("weight").alias("weight"), rd("equity").alias("equity"))
+    return out.select("cycle", "symbol", "qty", "price", rd("value").alias("value"), rd(F.when(F.col("weight").isNotNull(), F.least(F.lit(1e6), "weight"))).alias("weight"), rd("equity").alias("equity"))
 
 
 # ------------------------------------------------------------ accounting

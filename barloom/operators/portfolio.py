@@ -177,7 +177,7 @@ def weight_turnover(weights: DataFrame, timeline: DataFrame) -> DataFrame:
 
     Works on the sparse table: a row contributes its change against the
     previous calendar day, and its exit on the next one - no dense day x symbol
-    grid is built.  The first calendar day has nothing to compare with.
+    grid is built.  The first calendar day is compared with an empty book.
     """
     cal = timeline.withColumn("_d", F.row_number().over(Window.orderBy("day")))  # one row per calendar day
     w = Window.partitionBy("symbol").orderBy("_d")
@@ -190,4 +190,4 @@ def weight_turnover(weights: DataFrame, timeline: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct("_d", F.abs(F.col("weight") - before).alias("c")), F.struct((F.col("_d") + 1).alias("_d"), gone.alias("c")))).alias("m")
     ).select("m._d", "m.c")
     total = moves.groupBy("_d").agg((F.sum("c") / 2).alias("turnover"))
-    return cal.where("_d > 1").join(total, "_d", "left").select("day", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+    return cal.join(total, "_d", "left").select("day", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
