@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest", "universe", "signals", "portfolio"]
+SECTIONS = ["ingest", "universe", "signals", "portfolio", "walk"]
 
 
 def load() -> None:

@@ -81,6 +81,8 @@ def account(
     periods_per_year: int = 365,
     execution: str = "close",
     latency: int = 0,
+    idx: str = "bar_idx",
+    cost: Column | None = None,
 ) -> DataFrame:
     """Band-0 return stream: (keys, open_time, bar_idx, target) -> ret, cost, traded, w.
 
@@ -90,12 +92,12 @@ def account(
     w = Window.partitionBy(*keys).orderBy("open_time")
     held = F.col("weight") if latency == 0 else F.coalesce(F.lag("weight", latency).over(w), F.lit(0.0))
     if latency:
-        held = F.when(F.col("bar_idx") - latency >= 1, held).otherwise(F.lit(0.0))
-    staged = weighted.withColumn("w", F.when(F.col("bar_idx") >= 1, held).otherwise(F.lit(0.0)))
-    staged = staged.withColumn("w_prev", F.lag("w", 1, 0.0).over(w)).where("bar_idx >= 1")
+        held = F.when(F.col(idx) - latency >= 1, held).otherwise(F.lit(0.0))
+    staged = weighted.withColumn("w", F.when(F.col(idx) >= 1, held).otherwise(F.lit(0.0)))
+    staged = staged.withColumn("w_prev", F.lag("w", 1, 0.0).over(w)).where(F.col(idx) >= 1)
     legs = stream_return(
         F.col("w_prev"), F.col("w"), F.col("prev_close"), F.col("open"), F.col("close"),
-        F.lit(cost_rate), F.lit(rf_annual / periods_per_year), execution,
+        F.lit(cost_rate) if cost is None else cost, F.lit(rf_annual / periods_per_year), execution,
     )
     return staged.withColumns(legs)
 
