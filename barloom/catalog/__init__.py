@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest", "universe", "signals", "portfolio", "walk"]
+SECTIONS = ["ingest", "universe", "signals", "portfolio", "walk", "metrics", "inference"]
 
 
 def load() -> None:

@@ -17,8 +17,8 @@ def common_days(streams: DataFrame, series: str = "series_id") -> DataFrame:
     return streams.join(F.broadcast(full.select("day")), "day", "left_semi")
 
 
-def pair_moments(streams: DataFrame, tiles: int = 1) -> DataFrame:
-    """(a, b, n, sa, sb, saa, sbb, sab) of all unordered pairs of aligned series.
+def pair_moments(streams: DataFrame, tiles: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, a, b, n, sa, sb, saa, sbb, sab) of all unordered pairs of aligned series.
 
     Days are cut into blocks and series into `tiles` hash tiles; each task
     holds one block of two tiles as a dense matrix and emits one partial Gram
@@ -28,9 +28,9 @@ def pair_moments(streams: DataFrame, tiles: int = 1) -> DataFrame:
     tile = F.pmod(F.xxhash64("series_id"), F.lit(tiles)).cast("int")
     every = F.sequence(F.lit(0), F.lit(tiles - 1))
     rows = streams.select(
-        "series_id", "day", "ret", tile.alias("t"), F.explode(every).alias("o"),
+        *keys, "series_id", "day", "ret", tile.alias("t"), F.explode(every).alias("o"),
         F.floor(F.col("day") / F.lit(BLOCK_DAYS * 86_400_000)).alias("block"),
-    ).select("series_id", "day", "ret", "t", "block", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"))
+    ).select(*keys, "series_id", "day", "ret", "t", "block", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"))
 
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
@@ -45,13 +45,15 @@ def pair_moments(streams: DataFrame, tiles: int = 1) -> DataFrame:
         keep = (np.minimum(home[ii], home[jj]) == ti) & (np.maximum(home[ii], home[jj]) == tj)
         ii, jj = ii[keep], jj[keep]
         d = np.diag(prod)
-        return pd.DataFrame(
+        head = {k: pdf[k].iloc[0] for k in keys}
+        out = pd.DataFrame(
             {"a": names[ii], "b": names[jj], "n": len(x), "sa": s[ii], "sb": s[jj], "saa": d[ii], "sbb": d[jj], "sab": prod[ii, jj]}
         )
+        return out.assign(**head)[[*keys, *out.columns]]
 
-    schema = "a string, b string, n bigint, sa double, sb double, saa double, sbb double, sab double"
-    partial = rows.groupBy("block", "ti", "tj").applyInPandas(gram, schema)
-    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    schema = "".join(f"{k} {dict(streams.dtypes)[k]}, " for k in keys) + "a string, b string, n bigint, sa double, sb double, saa double, sbb double, sab double"
+    partial = rows.groupBy(*keys, "block", "ti", "tj").applyInPandas(gram, schema)
+    return partial.groupBy(*keys, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
 
 def correlation() -> Column:
@@ -64,5 +66,5 @@ def correlation() -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(cov / F.sqrt(va * vb))
 
 
-def pairwise_corr(streams: DataFrame, tiles: int = 1) -> DataFrame:
-    return pair_moments(streams, tiles).select("a", "b", "n", correlation().alias("rho"))
+def pairwise_corr(streams: DataFrame, tiles: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    return pair_moments(streams, tiles, keys).select(*keys, "a", "b", "n", correlation().alias("rho"))
