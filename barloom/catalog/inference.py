@@ -312,8 +312,8 @@ def _(t: Tables) -> DataFrame:
 # Normal distribution in SQL: the series phi(z) * sum z^(2k+1)/(2k+1)!! and Wichura's AS241 rational approximation (published coefficients).
 def cdf_sql(z: str) -> str:
     return (
-        f"(0.5::DOUBLE + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), k -> sign({z}) * exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) "
-        f"- ((k + 1) * ln(2.0::DOUBLE) + lgamma(k + 1.5::DOUBLE) - 0.5::DOUBLE * ln(pi()))))))"
+        f"(CASE WHEN ({z}) < -8 THEN 0.0::DOUBLE WHEN ({z}) > 8 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: sign({z}) * exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) "
+        f"- ((k + 1) * ln(2.0::DOUBLE) + lgamma(k + 1.5::DOUBLE) - 0.5::DOUBLE * ln(pi()))))) END)"
     )
 
 

@@ -51,7 +51,7 @@ def reality_check(streams: DataFrame, keys: Sequence[str], series: str, reps: in
         stat = F.sqrt(F.col("n").cast("double")) * m / F.col("sd0")
     else:
         var = (F.col("s2") - F.col("n") * m * m) / (F.col("n") - 1)
-        stat = F.when(var <= 1e-24, F.lit(0.0)).otherwise(m / F.sqrt(var) * float(ppy) ** 0.5)
+        stat = F.when(var <= 1e-10 * m * m, F.lit(0.0)).otherwise(m / F.sqrt(var) * float(ppy) ** 0.5)
     tops = sums.withColumn("stat", stat).groupBy(*keys, "rep").agg(F.max("stat").alias("top"))
     counted = tops.join(best, list(keys)).groupBy(*keys).agg(
         F.max("best").alias("best"), F.max("n_series").alias("n_series"), F.count(F.when(F.col("top") >= F.col("best"), 1)).alias("exceed"), F.count(F.lit(1)).alias("reps")

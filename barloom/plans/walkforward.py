@@ -126,7 +126,7 @@ def moment_stats(moments: DataFrame, setup: Setup) -> DataFrame:
     m2 = s2 / n - mean * mean
     m3 = s3 / n - 3 * mean * s2 / n + 2 * mean * mean * mean
     m4 = s4 / n - 4 * mean * s3 / n + 6 * mean * mean * s2 / n - 3 * mean * mean * mean * mean
-    flat = m2 <= 1e-24  # constant streams: cash only
+    flat = m2 <= 1e-10 * mean * mean  # constant streams: cash only
     sd = F.sqrt(m2 * n / (n - 1))
     score = F.when((n < 2) | flat, F.lit(0.0)).otherwise((mean - setup.rf / setup.ppy) / sd * F.lit(float(setup.ppy)) ** 0.5)
     out = moments.where("n >= 2").withColumns(
