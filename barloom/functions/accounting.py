@@ -65,12 +65,18 @@ def open_or_fallback(op: Column, previous_close: Column) -> Column:
 
 
 def stream_return(w0: Column, w1: Column, p0: Column, op: Column, p1: Column, cost: Column, rf: Column, execution: str) -> dict[str, Column]:
-    """ret / cost / traded (turnover in units of starting wealth) of one bar in a given execution mode."""
+    """ret / cost / traded (turnover in units of starting wealth) of one bar in a given execution mode.
+
+    `drag` is the return lost per unit of cost rate: with wealth growing by g
+    after the trade, ret(c) = wealth_open g - 1 - c turnover wealth_open g.
+    """
     if execution == "next_open":
         leg = transition(w0, w1, p0, open_or_fallback(op, p0), p1, cost, rf, "previous")
     else:
         leg = transition(w0, w1, p0, p0, p1, cost, rf, "target")
-    return {"ret": leg["ret"], "cost": leg["cost"], "traded": leg["turnover"] * leg["wealth_open"]}
+    growth = leg["wealth_close"] / leg["wealth_after_cost"]
+    traded = leg["turnover"] * leg["wealth_open"]
+    return {"ret": leg["ret"], "cost": leg["cost"], "traded": traded, "drag": traded * growth}
 
 
 def account(
@@ -99,7 +105,7 @@ def account(
         F.col("w_prev"), F.col("w"), F.col("prev_close"), F.col("open"), F.col("close"),
         F.lit(cost_rate) if cost is None else cost, F.lit(rf_annual / periods_per_year), execution,
     )
-    return staged.withColumns(legs)
+    return staged.withColumns({k: legs[k] for k in ("ret", "cost", "traded")})
 
 
 def hold_with_band(targets: DataFrame, keys: Sequence[str], band: Column | str = "band") -> DataFrame:

@@ -66,11 +66,12 @@ def fold_bounds(bars: DataFrame, folds: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ training
 
 
-def training_streams(features: DataFrame, pool: list[Spec], setup: Setup) -> DataFrame:
+def training_streams(features: DataFrame, pool: list[Spec], setup: Setup, with_drag: bool = False) -> DataFrame:
     """Return rows (symbol, pool_idx, bar_idx, open_time, ret, traded, w) of every candidate on the full history.
 
     Weights stay in one array per bar until after the lag, so the lag needs one
-    window per symbol instead of one per candidate.
+    window per symbol instead of one per candidate.  `with_drag` adds the
+    return lost per unit of cost rate.
     """
     rows = with_macd(features, pool, ["symbol"])
     w = Window.partitionBy("symbol").orderBy("open_time")
@@ -87,10 +88,11 @@ def training_streams(features: DataFrame, pool: list[Spec], setup: Setup) -> Dat
         F.col("z.wp"), F.col("z.ws"), F.col("prev_close"), F.col("open"), F.col("close"),
         F.lit(setup.cost_rate), F.lit(setup.rf / setup.ppy), setup.execution,
     )
-    return flat.select("symbol", "pool_idx", "bar_idx", "open_time", legs["ret"].alias("ret"), legs["traded"].alias("traded"))
+    extra = [legs["drag"].alias("drag")] if with_drag else []
+    return flat.select("symbol", "pool_idx", "bar_idx", "open_time", legs["ret"].alias("ret"), legs["traded"].alias("traded"), *extra)
 
 
-def _cuts(bounds: DataFrame, embargo: int) -> DataFrame:
+def fold_cuts(bounds: DataFrame, embargo: int) -> DataFrame:
     """(symbol, cuts) with cuts = array<struct<cut, fold_id>> ascending: one short array per symbol."""
     cut = F.greatest(F.lit(2), F.col("train_end_idx") - embargo)
     return bounds.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(cut.alias("cut"), "fold_id"))).alias("cuts"))
@@ -98,7 +100,7 @@ def _cuts(bounds: DataFrame, embargo: int) -> DataFrame:
 
 def training_moments(streams: DataFrame, bounds: DataFrame, embargo: int, by: Sequence[str] = ("symbol", "pool_idx")) -> DataFrame:
     """(by, fold_id, n, s1..s4, turnover) of each fold's training prefix."""
-    cuts = _cuts(bounds, embargo)
+    cuts = fold_cuts(bounds, embargo)
     first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
     x = F.col("ret")
     sums = (
