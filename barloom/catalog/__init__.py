@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest", "universe", "signals", "portfolio", "walk", "metrics", "inference", "evidence", "sweep"]
+SECTIONS = ["ingest", "universe", "signals", "portfolio", "walk", "metrics", "inference", "evidence", "sweep", "streams"]
 
 
 def load() -> None:

@@ -517,7 +517,7 @@ def cost_calibration(rows: DataFrame, keys: list[str], fee_bps: float, spread_bp
 # ---------------------------------------------------------------- ledger
 
 CATEGORY = "CASE event_type WHEN 'purchase' THEN 'strategy' WHEN 'click' THEN 'portfolio' WHEN 'signup' THEN 'execution' WHEN 'view' THEN 'universe' ELSE 'methodology' END"
-cte("led0", f"SELECT event_id + 1 AS id, event_id, epoch_ms(ts)::VARCHAR AS timestamp, {CATEGORY} AS category, round(value * 100)::BIGINT AS cents, event_id % 4 = 0 AS accepted FROM events")
+cte("led0", f"SELECT event_id + 1 AS id, event_id, (epoch_us(ts) // 1000)::VARCHAR AS timestamp, {CATEGORY} AS category, round(value * 100)::BIGINT AS cents, event_id % 4 = 0 AS accepted FROM events")
 cte("led1", "SELECT *, sha256(concat_ws('|', id, timestamp, category, cents, accepted)) AS hash FROM led0", "led0")
 cte(
     "ledger",
@@ -860,7 +860,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "agg_newest_stamp",
-    sql("SELECT max(ms) AS newest, max_by(source, ms) AS source FROM (SELECT max(epoch_ms(ts)) AS ms, 'events' AS source FROM events UNION ALL SELECT max(epoch_ms(o_orderdate)), 'orders' FROM orders UNION ALL SELECT max(epoch_ms(l_shipdate)), 'lineitem' FROM lineitem)"),
+    sql("SELECT max(ms) AS newest, max_by(source, ms) AS source FROM (SELECT max((epoch_us(ts) // 1000)) AS ms, 'events' AS source FROM events UNION ALL SELECT max(epoch_ms(o_orderdate)), 'orders' FROM orders UNION ALL SELECT max(epoch_ms(l_shipdate)), 'lineitem' FROM lineitem)"),
 )
 def _(t: Tables) -> DataFrame:
     def newest(df: DataFrame, c: str, label: str) -> DataFrame:

@@ -461,7 +461,7 @@ def _(t: Tables) -> DataFrame:
            FROM (SELECT symbol, seq, CASE WHEN ts_ms < 0 THEN 'invalid timestamp' WHEN NOT isfinite(price) OR price <= 0 THEN 'invalid close'
                    WHEN ts_ms <= lag(ts_ms) OVER (PARTITION BY symbol ORDER BY seq) THEN 'not strictly increasing' END AS reason
                  FROM (SELECT 'U' || user_id::VARCHAR AS symbol, event_id AS seq,
-                         CASE WHEN event_id % 211 = 7 THEN epoch_ms(ts) - 259200000 WHEN event_id % 1009 = 5 THEN -1 ELSE epoch_ms(ts) END AS ts_ms,
+                         CASE WHEN event_id % 211 = 7 THEN (epoch_us(ts) // 1000) - 259200000 WHEN event_id % 1009 = 5 THEN -1 ELSE (epoch_us(ts) // 1000) END AS ts_ms,
                          CASE WHEN event_id % 307 = 3 THEN 'nan'::DOUBLE ELSE value END AS price FROM events)) GROUP BY 1""",
     ),
 )

@@ -106,7 +106,7 @@ cte(
 cte("regbars", _bars("region_daily"), "region_daily")
 cte(
     "ticks",
-    """SELECT event_type AS symbol, event_id AS seq, epoch_ms(ts) AS ts_ms, ts, value AS price,
+    """SELECT event_type AS symbol, event_id AS seq, (epoch_us(ts) // 1000) AS ts_ms, ts, value AS price,
               CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size FROM events""",
 )
 cte("idx", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS bar_idx FROM bars", "bars")
