@@ -286,7 +286,7 @@ def rc_sql(obs: str, boot: str, where: str = "true") -> str:
 
 def candidate_streams(t: Tables) -> DataFrame:
     w = Walk(t, SMALL)
-    return wf.fixed_streams(w.features, SMALL, w.bounds, SETUP).select("symbol", "pool_idx", "day", "ret")
+    return t.keep("candidates", lambda: wf.fixed_streams(w.features, SMALL, w.bounds, SETUP).select("symbol", "pool_idx", "day", "ret"))
 
 
 def rc_rows(out: DataFrame) -> DataFrame:
@@ -423,7 +423,7 @@ cte(
 
 def named_streams(t: Tables) -> DataFrame:
     w = Walk(t, SMALL)
-    return wf.fixed_streams(w.features, SMALL, w.bounds, SETUP).select("symbol", w.name().alias("series_id"), "day", "ret")
+    return t.keep("named", lambda: wf.fixed_streams(w.features, SMALL, w.bounds, SETUP).select("symbol", w.name().alias("series_id"), "day", "ret"))
 
 
 def candidate_pairs(t: Tables) -> DataFrame:
@@ -446,7 +446,7 @@ cte("clusters", "SELECT symbol, node, min(other) AS cluster FROM reach GROUP BY
 
 def clusters_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     streams = named_streams(t)
-    found = pairs.pairwise_corr(streams, 1, ("symbol",))
+    found = t.keep("pairs", lambda: pairs.pairwise_corr(streams, 1, ("symbol",)))
     nodes = streams.select("symbol", F.col("series_id").alias("node")).distinct()
     return nodes, found, cl.single_linkage(nodes, found, ["symbol"])
 

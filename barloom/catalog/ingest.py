@@ -400,7 +400,7 @@ def timeline_of(bars: DataFrame) -> DataFrame:
 
 @query("align_to_timeline", sql(f"SELECT symbol, day, {r('ret', 'ret', 9)} FROM aligned", "aligned"))
 def _(t: Tables) -> DataFrame:
-    bars = panels.brand_bars(t)
+    bars = panels.stored_brand_bars(t)
     return cl.align_to_timeline(close_returns(bars), timeline_of(bars), ["symbol"]).withColumn("ret", rd("ret", 9))
 
 

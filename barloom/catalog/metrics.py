@@ -372,7 +372,7 @@ cte("fold_m", summary_sql("small_oos", "symbol, fold_id", 365, SETUP.rf), "small
 def small_oos(t: Tables) -> DataFrame:
     w = Walk(t, SMALL)
     picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
-    return w.streams(picks)
+    return t.keep("oos", lambda: w.streams(picks))
 
 
 FOLD_CONSISTENCY = f"""SELECT symbol, count(*) AS n_folds, {r('median(fret)', 'median_return')}, {r('median(sharpe)', 'median_sharpe')}, min_by(fold_id, (round(fret, 9), round(sharpe, 9))) AS worst_fold,
@@ -460,7 +460,7 @@ def contributions(t: Tables) -> DataFrame:
 
 @query("agg_concentration", sql("SELECT * FROM conc", "conc"))
 def _(t: Tables) -> DataFrame:
-    return concentration(contributions(t))
+    return concentration(t.keep("contrib", lambda: contributions(t)))
 
 
 @query(
@@ -475,7 +475,7 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    contrib = contributions(t)
+    contrib = t.keep("contrib", lambda: contributions(t))
     conc = concentration(contrib)
 
     def hit(dim: str):

@@ -22,11 +22,12 @@ cte("denoms", "SELECT t.day, greatest(1, count(e.symbol)) AS denom FROM timeline
 
 def masked_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(masked streams, timeline, denominators) of the brand panel."""
-    bars = panels.brand_bars(t)
+    bars = panels.stored_brand_bars(t)
     timeline = timeline_of(bars)
     eligible = eligibility(t)
     streams = align_to_timeline(close_returns(bars), timeline, ["symbol"])
-    return pt.mask(streams, eligible), timeline, pt.denominators(timeline, eligible)
+    masked = t.keep("masked", lambda: pt.mask(streams, eligible))
+    return masked, timeline, pt.denominators(timeline, eligible)
 
 
 def day_rows(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -47,7 +48,7 @@ def _(t: Tables) -> DataFrame:
     sql(f"SELECT t.day, {r('coalesce(sum(a.ret), 0) / 25.0::DOUBLE', 'ret', 8)} FROM timeline t LEFT JOIN aligned a ON t.day = a.day GROUP BY 1", "timeline", "aligned"),
 )
 def _(t: Tables) -> DataFrame:
-    bars = panels.brand_bars(t)
+    bars = panels.stored_brand_bars(t)
     timeline = timeline_of(bars)
     streams = align_to_timeline(close_returns(bars), timeline, ["symbol"])
     return day_rows(pt.equal_weight(streams, pt.denominators(timeline, None, 25)))
@@ -196,7 +197,7 @@ cte(
 @query("dd_throttle", sql(f"SELECT variant, day, {r('t.ret', 'ret', 8)}, flag AS throttled FROM throttled t JOIN thr_in USING (variant, i)", "throttled", "thr_in"))
 def _(t: Tables) -> DataFrame:
     masked, timeline, denoms = masked_inputs(t)
-    streams = align_to_timeline(close_returns(panels.brand_bars(t)), timeline, ["symbol"]).withColumnRenamed("symbol", "variant")
+    streams = align_to_timeline(close_returns(panels.stored_brand_bars(t)), timeline, ["symbol"]).withColumnRenamed("symbol", "variant")
     both = pt.equal_weight(masked, denoms).withColumn("variant", F.lit("equal")).unionByName(
         pt.inverse_vol(masked, denoms).select("day", "ret").withColumn("variant", F.lit("invvol"))
     ).unionByName(streams)

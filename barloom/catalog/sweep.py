@@ -287,12 +287,12 @@ def report_streams(t: Tables) -> tuple[DataFrame, DataFrame, Walk]:
 
     w = Walk(t, SMALL)
     picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
-    oos = w.streams(picks).select("symbol", "day", "ret")
+    oos = t.keep("oos", lambda: w.streams(picks).select("symbol", "day", "ret"))
     folds = calendar_folds(t)
     span = folds.agg(F.min("train_end_ms").alias("f"), F.max("test_end_ms").alias("l"))
     days = timeline_of(w.bars).join(F.broadcast(span), (F.col("day") > F.col("f")) & (F.col("day") <= F.col("l"))).select("day")
     eligible = eligibility(t)
-    sleeves = pt.mask(align_to_timeline(oos, days, ["symbol"]), eligible)
+    sleeves = t.keep("sleeves", lambda: pt.mask(align_to_timeline(oos, days, ["symbol"]), eligible))
     denoms = pt.denominators(days, eligible)
     portfolio = combiner_streams(sleeves, denoms)
     return portfolio, oos, folds

@@ -80,7 +80,7 @@ cte(
 def thin_bars(t: Tables) -> DataFrame:
     """Bars where some days lack the quote volume and, for symbols ending in 3, the base volume too."""
     hole = day_number() % 7 == 0
-    return panels.brand_bars(t).select(
+    return panels.stored_brand_bars(t).select(
         "symbol", "open_time", "close",
         F.when(~hole, F.col("quote_volume")).alias("quote_volume"),
         F.when(~(hole & F.col("symbol").endswith("3")), F.col("volume")).alias("volume"),
@@ -135,7 +135,7 @@ cte("eligible", f"SELECT day, symbol FROM adv_at WHERE adv IS NULL OR adv >= {MI
 
 def eligibility(t: Tables) -> DataFrame:
     thin = thin_bars(t)
-    return un.pit_eligibility(thin, timeline_of(thin), 90, MIN_ADV)
+    return t.keep("eligible", lambda: un.pit_eligibility(thin, timeline_of(thin), 90, MIN_ADV))
 
 
 @query("pit_eligibility", sql("SELECT day, symbol FROM eligible", "eligible"))
@@ -213,7 +213,8 @@ cte(
 
 def calendar_folds(t: Tables) -> DataFrame:
     """Folds on the shared brand calendar (a handful of rows)."""
-    return fo.expanding_folds(timeline_of(panels.brand_bars(t)), TRAIN_DAYS, TEST_DAYS)
+    days = timeline_of(panels.stored_brand_bars(t))
+    return t.keep("folds", lambda: fo.expanding_folds(days, TRAIN_DAYS, TEST_DAYS))
 
 
 @query("fold_generator", sql("SELECT fold_id, train_end_ms, test_end_ms FROM folds", "folds"))
@@ -352,7 +353,7 @@ cte(
     ),
 )
 def _(t: Tables) -> DataFrame:
-    s = series(panels.brand_bars(t))
+    s = series(panels.stored_brand_bars(t))
     bounds = fo.fold_train_rows(s, calendar_folds(t))
     tagged = fo.selection_rows(s, bounds, 30).select("symbol", "fold_id", F.lit("select").alias("part"), "open_time").unionByName(
         fo.test_slices(s, bounds).select("symbol", "fold_id", F.lit("test").alias("part"), "open_time")

@@ -82,9 +82,9 @@ class Walk:
     """Shared inputs of the walk-forward queries."""
 
     def __init__(self, t: Tables, pool: list[cand.Spec], setup: wf.Setup = SETUP):
-        self.bars = panels.brand_bars(t)
+        self.bars = panels.stored_brand_bars(t)
         self.pool, self.setup = pool, setup
-        self.bounds = wf.fold_bounds(self.bars, calendar_folds(t))
+        self.bounds = t.keep("bounds", lambda: wf.fold_bounds(self.bars, calendar_folds(t)))
         self.features = wf.featured(self.bars, pool)
         self.names = F.array(*[F.lit(s.name) for s in pool])
 

@@ -23,6 +23,7 @@ from ..functions import indicators as ind
 from ..functions import performance as pf
 from ..functions import weights as wt
 from ..operators import folds as fo
+from ..sources.sinks import store
 from .candidates import Spec, pool_features
 
 BAR_COLUMNS = ["symbol", "open_time", "bar_idx", "open", "close", "prev_close", "prev_time"]
@@ -110,7 +111,7 @@ def training_moments(streams: DataFrame, bounds: DataFrame, embargo: int, by: Se
         .groupBy(*by, "tag")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.sum(F.pow(x, F.lit(float(k))) if k > 2 else (x * x if k == 2 else x)).alias(f"s{k}") for k in (1, 2, 3, 4)],
+            *[F.sum(p).alias(f"s{k}") for k, p in enumerate((x, x * x, x * x * x, x * x * x * x), start=1)],
             F.sum("traded").alias("turnover"),
         )
     )
@@ -219,16 +220,14 @@ def stitched_summary(streams: DataFrame, keys: Sequence[str] = ("symbol",), setu
 
     The day count is last - first + 1.
     """
-    day_ms = F.lit(86_400_000.0)
-    folds = streams.groupBy(*keys, "fold_id").agg(
-        F.count(F.lit(1)).alias("d"), F.avg("w").alias("e"), F.sum("traded").alias("t")
-    ).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_folds"),
-        (F.sum(F.col("e") * F.col("d")) / F.sum("d")).alias("exposure"),
-        (F.sum(F.col("t") * F.col("d")) / F.sum("d")).alias("turnover"),
-    )
-    days = (F.max("day") - F.min("day")) / day_ms + 1
-    return pf.summary(streams, list(keys), setup.ppy, setup.rf, days).join(folds, list(keys))
+    days = (F.max("day") - F.min("day")) / F.lit(86_400_000.0) + 1
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "fold_id"))  # rows of the fold
+    extra = {
+        "n_folds": F.size(F.collect_set("fold_id")).cast("bigint"),
+        "exposure": F.avg("w"),  # fold means weighted by fold days
+        "turnover": F.sum(F.col("traded") * F.col("_d")) / F.count(F.lit(1)),
+    }
+    return pf.summary(streams.withColumn("_d", size), list(keys), setup.ppy, setup.rf, days, extra=extra)
 
 
 # ------------------------------------------------------------------ selection rules
@@ -317,7 +316,7 @@ def training_rows_of(streams: DataFrame, bounds: DataFrame, wanted: DataFrame, e
 def select_one_se(features: DataFrame, pool: list[Spec], bounds: DataFrame, setup: Setup, tie_break: str = "worst_subwindow") -> DataFrame:
     """Within one standard error of the best: lowest turnover, or best worst sub-window."""
     streams = training_streams(features, pool, setup)
-    scores = moment_stats(training_moments(streams, bounds, setup.embargo), setup)
+    scores = store(moment_stats(training_moments(streams, bounds, setup.embargo), setup), "scores")
     kept = within_one_se(scores)
     if tie_break == "lowest_turnover":
         return argmax(kept.withColumn("turnover", F.round("turnover", SCORE_DIGITS)), ["symbol", "fold_id"], "turnover", descending=False)
@@ -337,8 +336,9 @@ def select_robust(features: DataFrame, pool: list[Spec], bounds: DataFrame, setu
     picks = select_one_se(features, pool, bounds, setup)
     if prior_idx is None:
         return picks
-    scores = train_scores(features, pool, bounds, setup)
-    prior = scores.where(F.col("pool_idx") == prior_idx).select("symbol", "fold_id", F.col("sharpe").alias("prior_sharpe"))
+    alone = training_streams(features, [pool[prior_idx]], setup)  # the prior is the only stream needed again
+    prior = moment_stats(training_moments(alone, bounds, setup.embargo), setup)
+    prior = prior.where("pool_idx = 0").withColumn("pool_idx", F.lit(prior_idx)).where(F.col("pool_idx") == prior_idx).select("symbol", "fold_id", F.col("sharpe").alias("prior_sharpe"))
     joined = picks.join(prior, ["symbol", "fold_id"], "left")
     alpha = F.coalesce(credibility(F.col("sharpe") - F.col("prior_sharpe"), F.col("best_se")), F.lit(1.0))
     return joined.withColumn("alpha", alpha).withColumn("prior_idx", F.lit(prior_idx))

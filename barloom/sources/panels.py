@@ -21,6 +21,15 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, build) -> DataFrame:
+        """A table stored on first use and shared by the rest of the query."""
+        if name not in self._kept:
+            from .sinks import store
+
+            self._kept[name] = store(build(), name)
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -74,6 +83,11 @@ def brand_bars(t: Tables) -> DataFrame:
     return smoothed_bars(daily)
 
 
+def stored_brand_bars(t: Tables) -> DataFrame:
+    """The brand panel written once per query: at most brands x days rows, whatever the fact table holds."""
+    return t.keep("brand-bars", lambda: brand_bars(t))
+
+
 def _order_daily(t: Tables, symbol: Column, joined: DataFrame) -> DataFrame:
     return (
         joined.groupBy(symbol.alias("symbol"), day_ms(F.col("o_orderdate")).alias("open_time"))

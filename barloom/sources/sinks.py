@@ -14,6 +14,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write an intermediate once to the shared folder and read it back.
+
+    Used where a plan consumes the same expensive table several times: the fact
+    scan behind it then happens once, and a lost executor re-reads files
+    instead of recomputing the lineage.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_rows(new: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose key the tape does not hold yet; existing rows never change."""
     spark = new.sparkSession
