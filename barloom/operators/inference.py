@@ -156,7 +156,7 @@ def bayesian_sharpe(returns: DataFrame, keys: Sequence[str], draws: int, ppy: in
                 g = rng.chisquare(row.n - 1, size)
                 sigma2 = (row.n - 1) * row.v / g
                 mu = rng.normal(row.mean, np.sqrt(sigma2 / row.n))
-                value = np.where(sigma2 > 0, mu / np.sqrt(sigma2) * np.sqrt(ppy), 0.0)
+                value = mu / np.sqrt(sigma2) * np.sqrt(ppy) if row.v > 1e-24 else np.zeros(size)  # no dispersion: no Sharpe
                 yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "n": row.n, "sample": value})
 
     samples = tasks.mapInPandas(sample, schema)
