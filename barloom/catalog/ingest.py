@@ -109,7 +109,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "src_paged_history",
-    sql("SELECT symbol, open_time, close, volume FROM idx WHERE bar_idx < 1000", "idx"),
+    sql("SELECT symbol, open_time, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS rn FROM bars) WHERE rn <= 1000", "bars"),
 )
 def _(t: Tables) -> DataFrame:
     i = F.row_number().over(cl.by_time()) - 1
