@@ -12,14 +12,11 @@ from ..operators import regimes as rg
 from ..plans import walkforward as wf
 from ..sources import panels
 from ..sources.panels import DAY_MS, Tables
-from .ingest import close_returns, timeline_of
+from .ingest import close_returns
 from .registry import cte, query, r, sql
-from .signals import RF, cross_signals, equity_sql, rule_weights, summary_sql
-from .universe import TEST_DAYS
+from .signals import RF, cross_signals, rule_weights, summary_sql
 from .walk import SETUP, SMALL, Walk
 
-__all__ = ["TEST_DAYS"]
-
 
 def brand_returns(t: Tables) -> DataFrame:
     return close_returns(panels.brand_bars(t))
@@ -138,7 +135,6 @@ def _register_flagship() -> None:
 
 _register_flagship()
 
-cte("seg_sum", summary_sql("segrets", "symbol", 252, RF, "(max(day) - (SELECT min(b.open_time) FROM segbars b WHERE b.symbol = symbol)) / 86400000.0"), "segrets", "segbars")
 cte("seg_start", "SELECT symbol, min(open_time) AS t0 FROM segbars GROUP BY 1", "segbars")
 cte("index_sum", summary_sql("(SELECT * FROM segrets JOIN seg_start USING (symbol))", "symbol", 252, RF, "(max(day) - min(t0)) / 86400000.0"), "segrets", "seg_start")
 
@@ -502,5 +498,3 @@ def _(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_picks"), F.countDistinct("name").alias("distinct_picks"), F.countDistinct(family).alias("families"), F.countDistinct("symbol").alias("symbols")
     )
 
-
-__all__ += ["equity_sql", "timeline_of"]

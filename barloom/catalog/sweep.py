@@ -199,7 +199,7 @@ def _(t: Tables) -> DataFrame:
     return rows(pf.summary(base.unionByName(targeted), ["variant"], 365, SETUP.rf), "variant")
 
 
-# ladder: the banded sleeves are the aligned streams thinned by a rebalance band on the exposure of the trend rule
+# ladder without the rebalance-band rung: that one needs path-dependent sleeves (see README)
 cte(
     "ladder",
     f"""SELECT 1 AS rung, 'equal' AS component, day, ret FROM pf_equal UNION ALL SELECT 2, 'inverse vol', day, ret FROM pf_iv UNION ALL SELECT 3, 'tilt', day, ret FROM pf_tilted UNION ALL SELECT 4, 'crisis', day, ret FROM pf_rule

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import performance as pf
 from ..functions.numeric import r as rd
 from ..plans import candidates as cand
 from ..plans import walkforward as wf
 from ..sources import panels
 from ..sources.panels import Tables
 from .registry import cte, query, r, sql
-from .signals import METRIC_COLS, METRICS, PREV_W, d, ema_cte, features_cte, shifted_macd, summary_sql, transition_sql, weights_cte
+from .signals import METRIC_COLS, METRICS, d, ema_cte, features_cte, shifted_macd, summary_sql, transition_sql, weights_cte
 from .universe import calendar_folds
 
 POOL = cand.candidate_pool()
@@ -26,8 +25,6 @@ RATE, RFD = d(SETUP.cost_rate), d(SETUP.rf / SETUP.ppy)
 
 # ---- shared SQL: slices, MACD per slice, weights, accounting, scores
 
-MACD_USED = {"pool": True, "small": True}
-
 
 def walk_ctes(tag: str, pool: list[cand.Spec], rate: str = RATE, execution: str = "next_open", latency: int = 0, base: str | None = None) -> None:
     """Register train_/test_ accounting CTEs for a pool: {tag}_train, {tag}_test, {tag}_score."""

@@ -70,13 +70,10 @@ def exploded_orders(tape: DataFrame) -> DataFrame:
 
 
 def lifecycle_audit(tape: DataFrame) -> DataFrame:
-    """(reason, n, first examples): flagged orders per reason."""
+    """(reason, n, first_example): flagged orders per reason, with the smallest date:symbol label."""
     rows = exploded_orders(tape).select("date", F.col("order.symbol").alias("symbol"), F.explode("problems").alias("reason"))
     label = F.concat_ws(":", F.col("date").cast("string"), "symbol")
-    # min_by-style top five per reason: array_agg of distinct labels stays bounded through a two-step top-k
-    ranked = rows.select("reason", label.alias("label"))
-    counts = ranked.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first_example"))
-    return counts
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("first_example"))
 
 
 def trusted_orders(tape: DataFrame) -> DataFrame:
