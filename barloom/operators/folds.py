@@ -78,7 +78,7 @@ def fold_train_rows(series: DataFrame, folds: DataFrame) -> DataFrame:
 
 def test_slices(series: DataFrame, bounds: DataFrame) -> DataFrame:
     """Bars of each fold's test slice, both boundary bars included, with the slice-local index."""
-    joined = series.join(F.broadcast(bounds.select("symbol", "fold_id", "train_end_idx", "test_end_idx")), "symbol")
+    joined = series.join(bounds.select("symbol", "fold_id", "train_end_idx", "test_end_idx"), "symbol")
     rows = joined.where(F.col("bar_idx").between(F.col("train_end_idx"), F.col("test_end_idx")))
     return rows.withColumn("slice_idx", F.col("bar_idx") - F.col("train_end_idx")).drop("train_end_idx", "test_end_idx")
 
@@ -86,5 +86,5 @@ def test_slices(series: DataFrame, bounds: DataFrame) -> DataFrame:
 def selection_rows(series: DataFrame, bounds: DataFrame, embargo: int = 0) -> DataFrame:
     """Bars a fold may select on: idx < max(2, train_end - embargo)."""
     cut = F.greatest(F.lit(2), F.col("train_end_idx") - embargo)
-    joined = series.join(F.broadcast(bounds.select("symbol", "fold_id", "train_end_idx")), "symbol")
+    joined = series.join(bounds.select("symbol", "fold_id", "train_end_idx"), "symbol")
     return joined.where(F.col("bar_idx") < cut).drop("train_end_idx")

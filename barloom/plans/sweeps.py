@@ -38,14 +38,14 @@ def cost_levels(features: DataFrame, pool: list[Spec], bounds: DataFrame, setup:
     """
     free = setup.with_(cost_rate=0.0)
     streams = wf.training_streams(features, pool, free, with_drag=True)
-    cuts = F.broadcast(wf.fold_cuts(bounds, setup.embargo))
+    cuts = wf.fold_cuts(bounds, setup.embargo)
     first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
     x, q = F.col("ret"), F.col("drag")
     sums = (
         streams.join(cuts, "symbol").withColumn("tag", first).where("tag is not null").groupBy("symbol", "pool_idx", "tag")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(q).alias("q"), F.sum(x * x).alias("xx"), F.sum(x * q).alias("xq"), F.sum(q * q).alias("qq"))
     )
-    b = F.broadcast(bounds.select(F.col("symbol").alias("bs"), "fold_id"))
+    b = bounds.select(F.col("symbol").alias("bs"), "fold_id")
     prefix = sums.join(b, (F.col("symbol") == F.col("bs")) & (F.col("tag") <= F.col("fold_id"))).groupBy("symbol", "fold_id", "pool_idx").agg(
         *[F.sum(c).alias(c) for c in ("n", "x", "q", "xx", "xq", "qq")]
     )
@@ -62,7 +62,7 @@ def cost_levels(features: DataFrame, pool: list[Spec], bounds: DataFrame, setup:
 
 def trade_keyed(features: DataFrame, pool: list[Spec], bounds: DataFrame, picks: DataFrame, key: str, setup: wf.Setup, cost=None) -> DataFrame:
     """Trade several pick tables at once; `key` names the variant."""
-    joined = wf.test_rows(features, pool, bounds).withColumn("ws", wt.pool_weights(pool, F.col("slice_idx"))).join(F.broadcast(picks), ["symbol", "fold_id"])
+    joined = wf.test_rows(features, pool, bounds).withColumn("ws", wt.pool_weights(pool, F.col("slice_idx"))).join(picks, ["symbol", "fold_id"])
     rows = joined.withColumn("weight", F.element_at(F.col("ws"), F.col("pool_idx") + 1))
     keep = [key, "symbol", "fold_id", "pool_idx", "open_time", "slice_idx", "open", "close", "prev_close", "weight"]
     out = ac.account(

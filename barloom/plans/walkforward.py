@@ -105,7 +105,7 @@ def training_moments(streams: DataFrame, bounds: DataFrame, embargo: int, by: Se
     first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
     x = F.col("ret")
     sums = (
-        streams.join(F.broadcast(cuts), "symbol")  # one row per symbol
+        streams.join(cuts, "symbol")  # one row per symbol; left to AQE, as symbols may grow
         .withColumn("tag", first)
         .where("tag is not null")
         .groupBy(*by, "tag")
@@ -116,7 +116,7 @@ def training_moments(streams: DataFrame, bounds: DataFrame, embargo: int, by: Se
         )
     )
     fold_ids = bounds.select("symbol", "fold_id")
-    m, b = sums.alias("m"), F.broadcast(fold_ids).alias("b")
+    m, b = sums.alias("m"), fold_ids.alias("b")
     spread = m.join(b, (F.col("m.symbol") == F.col("b.symbol")) & (F.col("m.tag") <= F.col("b.fold_id")))
     keys = [F.col(f"m.{k}").alias(k) for k in by]
     return spread.groupBy(*keys, F.col("b.fold_id").alias("fold_id")).agg(*[F.sum(f"m.{c}").alias(c) for c in ("n", "s1", "s2", "s3", "s4", "turnover")])
@@ -180,7 +180,7 @@ def picked_streams(features: DataFrame, pool: list[Spec], bounds: DataFrame, pic
     Only the picked element of the weight array is kept, so nothing fans out by
     candidate.  `picks` may carry `alpha` and `prior_idx` for a blended pick.
     """
-    joined = test_rows(features, pool, bounds).join(F.broadcast(picks), ["symbol", "fold_id"])
+    joined = test_rows(features, pool, bounds).join(picks, ["symbol", "fold_id"])
     ws = wt.pool_weights(pool, F.col("slice_idx"))
     weight = F.element_at(F.col("ws"), F.col("pool_idx") + 1)
     if "alpha" in picks.columns:
@@ -309,7 +309,7 @@ def worst_subwindow(streams: DataFrame, keys: Sequence[str], order: str, setup:
 def training_rows_of(streams: DataFrame, bounds: DataFrame, wanted: DataFrame, embargo: int) -> DataFrame:
     """Training-prefix returns of selected (symbol, fold_id, pool_idx) only."""
     cut = F.greatest(F.lit(2), F.col("train_end_idx") - embargo)
-    limits = wanted.select("symbol", "fold_id", "pool_idx").join(F.broadcast(bounds.select("symbol", "fold_id", cut.alias("cut"))), ["symbol", "fold_id"])
+    limits = wanted.select("symbol", "fold_id", "pool_idx").join(bounds.select("symbol", "fold_id", cut.alias("cut")), ["symbol", "fold_id"])
     return streams.join(limits, ["symbol", "pool_idx"]).where(F.col("bar_idx") < F.col("cut")).drop("cut")
 
 
