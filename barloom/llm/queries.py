@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .ngram_join import ngram_jaccard_join
+from .quality import quality_rules
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), n=4, percent=85)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_quality_rules": op4_quality_rules,
 }
 ORACLES: dict[str, str] = {}
