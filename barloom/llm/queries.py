@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .ngram_join import ngram_jaccard_join
+from .pii import pii_report
 from .quality import quality_rules
 
 
@@ -19,8 +20,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op8_weak_supervision_pii": op8_weak_supervision_pii,
 }
 ORACLES: dict[str, str] = {}
