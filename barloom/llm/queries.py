@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .language import identify_languages
 from .ngram_join import ngram_jaccard_join
 from .pii import pii_report
 from .quality import quality_rules
@@ -20,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(documents(spark, sf_dir))
 
@@ -27,6 +32,7 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
 }
 ORACLES: dict[str, str] = {}
