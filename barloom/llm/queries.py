@@ -11,6 +11,7 @@ from .language import identify_languages
 from .ngram_join import ngram_jaccard_join
 from .pii import pii_report
 from .quality import quality_rules
+from .secrets import scan_secrets
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op5_secret_ownership_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op7_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
@@ -32,6 +37,7 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secret_ownership_scan": op5_secret_ownership_scan,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
 }
