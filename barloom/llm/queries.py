@@ -12,6 +12,7 @@ from .ngram_join import ngram_jaccard_join
 from .pii import pii_report
 from .quality import quality_rules
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +35,16 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(documents(spark, sf_dir))
 
 
+def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_ownership_scan": op5_secret_ownership_scan,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
+    "op10_deobfuscated_toxicity": op10_deobfuscated_toxicity,
 }
 ORACLES: dict[str, str] = {}
