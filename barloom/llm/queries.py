@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contaminated_pairs
 from .language import identify_languages
 from .ngram_join import ngram_jaccard_join
 from .pii import pii_report
@@ -35,6 +36,10 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(documents(spark, sf_dir))
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_ownership_scan": op5_secret_ownership_scan,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
+    "op9_template_decontamination": op9_template_decontamination,
     "op10_deobfuscated_toxicity": op10_deobfuscated_toxicity,
 }
 ORACLES: dict[str, str] = {}
