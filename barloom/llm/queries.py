@@ -13,6 +13,7 @@ from .ngram_join import ngram_jaccard_join
 from .pii import pii_report
 from .quality import quality_rules
 from .secrets import scan_secrets
+from .sharding import shard_documents
 from .toxicity import score_toxicity
 
 
@@ -20,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), n=4, percent=85)
 
 
+def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), shards=40)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_label_propagation_shards": op2_label_propagation_shards,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_ownership_scan": op5_secret_ownership_scan,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
