@@ -10,6 +10,7 @@ from .common import documents
 from .decontaminate import contaminated_pairs
 from .language import identify_languages
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
 from .pii import pii_report
 from .quality import quality_rules
 from .secrets import scan_secrets
@@ -25,6 +26,10 @@ def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=40)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), capacity=2048, per_source=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_label_propagation_shards": op2_label_propagation_shards,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_ownership_scan": op5_secret_ownership_scan,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
