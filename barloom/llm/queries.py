@@ -15,6 +15,7 @@ from .pii import pii_report
 from .quality import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -38,6 +39,10 @@ def op5_secret_ownership_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_ownership_scan": op5_secret_ownership_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_template_decontamination": op9_template_decontamination,
