@@ -43,14 +43,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def only(df: DataFrame, keys: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
-    """Rows of a wide table whose key is listed.
+def only(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", bound: int = 1_000_000) -> DataFrame:
+    """Join a wide table with a narrow one of keys: a semi join (the default), anti join or inner join.
 
-    A list of at most `bound` keys is broadcast, so the wide rows stay where
+    A table of at most `bound` keys is broadcast, so the wide rows stay where
     they are; a longer one is joined by shuffle.
     """
     short = keys.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(keys) if short else keys, key, "left_semi")
+    return df.join(F.broadcast(keys) if short else keys, key, how)
 
 
 # ---------------------------------------------------------------- bytes of a batch

@@ -212,8 +212,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     heads = known.groupBy("h1", "h2", "n_bytes").agg(F.min("doc_id").alias("head"))
     linked = store(known.join(heads, ["h1", "h2", "n_bytes"]).select("doc_id", "head", "n_bytes"), "op6-copies")
     copies = linked.where("doc_id <> head").select("doc_id").distinct()
-    few = copies.limit(1_000_001).count() <= 1_000_000
-    texts = rows.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    texts = only(rows.where("doc_id is not null"), copies, "doc_id", "left_anti")
 
     shared = sampled(texts, False).groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
     hits = store(sampled(texts, True).join(shared, "name"), "op6-samples")

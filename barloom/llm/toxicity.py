@@ -148,19 +148,30 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def word_weights(docs: DataFrame, rows: DataFrame, model: np.ndarray) -> tuple[dict[str, float], float]:
-    """Cautious log odds of restored words, and the log odds of the label itself."""
-    texts = only(docs.select("doc_id", "text"), rows.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    """Cautious log odds of restored words, and the log odds of the label itself; words are counted inside tasks first."""
+    texts = only(docs.select("doc_id", "text"), rows, "doc_id", "inner")
 
     def run(batches):
-        restorer = Restorer(model)
+        restorer, counts = Restorer(model), {}
         for part in batches:
-            words = [sorted(restorer.words(t)) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "words": words})
-
-    each = texts.mapInPandas(run, "doc_id long, words array<string>").join(rows, "doc_id").select(F.explode("words").alias("word"), "toxic")
+            for text, toxic in zip(part["text"], part["toxic"], strict=True):
+                for word in restorer.words(text):
+                    cell = counts.setdefault(word, [0.0, 0.0])
+                    cell[0] += toxic
+                    cell[1] += 1 - toxic
+            if len(counts) > 500_000:
+                yield frame(counts)
+                counts = {}
+        yield frame(counts)
+
+    def frame(counts):
+        words = sorted(counts)
+        return pd.DataFrame({"word": pd.Series(words, dtype=object), "a": [counts[w][0] for w in words], "c": [counts[w][1] for w in words]})
+
+    each = texts.mapInPandas(run, "word string, a double, c double")
     total = rows.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).first()
     toxic, clean = (total.toxic or 0.0) + 1.0, (total.clean or 0.0) + 1.0
-    counts = each.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = each.groupBy("word").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     odds = F.log((F.col("a") + 0.5) / toxic) - F.log((F.col("c") + 0.5) / clean)
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
     weighed = counts.where(F.col("a") >= MIN_TEXTS).withColumn("weight", odds - CAUTION * error).where(F.col("weight") >= MIN_WEIGHT)
