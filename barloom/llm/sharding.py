@@ -55,7 +55,7 @@ def propagate(state: DataFrame, shards: int, capacity: int) -> DataFrame:
             break
         buckets = -(-total // MOVES_PER_BUCKET)
         share = F.get(table, F.col("aim")) / buckets
-        queue = Window.partitionBy("aim", "bucket").orderBy(F.desc("there"), F.desc("n"), "key", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        queue = Window.partitionBy("aim", "bucket").orderBy(F.desc("there"), "n", "key", "shard").rowsBetween(Window.unboundedPreceding, -1)
         dealt = wanted.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(buckets))).withColumn("before", F.coalesce(F.sum("n").over(queue), F.lit(0)))
         moved = dealt.withColumn("moved", F.greatest(F.lit(0), F.least("n", F.floor(share) - F.col("before"))).cast("long")).where("moved > 0")
         moved = store(moved.select("key", "shard", "aim", "moved"), "op2-moved")
