@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation, in DataFrame functions.
 
-Documents with equal texts are linked.  Every document starts with a hashed
-label; in each round, linked documents move to the shard where most of their
+Documents with equal texts are linked.  Every group starts with one hashed label
+(the labels of a clique agree after one free round), shards that got too much
+give some back, and then in each round linked documents move to the shard where most of their
 neighbours are and which still has room.  Documents of one group are
 interchangeable, so the state is the table of (group, shard, documents) and
 moves are numbers of documents: a group of any size costs at most one row a
@@ -31,8 +32,8 @@ def _pick(bounds: Column, rank: Column) -> Column:
 def propagate(state: DataFrame, shards: int, capacity: int) -> DataFrame:
     """(key, shard, n) after label propagation; no shard gets more than `capacity` linked documents.
 
-    A start above the capacity is first cut back by taking the surplus out of
-    the groups with the fewest documents there; that surplus has shard null.
+    `state` has one row a group.  A start above the capacity is first cut back;
+    the surplus has shard null and looks for room next to its neighbours.
     """
     state = store(_cut_back(state, capacity), "op2-state")
     for _ in range(ROUNDS):
@@ -67,13 +68,22 @@ def propagate(state: DataFrame, shards: int, capacity: int) -> DataFrame:
 
 
 def _cut_back(state: DataFrame, capacity: int) -> DataFrame:
-    """Take what a shard holds above its capacity out of it (shard null), share by share of every group."""
-    load = state.groupBy("shard").agg(F.sum("n").alias("held"))
-    kept = F.least(F.col("n"), F.floor(F.col("n") * capacity / F.col("held"))).cast("long")
-    cut = state.join(load, "shard").withColumn("kept", kept)
+    """Take what a shard holds above its capacity out of it (shard null), from its largest groups first.
+
+    Each hash bucket of groups gives up its share of the surplus.
+    """
+    buckets = max(1, -(-state.count() // MOVES_PER_BUCKET))
+    dealt = state.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(buckets)))
+    parts = dealt.groupBy("shard", "bucket").agg(F.sum("n").alias("part"))
+    load = parts.groupBy("shard").agg(F.sum("part").alias("held"))
+    share = F.when(F.col("held") <= capacity, F.col("part")).otherwise(F.floor(F.col("part") * capacity / F.col("held")))
+    allowed = parts.join(load, "shard").select("shard", "bucket", share.cast("long").alias("allowed"))
+    queue = Window.partitionBy("shard", "bucket").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)
+    cut = dealt.withColumn("before", F.coalesce(F.sum("n").over(queue), F.lit(0))).join(allowed, ["shard", "bucket"])
+    cut = cut.withColumn("kept", F.greatest(F.lit(0), F.least("n", F.col("allowed") - F.col("before"))).cast("long"))
     stay = cut.select("key", "shard", F.col("kept").alias("n"))
     out = cut.select("key", F.lit(None).cast("int").alias("shard"), (F.col("n") - F.col("kept")).alias("n"))
-    return stay.unionByName(out).groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+    return stay.unionByName(out).where("n > 0")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -95,10 +105,9 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     chunk = F.pmod(F.xxhash64("line", "doc_id"), F.lit(chunks)).cast("int")
     floor, rest = divmod(n, shards)
 
-    start = rows.where("key is not null").withColumn("shard", F.pmod(F.xxhash64("line"), F.lit(shards)).cast("int"))
-    state = store(start.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), "op2-labels")
-    linked_keys = state.groupBy("key").agg(F.sum("n").alias("members")).where("members > 1").select("key")
-    final = propagate(state.join(linked_keys, "key", "left_semi"), shards, floor)
+    groups = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    state = store(groups.select("key", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "n"), "op2-labels")
+    final = propagate(state, shards, floor)
     # what found no room joins the fillers
     placed = final.where("shard is not null")
     along = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
