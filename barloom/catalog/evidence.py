@@ -69,7 +69,7 @@ cte(
     """SELECT *, CASE WHEN live = n THEN 'full' WHEN closed_n = n - live AND outages = 0 THEN 'closed' WHEN pending_n = n - live AND outages = 0 AND (status = 'market_closed' OR closure IS NOT NULL) THEN 'closed'
               WHEN live > 0 THEN 'partial' ELSE 'dark' END AS kind
        FROM (SELECT f.day, any_value(f.d) AS d, count(*) AS n, count(*) FILTER (note IS NULL) AS live, count(*) FILTER (note = 'session_closed') AS closed_n, count(*) FILTER (note = 'session_pending') AS pending_n,
-               count(*) FILTER (note = 'outage') AS outages, sum(CASE WHEN note IS NULL THEN ret ELSE 0 END) / 25.0 AS port_ret, CASE WHEN any_value(dayno) % 30 = 1 THEN 'market_closed' ELSE 'traded' END AS status,
+               count(*) FILTER (note = 'outage') AS outages, sum(CASE WHEN note IS NULL THEN ret ELSE 0 END) / (SELECT count(DISTINCT p_brand) FROM part) AS port_ret, CASE WHEN any_value(dayno) % 30 = 1 THEN 'market_closed' ELSE 'traded' END AS status,
                count(*) FILTER (k % 23 = 0) AS alerts, count(*) FILTER (abs(w - w_prev) > 0.05 AND day - prev_time > 1.5 * 86400000) AS missed FROM flat f GROUP BY 1) JOIN (SELECT day, closure FROM cal) USING (day)""",
     "flat",
     "cal",
@@ -92,6 +92,7 @@ def tape_flat(t: Tables) -> DataFrame:
 def forward_tape(t: Tables) -> DataFrame:
     """Session rows with nested assets, orders, outages, alerts and missed fills, built from the panel."""
     rows = tape_flat(t)
+    n_assets = t.part.select("p_brand").distinct().count()
     live = F.col("note").isNull()
     moved = F.col("w") != F.col("w_prev")
     slip = F.when(live & moved, (F.col("open") / F.col("prev_close") - 1) * 10000)
@@ -116,7 +117,7 @@ def forward_tape(t: Tables) -> DataFrame:
         F.collect_list(F.when(F.col("note") == "outage", F.struct("symbol", F.lit("no bar").alias("problem")))).alias("outages"),
         F.collect_list(F.when(k % 23 == 0, F.struct("symbol", F.when(k % 2 == 0, "stale").otherwise("warning").alias("level")))).alias("alerts"),
         F.collect_list(F.when(late, F.struct("symbol", F.floor((F.col("open_time") - F.col("prev_time")) / 86_400_000).alias("delayed_days")))).alias("missed_fills"),
-        (F.sum(F.when(live, F.col("close") / F.col("prev_close") - 1).otherwise(0.0)) / 25.0).alias("port_ret"),
+        (F.sum(F.when(live, F.col("close") / F.col("prev_close") - 1).otherwise(0.0)) / F.lit(float(n_assets))).alias("port_ret"),
         F.when(F.max("dayno") % 30 == 1, "market_closed").otherwise("traded").alias("day_status"),
         stamp.alias("experiment"),
     )

@@ -13,12 +13,12 @@ from ..operators import pairs
 from ..operators import resample as rs
 from ..plans import walkforward as wf
 from ..sources.panels import Tables
-from .metrics import brand_returns, seg_returns, small_oos
+from .metrics import brand_returns, seg_returns, big_oos
 from .registry import cte, query, r, sql
 from .signals import summary_sql
-from .walk import SETUP, SMALL, Walk
+from .walk import POOL, SETUP, Walk
 
-REPS, BLOCK, P = 40, 20, 2147483647
+REPS, BLOCK, P = 1000, 20, 2147483647
 
 
 def mix_sql(seed: str, rep: str, pos: str) -> str:
@@ -263,8 +263,8 @@ def _(t: Tables) -> DataFrame:
 
 # ---- multiple testing over out-of-sample candidate streams (per symbol, aligned by construction)
 
-RC_REPS = 20
-cte("cand", "SELECT symbol, pool_idx, name, open_time AS day, ret FROM small_test", "small_test")
+RC_REPS = 200
+cte("cand", "SELECT symbol, pool_idx, name, open_time AS day, ret FROM big_test", "big_test")
 cte("cand_obs", "SELECT symbol, pool_idx, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd FROM cand GROUP BY 1, 2", "cand")
 cte("cand_sizes", "SELECT symbol, max(n) AS n FROM cand_obs GROUP BY 1", "cand_obs")
 cte("cand_ix", idx_sql("stationary", "cand_sizes", reps=RC_REPS), "cand_sizes")
@@ -285,8 +285,8 @@ def rc_sql(obs: str, boot: str, where: str = "true") -> str:
 
 
 def candidate_streams(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    return t.keep("candidates", lambda: wf.fixed_streams(w.features, SMALL, w.bounds, SETUP).select("symbol", "pool_idx", "day", "ret"))
+    w = Walk(t, POOL)
+    return t.keep("candidates", lambda: wf.fixed_streams(w.features, POOL, w.bounds, SETUP).select("symbol", "pool_idx", "day", "ret"))
 
 
 def rc_rows(out: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def _(t: Tables) -> DataFrame:
     return rc_rows(inf.reality_check(candidate_streams(t), ["symbol"], "pool_idx", RC_REPS, BLOCK, studentised=True))
 
 
-@query("bs_pvalue", sql("SELECT symbol, best, p_value, round(p_value * 21) - 1 AS exceed FROM (" + rc_sql("CASE WHEN sd < 1e-12 THEN 0 ELSE m / sd * sqrt(365.0::DOUBLE) END", "CASE WHEN bsd < 1e-12 THEN 0 ELSE bm / bsd * sqrt(365.0::DOUBLE) END") + ")", "cand_boot", "cand_obs"))
+@query("bs_pvalue", sql(f"SELECT symbol, best, p_value, round(p_value * {RC_REPS + 1}) - 1 AS exceed FROM (" + rc_sql("CASE WHEN sd < 1e-12 THEN 0 ELSE m / sd * sqrt(365.0::DOUBLE) END", "CASE WHEN bsd < 1e-12 THEN 0 ELSE bm / bsd * sqrt(365.0::DOUBLE) END") + ")", "cand_boot", "cand_obs"))
 def _(t: Tables) -> DataFrame:
     out = inf.reality_check(candidate_streams(t), ["symbol"], "pool_idx", RC_REPS, BLOCK)
     return out.select("symbol", rd("best").alias("best"), rd(rs.finite_p(F.col("exceed"), RC_REPS)).alias("p_value"), F.col("exceed").cast("double").alias("exceed"))
@@ -339,23 +339,23 @@ def ppf_sql(p: str) -> str:
 
 
 ZEXPR = "CASE WHEN n >= 4 AND 1 - skew * sp + (kurt - 1) / 4 * sp * sp > 0 THEN (sp - {b}) * sqrt(n - 1) / sqrt(1 - skew * sp + (kurt - 1) / 4 * sp * sp) END"
-cte("psr_in", "SELECT symbol, n, m / nullif(sqrt(vs), 0) AS sp, m3 / pow(v, 1.5) AS skew, m4 / (v * v) AS kurt FROM (SELECT symbol, count(*) AS n, avg(ret) AS m, var_samp(ret) AS vs, var_pop(ret) AS v, avg(pow(ret - mu, 3)) AS m3, avg(pow(ret - mu, 4)) AS m4 FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mu FROM small_oos) GROUP BY 1)", "small_oos")
+cte("psr_in", "SELECT symbol, n, m / nullif(sqrt(vs), 0) AS sp, m3 / pow(v, 1.5) AS skew, m4 / (v * v) AS kurt FROM (SELECT symbol, count(*) AS n, avg(ret) AS m, var_samp(ret) AS vs, var_pop(ret) AS v, avg(pow(ret - mu, 3)) AS m3, avg(pow(ret - mu, 4)) AS m4 FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mu FROM big_oos) GROUP BY 1)", "big_oos")
 cte("psr_z", f"SELECT *, {ZEXPR.format(b='0.0')} AS z FROM psr_in", "psr_in")
 
 
 @query("mt_psr", sql(f"SELECT symbol, n, {r('z', 'z', 5)}, {r(f'coalesce({cdf_sql('z')}, 0.5)', 'psr')} FROM psr_z", "psr_z"))
 def _(t: Tables) -> DataFrame:
-    return inf.psr(small_oos(t), ["symbol"]).select("symbol", "n", rd("z", 5).alias("z"), rd("psr").alias("psr"))
+    return inf.psr(big_oos(t), ["symbol"]).select("symbol", "n", rd("z", 5).alias("z"), rd("psr").alias("psr"))
 
 
-cte("trials", "SELECT symbol, count(*) AS k, var_samp(sharpe) AS v FROM small_score GROUP BY 1", "small_score")
+cte("trials", "SELECT symbol, count(*) AS k, var_samp(sharpe) AS v FROM big_score GROUP BY 1", "big_score")
 EMAX = f"CASE WHEN k >= 2 AND v > 0 THEN sqrt(v) * ((1 - 0.5772156649015329::DOUBLE) * ({ppf_sql('1 - 1.0::DOUBLE / k')}) + 0.5772156649015329::DOUBLE * ({ppf_sql('1 - 1.0::DOUBLE / (k * 2.718281828459045::DOUBLE)')})) ELSE 0.0 END"
 cte("emax", f"SELECT symbol, k, {EMAX} AS bench FROM trials", "trials")
 
 
 def trial_sharpes(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    return wf.train_scores(w.features, SMALL, w.bounds, SETUP).select("symbol", "sharpe")
+    w = Walk(t, POOL)
+    return wf.train_scores(w.features, POOL, w.bounds, SETUP).select("symbol", "sharpe")
 
 
 @query("mt_expected_max", sql(f"SELECT symbol, k AS n_trials, {r('bench', 'benchmark_sharpe')} FROM emax", "emax"))
@@ -368,7 +368,7 @@ cte("dsr_z", f"SELECT symbol, n, bench, {ZEXPR.format(b='bench / sqrt(365.0::DOU
 
 @query("mt_dsr", sql(f"SELECT symbol, n, {r('bench', 'benchmark_sharpe')}, {r('z', 'z', 5)}, {r(f'coalesce({cdf_sql('z')}, 0.5)', 'dsr')} FROM dsr_z", "dsr_z"))
 def _(t: Tables) -> DataFrame:
-    out = inf.dsr(small_oos(t), trial_sharpes(t), ["symbol"])
+    out = inf.dsr(big_oos(t), trial_sharpes(t), ["symbol"])
     return out.select("symbol", "n", rd("benchmark_sharpe").alias("benchmark_sharpe"), rd("z", 5).alias("z"), rd("dsr").alias("dsr"))
 
 
@@ -376,14 +376,14 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     # ledger: the recorded trial Sharpes, absent for symbols ending in 4; symbols ending in 5 are pre-specified
     ledger = trial_sharpes(t).where(~F.col("symbol").endswith("4"))
-    pool = brand_returns(t).select("symbol").distinct().select("symbol", F.lit(len(SMALL)).alias("pool_size"), F.col("symbol").endswith("5").alias("prespecified"))
-    out = inf.selection_adjusted(small_oos(t), ledger, pool, ["symbol"])
+    pool = brand_returns(t).select("symbol").distinct().select("symbol", F.lit(len(POOL)).alias("pool_size"), F.col("symbol").endswith("5").alias("prespecified"))
+    out = inf.selection_adjusted(big_oos(t), ledger, pool, ["symbol"])
     return out.select("symbol", "n_trials", "reason", *[rd(c).alias(c) for c in ("psr", "dsr", "benchmark_sharpe")])
 
 
 @query("mt_bayes_sharpe")
 def _(t: Tables) -> DataFrame:
-    out = inf.bayesian_sharpe(seg_returns(t), ["symbol"], 5000)
+    out = inf.bayesian_sharpe(seg_returns(t), ["symbol"], 10_000)
     return out.select("symbol", "n", "draws", *[rd(c).alias(c) for c in ("posterior_mean", "ci_low", "ci_high", "median", "prob_above")])
 
 
@@ -414,6 +414,8 @@ def _(t: Tables) -> DataFrame:
 
 # ---- clusters of candidate streams per symbol
 
+TILES = 3  # hash tiles of the candidates: no task holds all series of a block
+
 cte(
     "cand_pairs",
     "SELECT x.symbol, x.name AS a, y.name AS b, count(*) AS n, coalesce(CASE WHEN isfinite(corr(x.ret, y.ret)) THEN corr(x.ret, y.ret) END, 0.0) AS rho FROM cand x JOIN cand y ON x.symbol = y.symbol AND x.day = y.day AND x.name < y.name GROUP BY 1, 2, 3",
@@ -422,12 +424,12 @@ cte(
 
 
 def named_streams(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    return t.keep("named", lambda: wf.fixed_streams(w.features, SMALL, w.bounds, SETUP).select("symbol", w.name().alias("series_id"), "day", "ret"))
+    w = Walk(t, POOL)
+    return t.keep("named", lambda: wf.fixed_streams(w.features, POOL, w.bounds, SETUP).select("symbol", w.name().alias("series_id"), "day", "ret"))
 
 
 def candidate_pairs(t: Tables) -> DataFrame:
-    return pairs.pairwise_corr(named_streams(t), 1, ("symbol",))
+    return pairs.pairwise_corr(named_streams(t), TILES, ("symbol",))
 
 
 @query("cl_pairwise_corr", sql(f"SELECT symbol, a, b, n, {r('rho', 'rho')} FROM cand_pairs", "cand_pairs"))
@@ -446,7 +448,7 @@ cte("clusters", "SELECT symbol, node, min(other) AS cluster FROM reach GROUP BY
 
 def clusters_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     streams = named_streams(t)
-    found = t.keep("pairs", lambda: pairs.pairwise_corr(streams, 1, ("symbol",)))
+    found = t.keep("pairs", lambda: pairs.pairwise_corr(streams, TILES, ("symbol",)))
     nodes = streams.select("symbol", F.col("series_id").alias("node")).distinct()
     return nodes, found, cl.single_linkage(nodes, found, ["symbol"])
 

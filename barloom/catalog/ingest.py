@@ -107,9 +107,12 @@ def _(t: Tables) -> DataFrame:
     return market.parse_index_json(pages, ["symbol"]).withColumn("date", F.col("date").cast("string"))
 
 
+HISTORY_ROWS = 4000  # most recent bars kept of a paged history
+
+
 @query(
     "src_paged_history",
-    sql("SELECT symbol, open_time, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS rn FROM bars) WHERE rn <= 1000", "bars"),
+    sql("SELECT symbol, open_time, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS rn FROM bars) WHERE rn <= 4000", "bars"),
 )
 def _(t: Tables) -> DataFrame:
     i = F.row_number().over(cl.by_time()) - 1
@@ -117,7 +120,7 @@ def _(t: Tables) -> DataFrame:
     page = F.floor(F.col("i") / 100).cast("int")
     paged = bars.withColumn("page", page)
     overlap = bars.where(F.col("i") % 100 == 99).withColumn("page", page + 1)  # next page repeats the joint bar
-    return market.stitch_pages(paged.unionByName(overlap).drop("i"), 1000)
+    return market.stitch_pages(paged.unionByName(overlap).drop("i"), HISTORY_ROWS)
 
 
 cte(

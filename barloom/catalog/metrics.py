@@ -15,7 +15,7 @@ from ..sources.panels import DAY_MS, Tables
 from .ingest import close_returns
 from .registry import cte, query, r, sql
 from .signals import RF, cross_signals, rule_weights, summary_sql
-from .walk import SETUP, SMALL, Walk
+from .walk import POOL, SETUP, Walk
 
 
 def brand_returns(t: Tables) -> DataFrame:
@@ -362,13 +362,13 @@ def _(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- walk-forward diagnostics
 
-cte("fold_m", summary_sql("small_oos", "symbol, fold_id", 365, SETUP.rf), "small_oos")
+cte("fold_m", summary_sql("big_oos", "symbol, fold_id", 365, SETUP.rf), "big_oos")
 
 
-def small_oos(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
-    return t.keep("oos", lambda: w.streams(picks))
+def big_oos(t: Tables) -> DataFrame:
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
+    return t.keep("oos-picks", lambda: w.streams(picks))
 
 
 FOLD_CONSISTENCY = f"""SELECT symbol, count(*) AS n_folds, {r('median(fret)', 'median_return')}, {r('median(sharpe)', 'median_sharpe')}, min_by(fold_id, (round(fret, 9), round(sharpe, 9))) AS worst_fold,
@@ -387,10 +387,10 @@ def fold_consistency(folds: DataFrame) -> DataFrame:
 
 @query("agg_fold_consistency", sql(FOLD_CONSISTENCY, "fold_m"))
 def _(t: Tables) -> DataFrame:
-    return fold_consistency(pf.summary(small_oos(t), ["symbol", "fold_id"], 365, SETUP.rf))
+    return fold_consistency(pf.summary(big_oos(t), ["symbol", "fold_id"], 365, SETUP.rf))
 
 
-cte("asset_m", summary_sql("small_oos", "symbol", 365, SETUP.rf), "small_oos")
+cte("asset_m", summary_sql("big_oos", "symbol", 365, SETUP.rf), "big_oos")
 DISPERSION = ["stdev_sharpe", "min_sharpe", "median_sharpe", "max_sharpe", "median_cagr"]
 
 
@@ -403,7 +403,7 @@ DISPERSION = ["stdev_sharpe", "min_sharpe", "median_sharpe", "max_sharpe", "medi
     ),
 )
 def _(t: Tables) -> DataFrame:
-    m = pf.summary(small_oos(t), ["symbol"], 365, SETUP.rf)
+    m = pf.summary(big_oos(t), ["symbol"], 365, SETUP.rf)
     pos = F.count(F.when(F.col("sharpe") > 0, 1))
     return m.agg(
         F.count(F.lit(1)).alias("assets"), pos.alias("positive"), rd(pos / F.count(F.lit(1))).alias("pct_positive"), rd(F.stddev_pop("sharpe")).alias("stdev_sharpe"),
@@ -412,7 +412,7 @@ def _(t: Tables) -> DataFrame:
 
 
 CONC = """SELECT '{dim}' AS dimension, {key}::VARCHAR AS name, sum(ret) AS value FROM {src} GROUP BY {key}"""
-cte("contrib", " UNION ALL ".join([CONC.format(dim="asset", key="symbol", src="small_oos"), CONC.format(dim="fold", key="fold_id", src="small_oos"), CONC.format(dim="regime", key="coalesce(l.label, 'sideways')", src="small_oos s LEFT JOIN proxy_labels l ON s.day = l.day")]), "small_oos", "proxy_labels")
+cte("contrib", " UNION ALL ".join([CONC.format(dim="asset", key="symbol", src="big_oos"), CONC.format(dim="fold", key="fold_id", src="big_oos"), CONC.format(dim="regime", key="coalesce(l.label, 'sideways')", src="big_oos s LEFT JOIN proxy_labels l ON s.day = l.day")]), "big_oos", "proxy_labels")
 cte(
     "conc",
     f"""SELECT dimension, CASE WHEN tot > 0 THEN max_by(name, (round(value, 9), -rk)) FILTER (value > 0) ELSE max_by(name, (round(value, 9), -rk)) END AS name, {r('max(value)', 'value')},
@@ -441,7 +441,7 @@ def concentration(contrib: DataFrame) -> DataFrame:
 
 
 def contributions(t: Tables) -> DataFrame:
-    oos = small_oos(t)
+    oos = big_oos(t)
     labels = market_labels(t).where("symbol = 'BUILDING'").select("day", "label")
     tagged = oos.join(F.broadcast(labels), "day", "left").withColumn("label", F.coalesce("label", F.lit("sideways")))
     dims = F.explode(
@@ -465,9 +465,9 @@ def _(t: Tables) -> DataFrame:
         """SELECT CASE WHEN n_assets = 0 OR n_folds = 0 THEN 'insufficient_data' WHEN fold THEN 'one_fold' WHEN asset THEN 'one_asset' WHEN regime THEN 'one_regime' ELSE 'spread_across_assets_and_folds' END AS dominant_source,
              asset AS one_asset, fold AS one_fold, regime AS one_regime, n_assets, n_folds FROM (
              SELECT bool_or(concentrated) FILTER (dimension = 'asset') AS asset, bool_or(concentrated) FILTER (dimension = 'fold') AS fold, bool_or(concentrated) FILTER (dimension = 'regime') AS regime FROM conc),
-           (SELECT count(DISTINCT symbol) AS n_assets, count(DISTINCT fold_id) AS n_folds FROM small_oos)""",
+           (SELECT count(DISTINCT symbol) AS n_assets, count(DISTINCT fold_id) AS n_folds FROM big_oos)""",
         "conc",
-        "small_oos",
+        "big_oos",
     ),
 )
 def _(t: Tables) -> DataFrame:
@@ -488,11 +488,11 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "agg_distinct_series",
-    sql("SELECT count(*) AS n_picks, count(DISTINCT name) AS distinct_picks, count(DISTINCT split_part(name, '(', 1)) AS families, count(DISTINCT symbol) AS symbols FROM small_pick", "small_pick"),
+    sql("SELECT count(*) AS n_picks, count(DISTINCT name) AS distinct_picks, count(DISTINCT split_part(name, '(', 1)) AS families, count(DISTINCT symbol) AS symbols FROM big_pick", "big_pick"),
 )
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).withColumn("name", w.name())
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP).withColumn("name", w.name())
     family = F.substring_index("name", "(", 1)
     return picks.agg(
         F.count(F.lit(1)).alias("n_picks"), F.countDistinct("name").alias("distinct_picks"), F.countDistinct(family).alias("families"), F.countDistinct("symbol").alias("symbols")

@@ -45,13 +45,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "pf_legacy_denominator",
-    sql(f"SELECT t.day, {r('coalesce(sum(a.ret), 0) / 25.0::DOUBLE', 'ret', 8)} FROM timeline t LEFT JOIN aligned a ON t.day = a.day GROUP BY 1", "timeline", "aligned"),
+    sql(f"SELECT t.day, {r('coalesce(sum(a.ret), 0) / (SELECT count(DISTINCT symbol) FROM bars)::DOUBLE', 'ret', 8)} FROM timeline t LEFT JOIN aligned a ON t.day = a.day GROUP BY 1", "timeline", "aligned", "bars"),
 )
 def _(t: Tables) -> DataFrame:
     bars = panels.stored_brand_bars(t)
     timeline = timeline_of(bars)
     streams = align_to_timeline(close_returns(bars), timeline, ["symbol"])
-    return day_rows(pt.equal_weight(streams, pt.denominators(timeline, None, 25)))
+    return day_rows(pt.equal_weight(streams, pt.denominators(timeline, None, bars.select("symbol").distinct().count())))
 
 
 cte(

@@ -554,9 +554,10 @@ def summary_sql(source: str, keys: str, ppy: int = 365, rf: float = 0.0, days: s
 METRICS = ["final", "cagr", "vol", "sharpe", "sortino", "calmar", "max_drawdown"]
 METRIC_COLS = ", ".join(r(m, m) for m in METRICS)
 
-STREAM_POOL = [s for s in cand.candidate_pool() if s.kind in ("BuyHold", "SmaCross", "TSMom", "DualMom")]
-features_cte("f_sp", cand.pool_features(STREAM_POOL))
-weights_cte("w_sp", STREAM_POOL, "f_sp", keep="symbol, open_time, bar_idx, open, close, prev_close, prev_time")
+STREAM_POOL = cand.candidate_pool()
+features_cte("f_sp", [f for f in cand.pool_features(STREAM_POOL) if f[0] != "macd"])
+cte("fm_sp", "SELECT * FROM f_sp JOIN macd USING (symbol, bar_idx)", "f_sp", "macd")
+weights_cte("w_sp", STREAM_POOL, "fm_sp", keep="symbol, open_time, bar_idx, open, close, prev_close, prev_time")
 cte("sp_pw", f"SELECT * FROM ({PREV_W.format(keys='symbol, name', src='w_sp')}) WHERE bar_idx >= 1", "w_sp")
 cte("sp_acc", transition_sql("w_prev", "w", "prev_close", "open", "close", d(COST), d(RF / 365), "previous", "sp_pw"), "sp_pw")
 @query(
@@ -570,7 +571,7 @@ cte("sp_acc", transition_sql("w_prev", "w", "prev_close", "open", "close", d(COS
 )
 def _(t: Tables) -> DataFrame:
     feats = cand.pool_features(STREAM_POOL)
-    base = featured(t, feats)
+    base = featured(t, feats, macd_of(feats))
     rows = exploded_weights(base, STREAM_POOL, ("symbol", "open_time", "bar_idx", "open", "close", "prev_close", "prev_time"))
     streams = ac.account(rows, ["symbol", "name"], COST, RF, 365, "next_open")
     days = (F.max("open_time") - F.min("prev_time")) / F.lit(86_400_000.0)
@@ -657,7 +658,7 @@ cte(
     "obs_in",
     """SELECT symbol, open_time, CASE WHEN w > w_prev THEN 'BUY' WHEN w < w_prev THEN 'SELL' ELSE 'FLAT' END AS side, w AS target_weight, w_prev AS previous_weight,
               prev_close AS decision_close, open AS exec_price, close AS mark_price, CASE WHEN (open_time // 86400000) % 5 <> 0 THEN open * 0.9995::DOUBLE END AS bid, open * 1.0007::DOUBLE AS ask
-       FROM rule_pw WHERE w <> w_prev OR (open_time // 86400000) % 10 = 0""",
+       FROM rule_pw""",
     "rule_pw",
 )
 
@@ -666,7 +667,6 @@ def observations(t: Tables) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("open_time")
     rows = rule_weights(t).withColumn("w", F.when(F.col("bar_idx") >= 1, F.col("weight")).otherwise(0.0))
     rows = rows.withColumn("w_prev", F.lag("w", 1, 0.0).over(w)).where("bar_idx >= 1")
-    rows = rows.where((F.col("w") != F.col("w_prev")) | (day_number() % 10 == 0))
     side = F.when(F.col("w") > F.col("w_prev"), "BUY").when(F.col("w") < F.col("w_prev"), "SELL").otherwise("FLAT")
     return costs.cost_observation(
         rows.select(

@@ -165,6 +165,6 @@ def _(t: Tables) -> DataFrame:
     for lo, hi in ((0, 1997), (1998, 1999), (2000, 9999)):
         rows.where(year.between(lo, hi)).coalesce(1).write.mode("append").parquet(source)
     stream = runner.table_stream(t.spark, source, files_per_trigger=1)
-    out = sleeves.portfolio_days(stream, t.spark, 25)
+    out = sleeves.portfolio_days(stream, t.spark, t.part.select("p_brand").distinct().count())
     days = t.spark.read.parquet(out)
     return days.select("day", rd("ret", 8).alias("ret"), "present", rd("exposure").alias("exposure"))

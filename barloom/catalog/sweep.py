@@ -22,7 +22,7 @@ from .portfolio import COMBINE, masked_inputs
 from .registry import cte, query, r, sql
 from .signals import OVERLAY, PREV_W, d, features_cte, summary_sql, transition_sql, weight_sql, weights_cte
 from .universe import eligibility
-from .walk import RATE, RFD, SETUP, SMALL, Walk, walk_ctes
+from .walk import POOL, RATE, RFD, SETUP, Walk, walk_ctes
 
 COLS = ["final", "cagr", "sharpe", "max_drawdown"]
 OUT = ", ".join(r(c, c) for c in COLS)
@@ -73,10 +73,10 @@ def _(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- cost, latency, execution
 
 for _bps in sw.COST_BPS:
-    walk_ctes(f"c{_bps}", SMALL, rate=d(_bps / 10_000.0), base="small")
+    walk_ctes(f"c{_bps}", POOL, rate=d(_bps / 10_000.0), base="big")
 for _lag in (1, 2):
-    walk_ctes(f"lag{_lag}", SMALL, latency=_lag, base="small")
-walk_ctes("mclose", SMALL, execution="close", base="small")
+    walk_ctes(f"lag{_lag}", POOL, latency=_lag, base="big")
+walk_ctes("mclose", POOL, execution="close", base="big")
 
 
 def union_summary(parts: dict[str, str], key: str) -> str:
@@ -84,19 +84,19 @@ def union_summary(parts: dict[str, str], key: str) -> str:
 
 
 COST_SQL = union_summary({f"{b / 10_000.0!r}::DOUBLE": f"c{b}_oos" for b in sw.COST_BPS}, "level")
-LAT_SQL = union_summary({"'0'": "small_oos", "'1'": "lag1_oos", "'2'": "lag2_oos"}, "latency")
-EXEC_SQL = union_summary({"'close'": "mclose_oos", "'next_open'": "small_oos"}, "execution")
+LAT_SQL = union_summary({"'0'": "big_oos", "'1'": "lag1_oos", "'2'": "lag2_oos"}, "latency")
+EXEC_SQL = union_summary({"'close'": "mclose_oos", "'next_open'": "big_oos"}, "execution")
 
 
 def cost_sweep(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    out = sw.cost_levels(w.features, SMALL, w.bounds, SETUP, [b / 10_000.0 for b in sw.COST_BPS])
+    w = Walk(t, POOL)
+    out = sw.cost_levels(w.features, POOL, w.bounds, SETUP, [b / 10_000.0 for b in sw.COST_BPS])
     return rows(sw.grid_metrics(out, ["level", "symbol"]), "level", "symbol")
 
 
 def setup_sweep(t: Tables, setups: dict[str, wf.Setup], key: str) -> DataFrame:
-    w = Walk(t, SMALL)
-    return rows(sw.grid_metrics(sw.variants(w.features, SMALL, w.bounds, setups, key), [key, "symbol"]), key, "symbol")
+    w = Walk(t, POOL)
+    return rows(sw.grid_metrics(sw.variants(w.features, POOL, w.bounds, setups, key), [key, "symbol"]), key, "symbol")
 
 
 def latency_sweep(t: Tables) -> DataFrame:
@@ -112,17 +112,17 @@ def _(t: Tables) -> DataFrame:
     return cost_sweep(t)
 
 
-@query("sw_latency", sql(LAT_SQL, "small_oos", "lag1_oos", "lag2_oos"))
+@query("sw_latency", sql(LAT_SQL, "big_oos", "lag1_oos", "lag2_oos"))
 def _(t: Tables) -> DataFrame:
     return latency_sweep(t)
 
 
-@query("sw_execution", sql(EXEC_SQL, "mclose_oos", "small_oos"))
+@query("sw_execution", sql(EXEC_SQL, "mclose_oos", "big_oos"))
 def _(t: Tables) -> DataFrame:
     return execution_sweep(t)
 
 
-cte("oos_blocks", "SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY day) - 1) // 730 AS block FROM small_oos", "small_oos")
+cte("oos_blocks", "SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY day) - 1) // 730 AS block FROM big_oos", "big_oos")
 
 
 @query(
@@ -131,12 +131,12 @@ cte("oos_blocks", "SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY da
         f"""SELECT 'parameters' AS sweep, lookback::VARCHAR || '/' || format('{{:.2f}}', target) AS level, symbol, {OUT} FROM grid_m UNION ALL SELECT 'rolling', block::VARCHAR, symbol, {OUT} FROM ({summary_sql('oos_blocks', 'symbol, block')})
             UNION ALL SELECT 'costs', format('{{:.4f}}', level), symbol, final, cagr, sharpe, max_drawdown FROM ({COST_SQL}) UNION ALL SELECT 'latency', latency, symbol, final, cagr, sharpe, max_drawdown FROM ({LAT_SQL})
             UNION ALL SELECT 'execution', execution, symbol, final, cagr, sharpe, max_drawdown FROM ({EXEC_SQL})""",
-        "grid_m", "oos_blocks", *[f"c{b}_oos" for b in sw.COST_BPS], "small_oos", "lag1_oos", "lag2_oos", "mclose_oos",
+        "grid_m", "oos_blocks", *[f"c{b}_oos" for b in sw.COST_BPS], "big_oos", "lag1_oos", "lag2_oos", "mclose_oos",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
     win = Window.partitionBy("symbol").orderBy("day")
     blocks = w.streams(picks).withColumn("block", F.floor((F.row_number().over(win) - 1) / 730).cast("bigint"))
     label = F.concat(F.col("lookback").cast("string"), F.lit("/"), F.format_string("%.2f", "target"))
@@ -156,17 +156,17 @@ def _(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- ablations
 
-FAMILIES = sorted({s.family for s in SMALL})
-FAM_DIM = ", ".join(f"({i}, '{s.family}')" for i, s in enumerate(SMALL))
-cte("abl_pick", f"SELECT * FROM (SELECT o.omitted, s.symbol, s.fold_id, s.pool_idx, row_number() OVER (PARTITION BY o.omitted, s.symbol, s.fold_id ORDER BY s.sharpe DESC, s.pool_idx) AS rk FROM small_score s JOIN (VALUES {FAM_DIM}) f(pool_idx, family) USING (pool_idx), (VALUES ('none'), {', '.join(f'($${f}$$)' for f in FAMILIES)}) o(omitted) WHERE f.family <> o.omitted) WHERE rk = 1", "small_score")
-cte("abl_oos", "SELECT p.omitted, t.symbol, t.open_time AS day, t.ret FROM small_test t JOIN abl_pick p ON t.symbol = p.symbol AND t.fold_id = p.fold_id AND t.pool_idx = p.pool_idx", "small_test", "abl_pick")
+FAMILIES = sorted({s.family for s in POOL})
+FAM_DIM = ", ".join(f"({i}, '{s.family}')" for i, s in enumerate(POOL))
+cte("abl_pick", f"SELECT * FROM (SELECT o.omitted, s.symbol, s.fold_id, s.pool_idx, row_number() OVER (PARTITION BY o.omitted, s.symbol, s.fold_id ORDER BY s.sharpe DESC, s.pool_idx) AS rk FROM big_score s JOIN (VALUES {FAM_DIM}) f(pool_idx, family) USING (pool_idx), (VALUES ('none'), {', '.join(f'($${f}$$)' for f in FAMILIES)}) o(omitted) WHERE f.family <> o.omitted) WHERE rk = 1", "big_score")
+cte("abl_oos", "SELECT p.omitted, t.symbol, t.open_time AS day, t.ret FROM big_test t JOIN abl_pick p ON t.symbol = p.symbol AND t.fold_id = p.fold_id AND t.pool_idx = p.pool_idx", "big_test", "abl_pick")
 cte("abl_m", summary_sql("abl_oos", "omitted, symbol", 365, SETUP.rf), "abl_oos")
 
 
 @query("ab_family", sql(f"SELECT a.omitted, a.symbol, {r('a.sharpe', 'sharpe')}, {r('a.sharpe - b.sharpe', 'delta_sharpe')}, {r('a.cagr - b.cagr', 'delta_cagr')} FROM abl_m a JOIN abl_m b ON a.symbol = b.symbol AND b.omitted = 'none'", "abl_m"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    m = pf.summary(sw.family_ablation(w.features, SMALL, w.bounds, SETUP), ["omitted", "symbol"], 365, SETUP.rf).select("omitted", "symbol", "sharpe", "cagr")
+    w = Walk(t, POOL)
+    m = pf.summary(sw.family_ablation(w.features, POOL, w.bounds, SETUP), ["omitted", "symbol"], 365, SETUP.rf).select("omitted", "symbol", "sharpe", "cagr")
     base = m.where("omitted = 'none'").select("symbol", F.col("sharpe").alias("s0"), F.col("cagr").alias("c0"))
     return m.join(base, "symbol").select("omitted", "symbol", rd("sharpe").alias("sharpe"), rd(F.col("sharpe") - F.col("s0")).alias("delta_sharpe"), rd(F.col("cagr") - F.col("c0")).alias("delta_cagr"))
 
@@ -275,19 +275,19 @@ def _(t: Tables) -> DataFrame:
 
 # sleeves = walk-forward streams aligned to the out-of-sample calendar, masked, combined, volatility targeted
 cte("oos_days", "SELECT t.day FROM timeline t, oos_span s WHERE t.day > s.f AND t.day <= s.l", "timeline", "oos_span")
-cte("sleeves", "SELECT symbol, day, coalesce(ret, 0.0) AS ret FROM (SELECT s.symbol, t.day FROM oos_days t JOIN (SELECT symbol, min(day) AS f, max(day) AS l FROM small_oos GROUP BY 1) s ON t.day BETWEEN s.f AND s.l) LEFT JOIN small_oos USING (symbol, day)", "oos_days", "small_oos")
+cte("sleeves", "SELECT symbol, day, coalesce(ret, 0.0) AS ret FROM (SELECT s.symbol, t.day FROM oos_days t JOIN (SELECT symbol, min(day) AS f, max(day) AS l FROM big_oos GROUP BY 1) s ON t.day BETWEEN s.f AND s.l) LEFT JOIN big_oos USING (symbol, day)", "oos_days", "big_oos")
 cte("sleeve_masked", "SELECT * FROM sleeves SEMI JOIN eligible USING (day, symbol)", "sleeves", "eligible")
 cte("sleeve_denoms", "SELECT t.day, greatest(1, count(e.symbol)) AS denom FROM oos_days t LEFT JOIN eligible e ON t.day = e.day GROUP BY 1", "oos_days", "eligible")
 cte("cmp_equal", "SELECT d.day, coalesce(sum(m.ret), 0) / max(d.denom) AS ret FROM sleeve_denoms d LEFT JOIN sleeve_masked m ON d.day = m.day GROUP BY 1", "sleeve_denoms", "sleeve_masked")
-cte("cmp", f"SELECT 'equal_raw' AS series, day, ret FROM cmp_equal UNION ALL SELECT 'equal_rm', day, oret FROM ({OVERLAY.format(w='ORDER BY day', src='cmp_equal')}) UNION ALL SELECT baseline, day, ret FROM baselines UNION ALL SELECT symbol, day, ret FROM small_oos", "cmp_equal", "baselines", "small_oos")
+cte("cmp", f"SELECT 'equal_raw' AS series, day, ret FROM cmp_equal UNION ALL SELECT 'equal_rm', day, oret FROM ({OVERLAY.format(w='ORDER BY day', src='cmp_equal')}) UNION ALL SELECT baseline, day, ret FROM baselines UNION ALL SELECT symbol, day, ret FROM big_oos", "cmp_equal", "baselines", "big_oos")
 
 
 def report_streams(t: Tables) -> tuple[DataFrame, DataFrame, Walk]:
     from .universe import calendar_folds
 
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
-    oos = t.keep("oos", lambda: w.streams(picks).select("symbol", "day", "ret"))
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
+    oos = t.keep("oos-sleeves", lambda: w.streams(picks).select("symbol", "day", "ret"))
     folds = calendar_folds(t)
     span = folds.agg(F.min("train_end_ms").alias("f"), F.max("test_end_ms").alias("l"))
     days = timeline_of(w.bars).join(F.broadcast(span), (F.col("day") > F.col("f")) & (F.col("day") <= F.col("l"))).select("day")
@@ -317,7 +317,7 @@ def _(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- selection rules side by side
 
-RULE_SOURCES = {"argmax": "small_oos", "one_se_worst": "oos_worst", "one_se_turnover": "oos_cheap", "robust_shrunk": "oos_robust"}
+RULE_SOURCES = {"argmax": "big_oos", "one_se_worst": "oos_worst", "one_se_turnover": "oos_cheap", "robust_shrunk": "oos_robust"}
 cte("ms", " UNION ALL ".join(f"SELECT '{k}' AS rule, symbol, day, ret FROM {v}" for k, v in RULE_SOURCES.items()), *RULE_SOURCES.values())
 cte("ms_m", summary_sql("ms", "rule, symbol", 365, SETUP.rf), "ms")
 
@@ -329,13 +329,13 @@ cte("ms_m", summary_sql("ms", "rule, symbol", 365, SETUP.rf), "ms")
 def _(t: Tables) -> DataFrame:
     from .walk import PRIOR
 
-    w = Walk(t, SMALL)
+    w = Walk(t, POOL)
     key = ["symbol", "fold_id", "pool_idx"]
     picks = {
-        "argmax": wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select(*key),
-        "one_se_worst": wf.select_one_se(w.features, SMALL, w.bounds, SETUP).select(*key),
-        "one_se_turnover": wf.select_one_se(w.features, SMALL, w.bounds, SETUP, "lowest_turnover").select(*key),
-        "robust_shrunk": wf.select_robust(w.features, SMALL, w.bounds, SETUP, PRIOR).select(*key, "alpha", "prior_idx"),
+        "argmax": wf.select_argmax(w.features, POOL, w.bounds, SETUP).select(*key),
+        "one_se_worst": wf.select_one_se(w.features, POOL, w.bounds, SETUP).select(*key),
+        "one_se_turnover": wf.select_one_se(w.features, POOL, w.bounds, SETUP, "lowest_turnover").select(*key),
+        "robust_shrunk": wf.select_robust(w.features, POOL, w.bounds, SETUP, PRIOR).select(*key, "alpha", "prior_idx"),
     }
     out = None
     for rule, chosen in picks.items():

@@ -15,11 +15,7 @@ from .signals import METRIC_COLS, METRICS, d, ema_cte, features_cte, shifted_mac
 from .universe import calendar_folds
 
 POOL = cand.candidate_pool()
-SMALL = [
-    cand.buy_hold(), cand.sma_cross(10, 50), cand.sma_cross(20, 100), cand.sma_cross(50, 150), cand.trend_vol(50, 0.30), cand.trend_vol(100, 0.30),
-    cand.trend_vol(200, 0.30), cand.rsi_dip(2, 65, 200), cand.ts_mom(63, 0.30), cand.dual_mom((63, 126, 252), 0.30), cand.macd(12, 26, 9), cand.risk_ensemble(),
-]
-PRIOR = len(SMALL) - 1
+PRIOR = next(k for k, spec in enumerate(POOL) if spec == cand.risk_ensemble())
 SETUP = wf.Setup()
 RATE, RFD = d(SETUP.cost_rate), d(SETUP.rf / SETUP.ppy)
 
@@ -72,7 +68,6 @@ cte("slice_src", "SELECT i.symbol, b.fold_id, i.bar_idx - b.train_end_idx AS bar
 ema_cte("slice_ema", "slice_src", "fold_id")
 shifted_macd("slice_macd", "slice_ema", "PARTITION BY symbol, fold_id ORDER BY bar_idx", "symbol, fold_id, bar_idx AS slice_idx")
 walk_ctes("big", POOL)
-walk_ctes("small", SMALL)
 
 
 class Walk:
@@ -124,17 +119,17 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("topk_argmax_stable", sql(f"SELECT symbol, fold_id, name, {r('sharpe', 'sharpe')} FROM small_pick", "small_pick"))
+@query("topk_argmax_stable", sql(f"SELECT symbol, fold_id, name, {r('sharpe', 'sharpe')} FROM big_pick", "big_pick"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP)
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP)
     return picks.select("symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), rd("sharpe").alias("sharpe"))
 
 
-@query("mt_sharpe_se", sql(f"SELECT symbol, fold_id, name, n, {r('sharpe', 'sharpe')}, {r('se', 'se')} FROM small_score", "small_score"))
+@query("mt_sharpe_se", sql(f"SELECT symbol, fold_id, name, n, {r('sharpe', 'sharpe')}, {r('se', 'se')} FROM big_score", "big_score"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    scores = wf.train_scores(w.features, SMALL, w.bounds, SETUP)
+    w = Walk(t, POOL)
+    scores = wf.train_scores(w.features, POOL, w.bounds, SETUP)
     return scores.select("symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), "n", rd("sharpe").alias("sharpe"), rd("se").alias("se"))
 
 
@@ -155,9 +150,9 @@ def _(t: Tables) -> DataFrame:
     return stream_stats(out, "symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"))
 
 
-# ---- selection rules on the small pool
+# ---- selection rules
 
-cte("kept", "SELECT s.*, p.sharpe AS best_sharpe, p.se AS best_se FROM small_score s JOIN small_pick p USING (symbol, fold_id) WHERE s.sharpe >= p.sharpe - p.se OR s.pool_idx = p.pool_idx", "small_score", "small_pick")
+cte("kept", "SELECT s.*, p.sharpe AS best_sharpe, p.se AS best_se FROM big_score s JOIN big_pick p USING (symbol, fold_id) WHERE s.sharpe >= p.sharpe - p.se OR s.pool_idx = p.pool_idx", "big_score", "big_pick")
 cte(
     "sub_blocks",
     f"""SELECT symbol, fold_id, pool_idx, name, block, CASE WHEN sd <= 1e-12::DOUBLE THEN CASE WHEN m > 0 THEN 10.0::DOUBLE WHEN m < 0 THEN -10.0::DOUBLE ELSE 0.0::DOUBLE END
@@ -165,16 +160,16 @@ cte(
           SELECT symbol, fold_id, pool_idx, name, least(i // (n // 3), 2) AS block, avg(ret) AS m, stddev_samp(ret) AS sd FROM (
             SELECT t.symbol, b.fold_id, t.pool_idx, t.name, t.ret, row_number() OVER (PARTITION BY t.symbol, b.fold_id, t.pool_idx ORDER BY open_time) - 1 AS i,
                    count(*) OVER (PARTITION BY t.symbol, b.fold_id, t.pool_idx) AS n
-            FROM small_train t JOIN bounds b USING (symbol) WHERE bar_idx < greatest(2, train_end_idx - 30)) WHERE n // 3 >= 2 GROUP BY 1, 2, 3, 4, 5)""",
-    "small_train",
+            FROM big_train t JOIN bounds b USING (symbol) WHERE bar_idx < greatest(2, train_end_idx - 30)) WHERE n // 3 >= 2 GROUP BY 1, 2, 3, 4, 5)""",
+    "big_train",
     "bounds",
 )
 cte("worst", "SELECT symbol, fold_id, pool_idx, name, round(min(sharpe), 9) AS worst FROM sub_blocks GROUP BY ALL", "sub_blocks")
 
 
-def small_training(w: Walk) -> DataFrame:
-    every = w.bounds.select("symbol", "fold_id").crossJoin(F.broadcast(w.bars.sparkSession.range(len(SMALL)).select(F.col("id").cast("int").alias("pool_idx"))))
-    return wf.training_rows_of(wf.training_streams(w.features, SMALL, SETUP), w.bounds, every, SETUP.embargo)
+def pool_training(w: Walk) -> DataFrame:
+    every = w.bounds.select("symbol", "fold_id").crossJoin(F.broadcast(w.bars.sparkSession.range(len(POOL)).select(F.col("id").cast("int").alias("pool_idx"))))
+    return wf.training_rows_of(wf.training_streams(w.features, POOL, SETUP, w.bounds), w.bounds, every, SETUP.embargo)
 
 
 KEYS = ["symbol", "fold_id", "pool_idx"]
@@ -182,15 +177,15 @@ KEYS = ["symbol", "fold_id", "pool_idx"]
 
 @query("wf_subwindow_sharpe", sql(f"SELECT symbol, fold_id, name, block, {r('sharpe', 'sharpe')} FROM sub_blocks", "sub_blocks"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    out = wf.subwindow_sharpes(small_training(w), KEYS, "open_time", SETUP)
+    w = Walk(t, POOL)
+    out = wf.subwindow_sharpes(pool_training(w), KEYS, "open_time", SETUP)
     return out.select("symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), F.col("block").cast("bigint").alias("block"), rd("sharpe").alias("sharpe"))
 
 
 @query("wf_worst_subwindow", sql(f"SELECT symbol, fold_id, name, {r('worst', 'worst')} FROM worst", "worst"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    out = wf.worst_subwindow(small_training(w), KEYS, "open_time", SETUP)
+    w = Walk(t, POOL)
+    out = wf.worst_subwindow(pool_training(w), KEYS, "open_time", SETUP)
     return out.select("symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), rd("worst").alias("worst"))
 
 
@@ -200,20 +195,20 @@ cte("se_cheap", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol
 
 @query("topk_minimax", sql(f"SELECT symbol, fold_id, name, {r('worst', 'worst')} FROM se_worst", "se_worst"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_one_se(w.features, SMALL, w.bounds, SETUP)
+    w = Walk(t, POOL)
+    picks = wf.select_one_se(w.features, POOL, w.bounds, SETUP)
     return picks.select("symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), rd("worst").alias("worst"))
 
 
 @query("topk_cheapest", sql(f"SELECT symbol, fold_id, name, {r('turnover', 'turnover')} FROM se_cheap", "se_cheap"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_one_se(w.features, SMALL, w.bounds, SETUP, "lowest_turnover")
+    w = Walk(t, POOL)
+    picks = wf.select_one_se(w.features, POOL, w.bounds, SETUP, "lowest_turnover")
     return picks.select("symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), rd("turnover").alias("turnover"))
 
 
 def oos_of(pick: str, label: str) -> str:
-    cte(label, f"SELECT t.symbol, t.fold_id, t.pool_idx, t.name, t.open_time AS day, t.ret, t.w, t.traded FROM small_test t JOIN {pick} p ON t.symbol = p.symbol AND t.fold_id = p.fold_id AND t.pool_idx = p.pool_idx", "small_test", pick)
+    cte(label, f"SELECT t.symbol, t.fold_id, t.pool_idx, t.name, t.open_time AS day, t.ret, t.w, t.traded FROM big_test t JOIN {pick} p ON t.symbol = p.symbol AND t.fold_id = p.fold_id AND t.pool_idx = p.pool_idx", "big_test", pick)
     return label
 
 
@@ -223,10 +218,10 @@ oos_of("se_cheap", "oos_cheap")
 
 @query("wf_select_one_se", sql(f"SELECT 'worst_subwindow' AS tie_break, symbol, {STITCH} FROM {stitch_sql('oos_worst')} UNION ALL SELECT 'lowest_turnover', symbol, {STITCH} FROM {stitch_sql('oos_cheap')}", "oos_worst", "oos_cheap"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
+    w = Walk(t, POOL)
     parts = []
     for rule in ("worst_subwindow", "lowest_turnover"):
-        picks = wf.select_one_se(w.features, SMALL, w.bounds, SETUP, rule).select("symbol", "fold_id", "pool_idx")
+        picks = wf.select_one_se(w.features, POOL, w.bounds, SETUP, rule).select("symbol", "fold_id", "pool_idx")
         parts.append(w.streams(picks).withColumn("tie_break", F.lit(rule)))
     return stitched(wf.stitched_summary(parts[0].unionByName(parts[1]), ["tie_break", "symbol"]), "tie_break", "symbol")
 
@@ -235,16 +230,16 @@ cte(
     "robust",
     f"""SELECT w.symbol, w.fold_id, w.pool_idx, w.name, w.sharpe, w.best_se, s.sharpe AS prior_sharpe, CASE WHEN w.sharpe - s.sharpe <= 0 THEN 0.0::DOUBLE WHEN isinf(w.best_se) THEN 0.0::DOUBLE
           WHEN w.best_se <= 0 THEN 1.0::DOUBLE ELSE (w.sharpe - s.sharpe) / (w.sharpe - s.sharpe + w.best_se) END AS alpha
-        FROM se_worst w JOIN small_score s ON w.symbol = s.symbol AND w.fold_id = s.fold_id AND s.pool_idx = {PRIOR}""",
+        FROM se_worst w JOIN big_score s ON w.symbol = s.symbol AND w.fold_id = s.fold_id AND s.pool_idx = {PRIOR}""",
     "se_worst",
-    "small_score",
+    "big_score",
 )
 
 
 @query("wf_credibility", sql(f"SELECT symbol, fold_id, name, {r('sharpe - prior_sharpe', 'gap')}, {r('best_se', 'se')}, {r('alpha', 'alpha')} FROM robust", "robust"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    out = wf.select_robust(w.features, SMALL, w.bounds, SETUP, PRIOR)
+    w = Walk(t, POOL)
+    out = wf.select_robust(w.features, POOL, w.bounds, SETUP, PRIOR)
     return out.select(
         "symbol", F.col("fold_id").cast("bigint").alias("fold_id"), w.name().alias("name"), rd(F.col("sharpe") - F.col("prior_sharpe")).alias("gap"),
         rd("best_se").alias("se"), rd("alpha").alias("alpha"),
@@ -254,9 +249,9 @@ def _(t: Tables) -> DataFrame:
 cte(
     "robust_w",
     f"""SELECT a.symbol, a.fold_id, a.slice_idx, a.open_time, a.open, a.close, a.prev_close, CASE WHEN r.alpha < 1 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, r.alpha * a.weight + (1 - r.alpha) * p.weight)) ELSE a.weight END AS weight
-        FROM small_tw a JOIN robust r ON a.symbol = r.symbol AND a.fold_id = r.fold_id AND a.pool_idx = r.pool_idx
-        JOIN small_tw p ON p.symbol = a.symbol AND p.fold_id = a.fold_id AND p.slice_idx = a.slice_idx AND p.pool_idx = {PRIOR}""",
-    "small_tw",
+        FROM big_tw a JOIN robust r ON a.symbol = r.symbol AND a.fold_id = r.fold_id AND a.pool_idx = r.pool_idx
+        JOIN big_tw p ON p.symbol = a.symbol AND p.fold_id = a.fold_id AND p.slice_idx = a.slice_idx AND p.pool_idx = {PRIOR}""",
+    "big_tw",
     "robust",
 )
 cte(
@@ -270,37 +265,37 @@ cte(
 
 @query("wf_select_robust", sql(f"SELECT symbol, {STITCH} FROM {stitch_sql('oos_robust')}", "oos_robust"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_robust(w.features, SMALL, w.bounds, SETUP, PRIOR).select("symbol", "fold_id", "pool_idx", "alpha", "prior_idx")
+    w = Walk(t, POOL)
+    picks = wf.select_robust(w.features, POOL, w.bounds, SETUP, PRIOR).select("symbol", "fold_id", "pool_idx", "alpha", "prior_idx")
     return stitched(wf.stitched_summary(w.streams(picks)), "symbol")
 
 
-@query("agg_fold_stitch", sql(f"SELECT symbol, {STITCH} FROM {stitch_sql('small_oos')}", "small_oos"))
+@query("agg_fold_stitch", sql(f"SELECT symbol, {STITCH} FROM {stitch_sql('big_oos')}", "big_oos"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
     return stitched(wf.stitched_summary(w.streams(picks)), "symbol")
 
 
-@query("agg_picks_count", sql("SELECT name, count(*) AS n FROM small_pick GROUP BY 1 ORDER BY n DESC, name LIMIT 5", "small_pick"))
+@query("agg_picks_count", sql("SELECT name, count(*) AS n FROM big_pick GROUP BY 1 ORDER BY n DESC, name LIMIT 5", "big_pick"))
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP)
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP)
     return picks.groupBy(w.name().alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(5)
 
 
 @query(
     "wf_last_pick",
     sql(
-        f"""SELECT p.symbol, max_by(p.name, p.fold_id) AS name, max(p.fold_id) AS fold_id, any_value({r('s.sharpe')}) AS oos_sharpe FROM small_pick p
-            JOIN (SELECT * FROM {stitch_sql('small_oos')}) s USING (symbol) GROUP BY 1""",
-        "small_pick",
-        "small_oos",
+        f"""SELECT p.symbol, max_by(p.name, p.fold_id) AS name, max(p.fold_id) AS fold_id, any_value({r('s.sharpe')}) AS oos_sharpe FROM big_pick p
+            JOIN (SELECT * FROM {stitch_sql('big_oos')}) s USING (symbol) GROUP BY 1""",
+        "big_pick",
+        "big_oos",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_argmax(w.features, SMALL, w.bounds, SETUP)
+    w = Walk(t, POOL)
+    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP)
     last = picks.groupBy("symbol").agg(F.max_by("pool_idx", "fold_id").alias("pool_idx"), F.max("fold_id").cast("bigint").alias("fold_id"))
     sharpe = wf.stitched_summary(w.streams(picks.select("symbol", "fold_id", "pool_idx"))).select("symbol", rd("sharpe").alias("oos_sharpe"))
     return last.join(sharpe, "symbol").select("symbol", w.name().alias("name"), "fold_id", "oos_sharpe")
@@ -308,6 +303,6 @@ def _(t: Tables) -> DataFrame:
 
 @query("wf_select_nested")
 def _(t: Tables) -> DataFrame:
-    w = Walk(t, SMALL)
-    picks = wf.select_nested(w.features, SMALL, w.bounds, 365, 182, 220, SETUP).select("symbol", "fold_id", "pool_idx")
+    w = Walk(t, POOL)
+    picks = wf.select_nested(w.features, POOL, w.bounds, 365, 182, 220, SETUP).select("symbol", "fold_id", "pool_idx")
     return stitched(wf.stitched_summary(w.streams(picks)), "symbol")

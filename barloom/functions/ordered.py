@@ -18,6 +18,13 @@ def seq_chunk(seq: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(seq) / F.lit(rows)).cast("bigint")
 
 
+def null_safe_join(rows: DataFrame, parts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns in which NULL is a value like any other; the columns of `rows` stay."""
+    named = parts.withColumnsRenamed({c: f"_j_{c}" for c in by})
+    same = [rows[c].eqNullSafe(named[f"_j_{c}"]) for c in by]
+    return rows.join(named, same, how).drop(*[f"_j_{c}" for c in by])
+
+
 def lag_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
     """lag(values) over (keys, order), computed chunk by chunk.
 
@@ -35,7 +42,7 @@ def lag_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str
         .drop("_last")
     )
     local = staged.withColumn("_lag", F.lag(packed).over(inner))
-    joined = local.join(carried, part)
+    joined = null_safe_join(local, carried, part)
     prior = F.coalesce(F.col("_lag"), F.col("_carry"))
     return joined.select(*df.columns, *[prior[name].alias(name) for name in values])
 
@@ -50,7 +57,7 @@ def running_sum_split(df: DataFrame, keys: list[str], order: list[str], values:
     totals = staged.groupBy(*part).agg(*[F.sum(src).alias(f"_t_{name}") for name, src in values.items()])
     offsets = totals.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_o_{n}") for n in values])
     local = staged.select("*", *[F.sum(src).over(inner).alias(f"_r_{name}") for name, src in values.items()])
-    joined = local.join(offsets, part)
+    joined = null_safe_join(local, offsets, part)
     return joined.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
 
 
@@ -83,4 +90,4 @@ def asof_split(
     carry = lasts.select(*part, F.last("_last", ignorenulls=True).over(outer).alias("_carry"))
     local = both.withColumn("_seen", F.last("_pack", ignorenulls=True).over(inner)).where(F.col("_rank") == side)
     hit = F.coalesce(F.col("_seen"), F.col("_carry"))
-    return local.join(carry, part).select(*left.columns, *[hit[v].alias(v) for v in values])
+    return null_safe_join(local, carry, part).select(*left.columns, *[hit[v].alias(v) for v in values])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..functions.ordered import lag_split, running_sum_split
+from ..functions.ordered import lag_split, null_safe_join, running_sum_split
 
 # The lifecycle stamps of an order, in order.
 LIFECYCLE = ["signal_generated_ts", "intent_ts", "submitted_ts", "fill_ts"]
@@ -94,7 +94,7 @@ def classify(rows: DataFrame, universe: DataFrame, frozen_at: Column, now: Colum
     )
     staged = tagged.withColumn("_early", early).drop("_in")
     firsts = _first_of(staged.where("_early is null"), seq)
-    joined = staged.join(firsts, IDENTITY, "left")
+    joined = null_safe_join(staged, firsts, IDENTITY, "left")
     reason = F.coalesce(F.col("_early"), F.when(F.col(seq) > F.col("_first"), F.lit("replay")), F.lit(""))
     klass = (
         F.when(reason == "", "forward-paper").when(reason == "replay", "replay").when(reason == "fixture_test", "fixture")
@@ -119,7 +119,7 @@ def verified(rows: DataFrame, universe: DataFrame, freeze_id: str, commit: str,
         .when(late, "wrong_freeze")
     )
     staged = tagged.withColumn("_early", early).drop("_in")
-    joined = staged.join(_first_of(staged.where("_early is null"), seq), IDENTITY, "left")
+    joined = null_safe_join(staged, _first_of(staged.where("_early is null"), seq), IDENTITY, "left")
     exclusion = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.col(seq) > F.col("_first"), "replay")
@@ -166,7 +166,7 @@ def running_balance(fills: DataFrame, chunk: Column, keys: Sequence[str] = ("acc
     with_prev = lag_split(fills, keys, ["seq"], {"p_cash": "cash_after"}, chunk)
     held = running_sum_split(with_prev, [*keys, "symbol"], ["seq"], {"position": "qty"}, chunk)
     copies = fills.groupBy("idem_key").agg(F.min("seq").alias("_first"))
-    rows = held.join(copies, "idem_key")
+    rows = null_safe_join(held, copies.where("idem_key is not null"), ["idem_key"], "left")  # fills without a key duplicate nothing
     signed = F.when(F.col("side") == "BUY", -F.col("notional")).otherwise(F.col("notional")) - F.col("fee")
     expected = F.abs(F.col("qty")) * F.col("price")
     loose = F.greatest(F.lit(2e-5), F.lit(1e-9) * F.greatest(F.abs("notional"), F.abs(expected)))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-MAX_ROUNDS = 64
-
 
 def near_duplicates(pairs: DataFrame, threshold: float = 0.995) -> DataFrame:
     return pairs.where(F.abs("rho") >= threshold)
@@ -32,7 +30,7 @@ def single_linkage(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], thre
         strong.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))
     ).checkpoint()
     labels = nodes.select(*keys, "node", F.col("node").alias("label")).checkpoint()
-    for _ in range(MAX_ROUNDS):
+    while True:
         around = edges.join(labels.withColumnRenamed("node", "other"), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("label").alias("near"))
         stepped = labels.join(around, [*keys, "node"], "left").select(
             *keys, "node", "label", F.least("label", F.coalesce("near", "label")).alias("next")
@@ -45,8 +43,6 @@ def single_linkage(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], thre
         labels = moved.select(*keys, "node", F.col("new").alias("label"))
         if not changed:
             break
-    else:
-        raise RuntimeError("cluster labels did not settle")
     return labels.withColumnRenamed("label", "cluster")
 
 

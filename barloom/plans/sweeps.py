@@ -37,12 +37,10 @@ def cost_levels(features: DataFrame, pool: list[Spec], bounds: DataFrame, setup:
     sums of r0, q, r0^2, r0 q and q^2.
     """
     free = setup.with_(cost_rate=0.0)
-    streams = wf.training_streams(features, pool, free, with_drag=True)
-    cuts = wf.fold_cuts(bounds, setup.embargo)
-    first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
+    streams = wf.training_streams(features, pool, free, bounds, with_drag=True)
     x, q = F.col("ret"), F.col("drag")
     sums = (
-        streams.join(cuts, "symbol").withColumn("tag", first).where("tag is not null").groupBy("symbol", "pool_idx", "tag")
+        streams.groupBy("symbol", "pool_idx", "tag")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(q).alias("q"), F.sum(x * x).alias("xx"), F.sum(x * q).alias("xq"), F.sum(q * q).alias("qq"))
     )
     b = bounds.select(F.col("symbol").alias("bs"), "fold_id")

@@ -67,12 +67,14 @@ def fold_bounds(bars: DataFrame, folds: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ training
 
 
-def training_streams(features: DataFrame, pool: list[Spec], setup: Setup, with_drag: bool = False) -> DataFrame:
-    """Return rows (symbol, pool_idx, bar_idx, open_time, ret, traded, w) of every candidate on the full history.
+def training_streams(features: DataFrame, pool: list[Spec], setup: Setup, bounds: DataFrame, with_drag: bool = False) -> DataFrame:
+    """Return rows (symbol, pool_idx, bar_idx, open_time, tag, ret, traded) of every candidate over all training bars.
 
     Weights stay in one array per bar until after the lag, so the lag needs one
-    window per symbol instead of one per candidate.  `with_drag` adds the
-    return lost per unit of cost rate.
+    window per symbol instead of one per candidate.  The tag, the first fold
+    that may train on a bar, depends on the bar alone: it is joined before the
+    candidates fan out, and bars that no fold trains on end there.  `with_drag`
+    adds the return lost per unit of cost rate.
     """
     rows = with_macd(features, pool, ["symbol"])
     w = Window.partitionBy("symbol").orderBy("open_time")
@@ -82,15 +84,17 @@ def training_streams(features: DataFrame, pool: list[Spec], setup: Setup, with_d
     lagged = F.lag("ws", setup.latency).over(w) if setup.latency else F.col("ws")
     rows = rows.withColumn("ws", F.when(F.col("bar_idx") - setup.latency >= 1, F.coalesce(lagged, zero)).otherwise(zero))
     rows = rows.withColumn("wp", F.coalesce(F.lag("ws").over(w), zero)).where("bar_idx >= 1")
-    flat = rows.select(
-        "symbol", "bar_idx", "open_time", "open", "close", "prev_close", F.posexplode(F.arrays_zip("ws", "wp")).alias("pool_idx", "z")
+    first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
+    tagged = rows.join(fold_cuts(bounds, setup.embargo), "symbol").withColumn("tag", first).where("tag is not null")  # one row per symbol; left to AQE
+    flat = tagged.select(
+        "symbol", "bar_idx", "open_time", "tag", "open", "close", "prev_close", F.posexplode(F.arrays_zip("ws", "wp")).alias("pool_idx", "z")
     )
     legs = ac.stream_return(
         F.col("z.wp"), F.col("z.ws"), F.col("prev_close"), F.col("open"), F.col("close"),
         F.lit(setup.cost_rate), F.lit(setup.rf / setup.ppy), setup.execution,
     )
     extra = [legs["drag"].alias("drag")] if with_drag else []
-    return flat.select("symbol", "pool_idx", "bar_idx", "open_time", legs["ret"].alias("ret"), legs["traded"].alias("traded"), *extra)
+    return flat.select("symbol", "pool_idx", "bar_idx", "open_time", "tag", legs["ret"].alias("ret"), legs["traded"].alias("traded"), *extra)
 
 
 def fold_cuts(bounds: DataFrame, embargo: int) -> DataFrame:
@@ -99,16 +103,11 @@ def fold_cuts(bounds: DataFrame, embargo: int) -> DataFrame:
     return bounds.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(cut.alias("cut"), "fold_id"))).alias("cuts"))
 
 
-def training_moments(streams: DataFrame, bounds: DataFrame, embargo: int, by: Sequence[str] = ("symbol", "pool_idx")) -> DataFrame:
-    """(by, fold_id, n, s1..s4, turnover) of each fold's training prefix."""
-    cuts = fold_cuts(bounds, embargo)
-    first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
+def training_moments(streams: DataFrame, bounds: DataFrame, by: Sequence[str] = ("symbol", "pool_idx")) -> DataFrame:
+    """(by, fold_id, n, s1..s4, turnover) of each fold's training prefix, from tagged streams."""
     x = F.col("ret")
     sums = (
-        streams.join(cuts, "symbol")  # one row per symbol; left to AQE, as symbols may grow
-        .withColumn("tag", first)
-        .where("tag is not null")
-        .groupBy(*by, "tag")
+        streams.groupBy(*by, "tag")
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.sum(p).alias(f"s{k}") for k, p in enumerate((x, x * x, x * x * x, x * x * x * x), start=1)],
@@ -163,7 +162,7 @@ def argmax(scores: DataFrame, keys: Sequence[str], score: str = "sharpe", descen
 
 
 def train_scores(features: DataFrame, pool: list[Spec], bounds: DataFrame, setup: Setup) -> DataFrame:
-    return moment_stats(training_moments(training_streams(features, pool, setup), bounds, setup.embargo), setup)
+    return moment_stats(training_moments(training_streams(features, pool, setup, bounds), bounds), setup)
 
 
 # ------------------------------------------------------------------ testing
@@ -255,7 +254,7 @@ def select_nested(features: DataFrame, pool: list[Spec], bounds: DataFrame, inne
     # the test slice keeps its end bar when there is one inside the training slice
     sliced = start.join(size, ["symbol", "outer"]).select(
         "symbol",
-        (F.col("outer") * 1000 + F.col("inner")).alias("fold_id"),
+        F.struct("outer", "inner").alias("fold_id"),
         "train_end_idx",
         F.least(F.col("train_end_idx") + F.col("n_test"), F.col("last_idx")).alias("test_end_idx"),
     )
@@ -264,7 +263,7 @@ def select_nested(features: DataFrame, pool: list[Spec], bounds: DataFrame, inne
         F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd")
     )
     each = scored.withColumn("s", pf.sharpe(F.col("m"), F.col("sd"), F.col("n"), setup.ppy, setup.rf))
-    mean = each.groupBy("symbol", F.floor(F.col("fold_id") / 1000).cast("int").alias("fold_id"), "pool_idx").agg(
+    mean = each.groupBy("symbol", F.col("fold_id.outer").alias("fold_id"), "pool_idx").agg(
         F.round(F.avg("s"), SCORE_DIGITS).alias("sharpe")
     )
     return argmax(mean, ["symbol", "fold_id"])
@@ -315,8 +314,8 @@ def training_rows_of(streams: DataFrame, bounds: DataFrame, wanted: DataFrame, e
 
 def select_one_se(features: DataFrame, pool: list[Spec], bounds: DataFrame, setup: Setup, tie_break: str = "worst_subwindow") -> DataFrame:
     """Within one standard error of the best: lowest turnover, or best worst sub-window."""
-    streams = training_streams(features, pool, setup)
-    scores = store(moment_stats(training_moments(streams, bounds, setup.embargo), setup), "scores")
+    streams = training_streams(features, pool, setup, bounds)
+    scores = store(moment_stats(training_moments(streams, bounds), setup), "scores")
     kept = within_one_se(scores)
     if tie_break == "lowest_turnover":
         return argmax(kept.withColumn("turnover", F.round("turnover", SCORE_DIGITS)), ["symbol", "fold_id"], "turnover", descending=False)
@@ -336,8 +335,8 @@ def select_robust(features: DataFrame, pool: list[Spec], bounds: DataFrame, setu
     picks = select_one_se(features, pool, bounds, setup)
     if prior_idx is None:
         return picks
-    alone = training_streams(features, [pool[prior_idx]], setup)  # the prior is the only stream needed again
-    prior = moment_stats(training_moments(alone, bounds, setup.embargo), setup)
+    alone = training_streams(features, [pool[prior_idx]], setup, bounds)  # the prior is the only stream needed again
+    prior = moment_stats(training_moments(alone, bounds), setup)
     prior = prior.where("pool_idx = 0").withColumn("pool_idx", F.lit(prior_idx)).where(F.col("pool_idx") == prior_idx).select("symbol", "fold_id", F.col("sharpe").alias("prior_sharpe"))
     joined = picks.join(prior, ["symbol", "fold_id"], "left")
     alpha = F.coalesce(credibility(F.col("sharpe") - F.col("prior_sharpe"), F.col("best_se")), F.lit(1.0))

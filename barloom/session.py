@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -11,9 +14,6 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Panels are small but CPU heavy per row (dozens of windows, a pool of rules):
-    # do not coalesce their shuffles into one task.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -38,6 +38,8 @@ def local_session(cores: int | str = 8, app: str = "barloom", memory: str = "16g
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.warehouse.dir", os.environ.get("BARLOOM_WAREHOUSE", "/tmp/barloom-warehouse"))
         .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
+        # Panels are small but CPU heavy per row: a local run should not coalesce their shuffles into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -50,17 +52,26 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Folder for lineage cuts: the one the cluster names, else `fallback`.
 
     The cluster's `spark.checkpoint.dir` always wins, so a lost executor can
-    re-read the data from shared storage.
+    re-read the data from shared storage.  Without either, a local master gets
+    a temporary folder, removed when Python ends; any other master is refused,
+    as executors would write to their own disks.
     """
-    import tempfile
-
     configured = spark.conf.get("spark.checkpoint.dir", None)
     chosen = configured or fallback
     current = spark.sparkContext.getCheckpointDir()
     if chosen is None:
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         chosen = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-    if not current:
+        atexit.register(shutil.rmtree, chosen, ignore_errors=True)
+    if not current or (configured and not _inside(current, configured)):
         spark.sparkContext.setCheckpointDir(chosen)
     return chosen
+
+
+def _inside(path: str, folder: str) -> bool:
+    """Whether a checkpoint path lies below a folder, whatever scheme either is written with."""
+    bare = [x.split(":", 1)[-1].lstrip("/") if ":" in x else x.lstrip("/") for x in (path, folder)]
+    return bare[0].startswith(bare[1].rstrip("/"))

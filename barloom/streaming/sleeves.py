@@ -72,32 +72,38 @@ def portfolio_days(sleeves: DataFrame, spark: SparkSession, n_assets: int, grace
     """Close dates as the stream advances and write one portfolio row per closed date.
 
     A date is closed once the newest date seen is more than `grace_days` later
-    (never by counting symbols).  Each batch keeps only the tail of history the
-    rule can look at, and its files are named by batch id, so a replayed batch
+    (never by counting symbols); when the source has ended, the dates still
+    open are closed too.  Files are named by batch id, so a replayed batch
     overwrites itself.
     """
     root = scratch(spark, label)
     history, out = f"{root}/history", f"{root}/days"
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.select("symbol", "day", "ret").write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+    def settle(target: str, written: list[str], limit: int | None) -> None:
         seen = spark.read.parquet(history)
-        newest = seen.agg(F.max("day")).first()[0]
-        done = -1
-        previous = [i for i in range(batch_id) if _exists(spark, f"{out}/batch={i}")]
-        if previous:
-            last = spark.read.parquet(*[f"{out}/batch={i}" for i in previous]).agg(F.max("day")).first()[0]
-            done = -1 if last is None else last
-        limit = newest - grace_days * 86_400_000
+        last = spark.read.parquet(*written).agg(F.max("day")).first()[0] if written else None
+        done = -1 if last is None else last
         w = Window.partitionBy("symbol").orderBy(F.desc("day"))
         old = seen.where(F.col("day") <= done).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= pt.TILT_ROWS + 5).select("symbol", "day", "ret")
-        new = seen.where((F.col("day") > done) & (F.col("day") < limit)).select("symbol", "day", "ret")
+        new = seen.where((F.col("day") > done) & (F.lit(True) if limit is None else F.col("day") < limit)).select("symbol", "day", "ret")
         rows = old.unionByName(new)
         dates = new.select("day").distinct()
         ruled = pt.rule(rows, pt.denominators(rows.select("day").distinct(), None, n_assets))
-        ruled.join(F.broadcast(dates), "day", "left_semi").select("day", "ret", "present", "exposure").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ruled.join(F.broadcast(dates), "day", "left_semi").select("day", "ret", "present", "exposure").write.mode("overwrite").parquet(target)
+
+    def earlier(before: int) -> list[str]:
+        return [path for path in (f"{out}/batch={i}" for i in range(before)) if _exists(spark, path)]
+
+    batches = [0]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batches[0] = max(batches[0], batch_id + 1)
+        batch.select("symbol", "day", "ret").write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+        newest = spark.read.parquet(history).agg(F.max("day")).first()[0]
+        settle(f"{out}/batch={batch_id}", earlier(batch_id), newest - grace_days * 86_400_000)
 
     drain_batches(sleeves, handle, label)
+    settle(f"{out}/batch={batches[0]}", earlier(batches[0]), None)
     return out
 
 

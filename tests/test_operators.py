@@ -104,7 +104,7 @@ def test_training_prefix_moments_equal_direct_runs(spark):
     cuts = spark.createDataFrame([(s, f, c, c + 50, 400) for s in "ab" for f, c in ((0, 200), (1, 300))], "symbol string, fold_id int, train_end_idx bigint, test_end_idx bigint, n_bars bigint")
     feats, setup = wf.featured(panel, pool), wf.Setup(embargo=10)
     got = {(r["symbol"], r["fold_id"], r["pool_idx"]): r["sharpe"] for r in wf.train_scores(feats, pool, cuts, setup).collect()}
-    streams = wf.training_streams(feats, pool, setup)
+    streams = wf.training_streams(feats, pool, setup, cuts)
     for fold, cut in ((0, 190), (1, 290)):
         part = streams.where(F.col("bar_idx") < cut).groupBy("symbol", "pool_idx").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
         for r in part.collect():
@@ -132,7 +132,8 @@ def test_nested_selection_against_loops(spark):
         scores = []
         for start, end in folds_:
             sub = wf.featured(bars(spark, {"a": closes[start : end + 1] if end < n else closes[start:n]}), pool)
-            rets = [r["ret"] for r in wf.training_streams(sub, pool, setup).where(F.col("pool_idx") == idx).orderBy("bar_idx").collect()]
+            whole = spark.createDataFrame([("a", 0, 10_000)], "symbol string, fold_id int, train_end_idx bigint")
+            rets = [r["ret"] for r in wf.training_streams(sub, pool, setup, whole).where(F.col("pool_idx") == idx).orderBy("bar_idx").collect()]
             m = sum(rets) / len(rets)
             sd = math.sqrt(sum((x - m) ** 2 for x in rets) / (len(rets) - 1))
             scores.append(0.0 if sd < 1e-12 else (m - setup.rf / 365) / sd * math.sqrt(365))
@@ -260,3 +261,35 @@ def test_reality_check_noise_and_skill(spark):
     df = spark.createDataFrame(rows, "g string, series int, day bigint, ret double")
     got = {r["g"]: r["p_value"] for r in inference.reality_check(df, ["g"], "series", 60, 10).collect()}
     assert got["skill"] <= 2 / 61 and got["noise"] > 0.05
+
+
+def test_chunked_helpers_keep_null_keys(spark):
+    rows = [(k, i, float(i)) for k in (None, "a") for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double")
+    lagged = ordered.lag_split(df, ["k"], ["i"], {"p": "v"}, ordered.seq_chunk("i", 2)).collect()
+    assert {(r["k"], r["i"], r["p"]) for r in lagged} == {(k, i, float(i - 1) if i else None) for k in (None, "a") for i in range(6)}
+    summed = ordered.running_sum_split(df, ["k"], ["i"], {"s": "v"}, ordered.seq_chunk("i", 2)).collect()
+    assert {(r["k"], r["i"], r["s"]) for r in summed} == {(k, i, float(sum(range(i + 1)))) for k in (None, "a") for i in range(6)}
+    left = spark.createDataFrame([(None, 5), ("a", 3)], "k string, t bigint")
+    right = spark.createDataFrame([(None, 1, "x"), (None, 4, "y"), ("a", 9, "z")], "k string, t bigint, w string")
+    assert {(r["k"], r["t"], r["w"]) for r in ordered.asof_split(left, right, ["k"], "t", ["w"], 2).collect()} == {(None, 5, "y"), ("a", 3, None)}
+
+
+def test_checkpoint_folder_needs_a_shared_one():
+    from types import SimpleNamespace
+
+    from barloom import session
+
+    set_to = []
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=set_to.append)
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(bare)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "/shared/spark"), sparkContext=context)
+    assert session.checkpoint_dir(named) == "/shared/spark" and set_to == ["/shared/spark"]
+    context.getCheckpointDir = lambda: "file:/elsewhere/x"
+    session.checkpoint_dir(named)
+    assert set_to == ["/shared/spark"] * 2
+    context.getCheckpointDir = lambda: "file:/shared/spark/abc"
+    session.checkpoint_dir(named)
+    assert len(set_to) == 2

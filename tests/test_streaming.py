@@ -38,7 +38,7 @@ def test_portfolio_days_equal_the_batch_rule(spark):
     out = sleeves.portfolio_days(runner.table_stream(spark, source, 1), spark, 4)
     got = {r["day"]: r["ret"] for r in spark.read.parquet(out).collect()}
     want = {r["day"]: r["ret"] for r in pt.rule(df, pt.denominators(df.select("day").distinct(), None, 4)).collect()}
-    assert set(got) == {d * DAY for d in range(149)}  # the newest date stays open
+    assert set(got) == {d * DAY for d in range(150)}  # the newest date closes when the source ends
     for day, ret in got.items():
         assert ret == pytest.approx(want[day], abs=1e-12)
 
