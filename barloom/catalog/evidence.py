@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r as rd
-from ..functions.ordered import lag_split, running_sum_split, seq_chunk
+from ..functions.ordered import running_sum_split, seq_chunk
 from ..operators import audits as au
 from ..operators import calendar as cal
 from ..operators import grades as gr
@@ -519,17 +519,33 @@ def cost_calibration(rows: DataFrame, keys: list[str], fee_bps: float, spread_bp
 
 CATEGORY = "CASE event_type WHEN 'purchase' THEN 'strategy' WHEN 'click' THEN 'portfolio' WHEN 'signup' THEN 'execution' WHEN 'view' THEN 'universe' ELSE 'methodology' END"
 cte("led0", f"SELECT event_id + 1 AS id, event_id, (epoch_us(ts) // 1000)::VARCHAR AS timestamp, {CATEGORY} AS category, round(value * 100)::BIGINT AS cents, event_id % 4 = 0 AS accepted FROM events")
-cte("led1", "SELECT *, sha256(concat_ws('|', id, timestamp, category, cents, accepted)) AS hash FROM led0", "led0")
+SEGMENT = 64  # entries of one chain of the fixture; the first has no link
+
+
+def body_sql(link: str) -> str:
+    """The whole entry but its hash as JSON, fields sorted, NULLs kept."""
+    return f"""'{{"accepted":' || accepted || ',"category":"' || category || '","cents":' || cents || ',"id":' || id || ',"prev_hash":' || coalesce('"' || {link} || '"', 'null') || ',"timestamp":"' || timestamp || '"}}'"""
+
+
+cte(
+    "led1",
+    f"""SELECT *, NULL::VARCHAR AS link, sha256({body_sql('NULL')}) AS hash FROM led0 WHERE (id - 1) % {SEGMENT} = 0 UNION ALL -- recursive
+        SELECT *, sha256({body_sql('link')}) AS hash FROM (SELECT l.*, c.hash AS link FROM led1 c JOIN led0 l ON l.id = c.id + 1 WHERE (l.id - 1) % {SEGMENT} <> 0)""",
+    "led0",
+)
 cte(
     "ledger",
-    """SELECT id, timestamp, category, CASE WHEN event_id % 997 = 5 THEN cents + 1 ELSE cents END AS cents, accepted, hash, CASE WHEN event_id % 1009 = 7 THEN 'x' WHEN event_id % 1013 = 9 THEN NULL ELSE lag(hash) OVER (ORDER BY id) END AS prev_hash, event_id FROM led1""",
+    """SELECT id, timestamp, category, CASE WHEN event_id % 997 = 5 THEN cents + 1 ELSE cents END AS cents, accepted, hash, CASE WHEN event_id % 1009 = 7 THEN 'x' WHEN event_id % 1013 = 9 THEN NULL ELSE link END AS prev_hash, event_id FROM led1""",
     "led1",
 )
 cte("ledger_cut", "SELECT * FROM ledger WHERE event_id % 1511 <> 3", "ledger")
 
 
-def body():
-    return F.concat_ws("|", F.col("id").cast("string"), "timestamp", "category", F.col("cents").cast("string"), F.col("accepted").cast("string"))
+def body(entry=None, link=None):
+    """The whole entry but its hash as JSON, fields sorted, NULLs kept; of a row or of a struct and a given link."""
+    fields = {c: F.col(c) if entry is None else entry[c] for c in ("accepted", "category", "cents", "id", "timestamp")}
+    fields["prev_hash"] = F.col("prev_hash") if entry is None else link
+    return F.to_json(F.struct(*[fields[c].alias(c) for c in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
 def ledger_base(t: Tables) -> DataFrame:
@@ -544,16 +560,24 @@ def ledger_base(t: Tables) -> DataFrame:
 
 
 def ledger(t: Tables) -> DataFrame:
-    """Events as a hash chain, then edited rows, broken links and removed rows by id."""
-    hashed = ledger_base(t).withColumn("hash", F.sha2(body(), 256))
-    linked = lag_split(hashed, [], ["id"], {"link": "hash"}, seq_chunk("id"))
+    """Events as hash chains of SEGMENT entries, then edited rows, broken and blanked links and removed rows by id."""
+    base = ledger_base(t)
+    segment = base.groupBy(F.floor((F.col("id") - 1) / SEGMENT).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in base.columns if c != "id"]))).alias("entries"))
+
+    def step(acc, e):
+        digest = F.sha2(body(e, acc["link"]), 256)
+        return F.struct(digest.alias("link"), F.concat(acc["out"], F.array(F.struct(acc["link"].alias("link"), digest.alias("hash")))).alias("out"))
+
+    none = F.struct(F.lit(None).cast("string").alias("link"), F.array().cast("array<struct<link:string,hash:string>>").alias("out"))
+    chained = segment.withColumn("chain", F.aggregate("entries", none, step)["out"]).select(F.explode(F.arrays_zip("entries", "chain")).alias("z"))
+    linked = chained.select("z.entries.*", "z.chain.link", "z.chain.hash")
     e = F.col("event_id")
     prev = F.when(e % 1009 == 7, "x").when(e % 1013 == 9, F.lit(None)).otherwise(F.col("link"))
     edited = F.when(e % 997 == 5, F.col("cents") + 1).otherwise(F.col("cents"))
     return linked.withColumns({"prev_hash": prev, "cents": edited}).where(e % 1511 != 3).drop("link")
 
 
-CHAIN = """SELECT id, category, id <> coalesce(lag(id) OVER w, 0) + 1 AS gap, coalesce(timestamp < lag(timestamp) OVER w, false) AS regression, hash <> sha256(concat_ws('|', id, timestamp, category, cents, accepted)) AS edited,
+CHAIN = """SELECT id, category, id <> coalesce(lag(id) OVER w, 0) + 1 AS gap, coalesce(timestamp < lag(timestamp) OVER w, false) AS regression, hash <> sha256(""" + body_sql("prev_hash") + """) AS edited,
    prev_hash IS NOT NULL AND prev_hash IS DISTINCT FROM lag(hash) OVER w AS broken_link FROM ledger_cut WINDOW w AS (ORDER BY id)"""
 
 

@@ -293,3 +293,21 @@ def test_checkpoint_folder_needs_a_shared_one():
     context.getCheckpointDir = lambda: "file:/shared/spark/abc"
     session.checkpoint_dir(named)
     assert len(set_to) == 2
+
+
+def test_a_blanked_link_is_an_edit(spark):
+    import hashlib
+    import json
+
+    from barloom.catalog.evidence import body
+    from barloom.operators import audits
+
+    rows, link = [], None
+    for k in range(1, 5):
+        entry = {"accepted": True, "category": "strategy", "cents": k, "id": k, "prev_hash": link, "timestamp": str(k)}
+        digest = hashlib.sha256(json.dumps(entry, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+        rows.append((k, str(k), "strategy", k, True, digest, None if k == 3 else link))
+        link = digest
+    df = spark.createDataFrame(rows, "id bigint, timestamp string, category string, cents bigint, accepted boolean, hash string, prev_hash string")
+    out = {r["id"]: (r["gap"], r["regression"], r["edited"], r["broken_link"]) for r in audits.hash_chain(df, ordered.seq_chunk("id"), body()).collect()}
+    assert out == {1: (False,) * 4, 2: (False,) * 4, 3: (False, False, True, False), 4: (False,) * 4}
