@@ -160,21 +160,17 @@ def word_grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray,
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b); nodes without an edge are absent.
 
-    Every round takes the smallest label around a node and then the label of
-    that label, so a chain of length n settles in about log n rounds.  Rounds
-    are stored in the shared folder; the loop ends when no label moves.
+    Every round takes the smallest label around a node and the label that this
+    label had itself, so a chain of length n settles in about log n rounds.  A
+    round is one stored table; the loop ends when no label moves.
     """
     both = store(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{label}-edges")
     state = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), label)
     while True:
-        near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = store(
-            state.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), label
-        )
-        # the label of a label: labels are nodes too, and pre-aggregated so that a huge component is one key row
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        heads = step.select("component").distinct().join(jump, "component")
-        state = store(step.join(heads, "component", "left").select("node", "old", F.coalesce("far", "component").alias("component")), label)
+        around = both.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        stepped = state.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("near"))
+        far = state.select(F.col("node").alias("near"), F.col("component").alias("far"))
+        state = store(stepped.join(far, "near", "left").select("node", "old", F.least("near", "far").alias("component")), label)
         moved = state.where("old <> component").limit(1).count()
         state = state.select("node", "component")
         if not moved:
