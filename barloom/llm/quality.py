@@ -84,16 +84,16 @@ def fences(counts: DataFrame) -> DataFrame:
     own = store(own, "op4-sketches")
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in RATIOS]]
     by_lang = own.groupBy("group_lang").agg(*merged)
-    everything = own.agg(*merged)
+    total = own.agg(*merged).first()  # one row of fixed-size sketches
 
     def renamed(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{tag}_{c}") if c in RATIOS or c == "n" else F.col(c) for c in df.columns])
 
     groups = counts.select("group_lang", "group_source").distinct()
-    wide = groups.join(renamed(own, "own"), ["group_lang", "group_source"], "left").join(renamed(by_lang, "lang"), "group_lang", "left").crossJoin(F.broadcast(renamed(everything, "all")))
+    wide = groups.join(renamed(own, "own"), ["group_lang", "group_source"], "left").join(renamed(by_lang, "lang"), "group_lang", "left")
     out = []
     for r, least in RATIOS.items():
-        sketch = F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{r}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{r}")).otherwise(F.col(f"all_{r}"))
+        sketch = F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{r}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{r}")).otherwise(F.lit(total[r]).cast("binary"))
         low, high = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
         reach = F.greatest(SPREAD * (high - low), F.lit(least))
         out += [(low - reach).alias(f"{r}_low"), (high + reach).alias(f"{r}_high")]
