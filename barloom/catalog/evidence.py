@@ -188,9 +188,9 @@ cte(
 cte("order_problems", "SELECT *, list_filter([CASE WHEN k % 37 = 0 THEN 'naive timezone' END, CASE WHEN k % 47 = 0 THEN 'unparseable' END, CASE WHEN list_sort(stamps) <> stamps THEN 'out of order' END, CASE WHEN far THEN 'intent far from session' END], lambda x: x IS NOT NULL) AS problems FROM orders_flat", "orders_flat")
 
 
-@query("au_lifecycle", sql("SELECT reason, count(*) AS n, min(d::VARCHAR || ':' || symbol) AS first_example FROM (SELECT d, symbol, unnest(problems) AS reason FROM order_problems) GROUP BY 1", "order_problems"))
+@query("au_lifecycle", sql("SELECT reason, count(*) AS n, array_to_string(list_sort(list(DISTINCT d::VARCHAR || ':' || symbol))[1:5], ',') AS examples FROM (SELECT d, symbol, unnest(problems) AS reason FROM order_problems) GROUP BY 1", "order_problems"))
 def _(t: Tables) -> DataFrame:
-    return ts.lifecycle_audit(forward_tape(t))
+    return ts.lifecycle_audit(forward_tape(t)).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("au_trusted_orders", sql("SELECT symbol, count(*) AS n_orders, count(*) FILTER (len(problems) = 0) AS n_trusted FROM order_problems GROUP BY 1", "order_problems"))
@@ -207,26 +207,25 @@ def _(t: Tables) -> DataFrame:
     return ts.usable_observations(forward_tape(t)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rd(F.avg(F.abs("slippage_bps"))).alias("mean_abs_bps"))
 
 
-BUCKET_SQL = "CASE WHEN slip IS NULL THEN 'unknown' WHEN abs(slip) < 1 THEN '[0,1)' WHEN abs(slip) < 5 THEN '[1,5)' WHEN abs(slip) < 10 THEN '[5,10)' WHEN abs(slip) < 25 THEN '[10,25)' ELSE '[25,inf)' END"
+BUCKET_SQL = "CASE WHEN slip IS NULL THEN 'unknown' WHEN abs(slip) < 1 THEN '0-1bps' WHEN abs(slip) < 5 THEN '1-5bps' WHEN abs(slip) < 10 THEN '5-10bps' WHEN abs(slip) < 25 THEN '10-25bps' ELSE '25bps+' END"
 
 
 @query(
     "agg_gap_distribution",
-    # one basis point apart from the bucket borders: gaps here are multiples of ten, so borders are rounded first
     sql(
-        f"""SELECT b.bucket, coalesce(g.n, 0) AS n, s.* FROM (VALUES ('[0,1)'), ('[1,5)'), ('[5,10)'), ('[10,25)'), ('[25,inf)'), ('unknown')) b(bucket)
-            LEFT JOIN (SELECT {BUCKET_SQL} AS bucket, count(*) AS n FROM (SELECT round(slip, 3) AS slip FROM flat) GROUP BY 1) g USING (bucket),
-            (SELECT {r('avg(abs(slip))', 'mean_abs')}, {r('quantile_cont(slip, 0.5)', 'p50', 3)}, {r('quantile_cont(slip, 0.9)', 'p90', 3)} FROM (SELECT round(slip, 3) AS slip FROM flat) WHERE slip IS NOT NULL) s""",
+        f"""SELECT b.bucket, coalesce(g.n, 0) AS n, s.* FROM (VALUES ('0-1bps'), ('1-5bps'), ('5-10bps'), ('10-25bps'), ('25bps+'), ('unknown')) b(bucket)
+            LEFT JOIN (SELECT {BUCKET_SQL} AS bucket, count(*) AS n FROM flat GROUP BY 1) g USING (bucket),
+            (SELECT {r('avg(abs(slip))', 'mean_abs')}, {r('quantile_cont(slip, 0.5)', 'p50', 3)}, {r('quantile_cont(slip, 0.9)', 'p90', 3)}, {r('max(abs(slip))', 'largest', 3)} FROM flat WHERE slip IS NOT NULL) s""",
         "flat",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    rows = forward_tape(t).select(F.explode("assets").alias("symbol", "a")).select(F.round("a.slippage_bps", 3).alias("slip"))
+    rows = forward_tape(t).select(F.explode("assets").alias("symbol", "a")).select(F.col("a.slippage_bps").alias("slip"))
     names = [*[b for _, b in ts.BUCKETS], ts.LAST_BUCKET, ts.UNKNOWN]
     dim = t.spark.createDataFrame([(b,) for b in names], "bucket string")
     counts = rows.groupBy(ts.bucket(F.col("slip")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     stats = rows.where("slip is not null").agg(
-        rd(F.avg(F.abs("slip"))).alias("mean_abs"), rd(F.percentile("slip", F.lit(0.5)), 3).alias("p50"), rd(F.percentile("slip", F.lit(0.9)), 3).alias("p90")
+        rd(F.avg(F.abs("slip"))).alias("mean_abs"), rd(F.percentile("slip", F.lit(0.5)), 3).alias("p50"), rd(F.percentile("slip", F.lit(0.9)), 3).alias("p90"), rd(F.max(F.abs("slip")), 3).alias("largest"),
     )
     return dim.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(stats))  # one statistics row
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import performance as pf
+from ..functions.normal import norm_cdf
 from ..functions.numeric import r as rd
 from ..operators import clusters as cl
 from ..operators import inference as inf
@@ -137,6 +138,13 @@ def _(t: Tables) -> DataFrame:
     return out.select("symbol", "actual_mdd", *[rd(c).alias(c) for c in DD])
 
 
+def cdf_sql(z: str) -> str:
+    return (
+        f"(CASE WHEN ({z}) < -8 THEN 0.0::DOUBLE WHEN ({z}) > 8 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: sign({z}) * exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) "
+        f"- ((k + 1) * ln(2.0::DOUBLE) + lgamma(k + 1.5::DOUBLE) - 0.5::DOUBLE * ln(pi()))))) END)"
+    )
+
+
 # ---- paired: every segment against BUILDING on shared days
 
 cte("paired", "SELECT a.symbol, a.day, a.ret AS s, b.ret AS b, row_number() OVER (PARTITION BY a.symbol ORDER BY a.day) - 1 AS i, count(*) OVER (PARTITION BY a.symbol) AS n FROM segrets a JOIN segrets b ON a.day = b.day AND b.symbol = 'BUILDING' WHERE a.symbol <> 'BUILDING'", "segrets")
@@ -163,9 +171,9 @@ def paired_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
 @query(
     "bs_paired_diff",
     sql(
-        f"""SELECT g.symbol, {r('avg((g.d_cagr < 0)::INT)', 'p_worse_cagr')}, {r('avg((g.d_sharpe < 0)::INT)', 'p_worse_sharpe')}, {r('any_value(o.d_sharpe)', 'gap_sharpe')}, {r('any_value(o.d_cagr)', 'gap_cagr')},
+        f"""SELECT *, {r(cdf_sql('neg_z'), 'analytic_p')} FROM (SELECT g.symbol, {r('avg((g.d_cagr < 0)::INT)', 'p_worse_cagr')}, {r('avg((g.d_sharpe < 0)::INT)', 'p_worse_sharpe')}, {r('any_value(o.d_sharpe)', 'gap_sharpe')}, {r('any_value(o.d_cagr)', 'gap_cagr')},
               {r(q_sql('g.d_sharpe', 0.05), 'gap_low')}, {r(q_sql('g.d_sharpe', 0.95), 'gap_high')}, {r('-any_value(o.d_sharpe) / stddev_samp(g.d_sharpe)', 'neg_z')}
-            FROM pair_gaps g JOIN pair_obs o USING (symbol) GROUP BY 1""",
+            FROM pair_gaps g JOIN pair_obs o USING (symbol) GROUP BY 1)""",
         "pair_gaps",
         "pair_obs",
     ),
@@ -186,7 +194,7 @@ def _(t: Tables) -> DataFrame:
     return out.select(
         "symbol", rd("p_worse_cagr").alias("p_worse_cagr"), rd("p_worse_sharpe").alias("p_worse_sharpe"), rd("o_sharpe").alias("gap_sharpe"), rd("o_cagr").alias("gap_cagr"),
         rd("gap_low").alias("gap_low"), rd("gap_high").alias("gap_high"), rd(-F.try_divide("o_sharpe", "sd")).alias("neg_z"),
-    )
+    ).withColumn("analytic_p", rd(norm_cdf(F.col("neg_z"))))
 
 
 HORIZON = 252
@@ -310,13 +318,6 @@ def _(t: Tables) -> DataFrame:
 
 
 # Normal distribution in SQL: the series phi(z) * sum z^(2k+1)/(2k+1)!! and Wichura's AS241 rational approximation (published coefficients).
-def cdf_sql(z: str) -> str:
-    return (
-        f"(CASE WHEN ({z}) < -8 THEN 0.0::DOUBLE WHEN ({z}) > 8 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: sign({z}) * exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) "
-        f"- ((k + 1) * ln(2.0::DOUBLE) + lgamma(k + 1.5::DOUBLE) - 0.5::DOUBLE * ln(pi()))))) END)"
-    )
-
-
 AS241 = {
     "a": [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3],
     "b": [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3],
@@ -392,8 +393,6 @@ cte("arm_p", f"SELECT symbol, pool_idx AS arm_id, round({cdf_sql('z')}, 9) AS p_
 
 
 def candidate_p_values(t: Tables) -> DataFrame:
-    from ..functions.normal import norm_cdf
-
     obs = candidate_streams(t).groupBy("symbol", "pool_idx").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd")).where("sd > 1e-12")
     z = -F.col("m") / F.col("sd") * F.sqrt(F.col("n").cast("double"))
     return obs.withColumn("z", z).select("symbol", F.col("pool_idx").alias("arm_id"), F.round(norm_cdf(F.col("z")), 9).alias("p_value"))

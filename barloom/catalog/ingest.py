@@ -23,13 +23,20 @@ def day_number(name: str = "open_time"):
 # ---------------------------------------------------------------- sources
 
 
+def as_files(t: Tables, pages: DataFrame, label: str) -> DataFrame:
+    """Write every payload to a file of its own below symbol=..., and read the files back."""
+    path = sinks.scratch(t.spark, label)
+    pages.select("symbol", "payload").write.option("maxRecordsPerFile", 1).partitionBy("symbol").text(path)
+    return market.read_payloads(t.spark, path)
+
+
 def kline_pages(t: Tables) -> DataFrame:
-    """Brand bars as exchange payloads, one page per symbol and month."""
+    """Brand bars as exchange payloads, one page per symbol and year."""
     quoted = [F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')) for c in ("open", "high", "low", "close", "volume")]
     tail = F.when(day_number() % 7 != 0, F.concat(F.lit(',0,"'), F.col("quote_volume").cast("string"), F.lit('"'))).otherwise("")
     k = F.concat(F.lit("["), F.concat_ws(",", F.col("open_time").cast("string"), *quoted), tail, F.lit("]"))
-    month = F.date_format(F.timestamp_millis("open_time"), "yyyy-MM")
-    rows = panels.brand_bars(t).select("symbol", month.alias("page"), "open_time", k.alias("k"))
+    year = F.year(F.timestamp_millis("open_time"))
+    rows = panels.brand_bars(t).select("symbol", year.alias("page"), "open_time", k.alias("k"))
     arr = F.transform(F.array_sort(F.collect_list(F.struct("open_time", "k"))), lambda x: x["k"])
     return rows.groupBy("symbol", "page").agg(F.concat(F.lit("["), F.array_join(arr, ","), F.lit("]")).alias("payload"))
 
@@ -43,7 +50,7 @@ def kline_pages(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return market.parse_klines(kline_pages(t), ["symbol"])
+    return market.parse_klines(as_files(t, kline_pages(t), "klines"), ["symbol"])
 
 
 def chart_pages(t: Tables, rows: DataFrame) -> DataFrame:
@@ -74,7 +81,7 @@ def chart_pages(t: Tables, rows: DataFrame) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return market.parse_chart(chart_pages(t, panels.brand_bars(t)), ["symbol"])
+    return market.parse_chart(as_files(t, chart_pages(t, panels.brand_bars(t)), "charts"), ["symbol"])
 
 
 @query(
@@ -89,8 +96,9 @@ def _(t: Tables) -> DataFrame:
     d = day_number()
     value = F.when(d % 9 == 0, ".").when(d % 9 == 1, "").otherwise(F.col("close").cast("string"))
     date = F.date_format(F.timestamp_millis("open_time"), "yyyy-MM-dd")
-    lines = panels.segment_bars(t).select("symbol", F.concat_ws(",", date, value).alias("value"))
-    return market.parse_index_csv(lines, ["symbol"]).withColumn("date", F.col("date").cast("string"))
+    path = sinks.scratch(t.spark, "index-csv")
+    panels.segment_bars(t).select("symbol", date.alias("observation_date"), value.alias("close")).write.partitionBy("symbol").csv(path, header=True, emptyValue="")
+    return market.read_index_csv(t.spark, path).select("symbol", F.col("date").cast("string").alias("date"), "close")
 
 
 @query(
@@ -103,7 +111,7 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    pages = chart_pages(t, panels.segment_bars(t))
+    pages = as_files(t, chart_pages(t, panels.segment_bars(t)), "index-charts")
     return market.parse_index_json(pages, ["symbol"]).withColumn("date", F.col("date").cast("string"))
 
 

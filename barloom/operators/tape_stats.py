@@ -12,8 +12,9 @@ from .audits import lifecycle_problems
 from .calendar import closure
 
 # Slippage buckets, closed on the left.
-BUCKETS = [(1.0, "[0,1)"), (5.0, "[1,5)"), (10.0, "[5,10)"), (25.0, "[10,25)")]
-LAST_BUCKET, UNKNOWN = "[25,inf)", "unknown"
+BUCKETS = [(1.0, "0-1bps"), (5.0, "1-5bps"), (10.0, "5-10bps"), (25.0, "10-25bps")]
+LAST_BUCKET, UNKNOWN = "25bps+", "unknown"
+EXAMPLES, EXAMPLE_BUCKETS = 5, 64
 PENALTY = {"partial": 5.0, "outage": 10.0, "duplicate": 5.0, "malformed": 10.0, "snapshot": 5.0, "repro": 10.0, "benchmark": 10.0}
 
 
@@ -70,10 +71,17 @@ def exploded_orders(tape: DataFrame) -> DataFrame:
 
 
 def lifecycle_audit(tape: DataFrame) -> DataFrame:
-    """(reason, n, first_example): flagged orders per reason, with the smallest date:symbol label."""
+    """(reason, n, examples): flagged orders per reason, with up to five of the smallest date:symbol labels.
+
+    The labels are cut to five inside hash buckets first, so no reason collects all its labels.
+    """
     rows = exploded_orders(tape).select("date", F.col("order.symbol").alias("symbol"), F.explode("problems").alias("reason"))
     label = F.concat_ws(":", F.col("date").cast("string"), "symbol")
-    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("first_example"))
+    named = rows.groupBy("reason", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = named.groupBy("reason", F.pmod(F.xxhash64("label"), F.lit(EXAMPLE_BUCKETS)).alias("bucket"))
+    parts = dealt.agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("label")), 1, EXAMPLES).alias("labels"))
+    few = F.slice(F.array_sort(F.flatten(F.collect_list("labels"))), 1, EXAMPLES)
+    return parts.groupBy("reason").agg(F.sum("n").alias("n"), few.alias("examples"))
 
 
 def trusted_orders(tape: DataFrame) -> DataFrame:

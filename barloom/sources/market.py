@@ -18,8 +18,9 @@ CHART_SCHEMA = (
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (file, payload)."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
+    """One row per file: (file, payload) and the columns in the names of its folders."""
+    pages = spark.read.text(path, wholetext=True)
+    return pages.select(F.input_file_name().alias("file"), F.col("value").alias("payload"), *[c for c in pages.columns if c != "value"])
 
 
 def _number(k: Column, i: int) -> Column:
@@ -75,9 +76,10 @@ def parse_index_csv(lines: DataFrame, keep: list[str]) -> DataFrame:
 
 def read_index_csv(spark: SparkSession, path: str) -> DataFrame:
     """Index CSV files with a header line."""
-    schema = "observation_date date, close double"
+    schema = "observation_date date, close double"  # folder names add their columns
     frame = spark.read.csv(path, header=True, schema=schema, nullValue=".")
-    return frame.select(F.col("observation_date").alias("date"), "close").where("close is not null")
+    rest = [c for c in frame.columns if c not in ("observation_date", "close")]
+    return frame.select(*rest, F.col("observation_date").alias("date"), "close").where("close is not null")
 
 
 def parse_index_json(pages: DataFrame, keep: list[str]) -> DataFrame:
