@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = linked.where("doc_id <> head").select("doc_id").distinct()
     texts = only(rows.where("doc_id is not null"), copies, "doc_id", "left_anti")
 
-    shared = sampled(texts, False).groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
+    # stored, so that the join below has plain shuffles on both sides and a name in very many texts can be split
+    shared = store(sampled(texts, False).groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name"), "op6-names")
     hits = store(sampled(texts, True).join(shared, "name"), "op6-samples")
     classes = store(hits.groupBy("name", "context").agg(F.min(F.struct("doc_id", "first", "last")).alias("least")), "op6-contexts")
     again = hits.join(classes, ["name", "context"]).where(F.struct("doc_id", "first", "last") > F.col("least")).select(
