@@ -340,7 +340,7 @@ def ppf_sql(p: str) -> str:
 
 
 ZEXPR = "CASE WHEN n >= 4 AND 1 - skew * sp + (kurt - 1) / 4 * sp * sp > 0 THEN (sp - {b}) * sqrt(n - 1) / sqrt(1 - skew * sp + (kurt - 1) / 4 * sp * sp) END"
-cte("psr_in", "SELECT symbol, n, m / nullif(sqrt(vs), 0) AS sp, m3 / pow(v, 1.5) AS skew, m4 / (v * v) AS kurt FROM (SELECT symbol, count(*) AS n, avg(ret) AS m, var_samp(ret) AS vs, var_pop(ret) AS v, avg(pow(ret - mu, 3)) AS m3, avg(pow(ret - mu, 4)) AS m4 FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mu FROM big_oos) GROUP BY 1)", "big_oos")
+cte("psr_in", "SELECT symbol, n, CASE WHEN vs < 1e-24 THEN 0.0::DOUBLE ELSE m / sqrt(vs) END AS sp, CASE WHEN v < 1e-24 THEN 0.0::DOUBLE ELSE m3 / pow(v, 1.5) END AS skew, CASE WHEN v < 1e-24 THEN 3.0::DOUBLE ELSE m4 / (v * v) END AS kurt FROM (SELECT symbol, count(*) AS n, avg(ret) AS m, var_samp(ret) AS vs, var_pop(ret) AS v, avg(pow(ret - mu, 3)) AS m3, avg(pow(ret - mu, 4)) AS m4 FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mu FROM big_oos) GROUP BY 1)", "big_oos")
 cte("psr_z", f"SELECT *, {ZEXPR.format(b='0.0')} AS z FROM psr_in", "psr_in")
 
 
@@ -373,7 +373,31 @@ def _(t: Tables) -> DataFrame:
     return out.select("symbol", "n", rd("benchmark_sharpe").alias("benchmark_sharpe"), rd("z", 5).alias("z"), rd("dsr").alias("dsr"))
 
 
-@query("mt_selection_adjusted")
+E_NUM, GAMMA = "2.718281828459045::DOUBLE", "0.5772156649015329::DOUBLE"
+cte(
+    "sel_in",
+    f"""SELECT p.*, right(symbol, 1) = '5' AS pre, greatest(coalesce(t.k, 0), {len(POOL)}) AS n_trials, coalesce(t.k, 0) AS n_sharpes, t.v FROM psr_z p
+        LEFT JOIN (SELECT * FROM trials WHERE right(symbol, 1) <> '4') t USING (symbol)""",
+    "psr_z",
+    "trials",
+)
+cte(
+    "sel_bench",
+    f"""SELECT *, CASE WHEN n_sharpes >= 2 AND v > 0 AND n_trials >= 2 THEN sqrt(v) * ((1 - {GAMMA}) * ({ppf_sql('1 - 1.0::DOUBLE / n_trials')}) + {GAMMA} * ({ppf_sql(f'1 - 1.0::DOUBLE / (n_trials * {E_NUM})')})) ELSE 0.0 END AS bench,
+          CASE WHEN pre THEN NULL WHEN n_trials <= 1 THEN 'no search history' WHEN n_sharpes < 2 THEN 'fewer than two trial Sharpes' END AS reason FROM sel_in""",
+    "sel_in",
+)
+cte("sel_z", f"SELECT *, coalesce({cdf_sql('z')}, 0.5) AS psr, {ZEXPR.format(b='bench / sqrt(365.0::DOUBLE)')} AS bz FROM sel_bench", "sel_bench")
+
+
+@query(
+    "mt_selection_adjusted",
+    sql(
+        f"""SELECT symbol, CASE WHEN pre THEN 1 ELSE n_trials END AS n_trials, reason, {r('psr', 'psr')}, {r(f'CASE WHEN pre THEN psr WHEN reason IS NULL THEN coalesce({cdf_sql("bz")}, 0.5) END', 'dsr')},
+              {r('CASE WHEN pre THEN 0.0 WHEN reason IS NULL THEN bench END', 'benchmark_sharpe')} FROM sel_z""",
+        "sel_z",
+    ),
+)
 def _(t: Tables) -> DataFrame:
     # ledger: the recorded trial Sharpes, absent for symbols ending in 4; symbols ending in 5 are pre-specified
     ledger = trial_sharpes(t).where(~F.col("symbol").endswith("4"))

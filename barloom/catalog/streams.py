@@ -153,7 +153,17 @@ def _(t: Tables) -> DataFrame:
     return out.select("symbol", "day", rd("held").alias("held"), rd("ret", 8).alias("ret"), rd("mark").alias("mark"))
 
 
-@query("st_portfolio_day")
+@query(
+    "st_portfolio_day",
+    sql(
+        f"""SELECT day, {r('g * exposure', 'ret', 8)}, present, {r('exposure', 'exposure')} FROM (SELECT d.day, coalesce(sum(w.weight * w.ret), 0) AS g, count(w.symbol) AS present,
+              count(w.symbol) / (SELECT count(DISTINCT p_brand) FROM part)::DOUBLE * max(CASE WHEN c.avg_corr > 0.6::DOUBLE THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END) AS exposure
+            FROM (SELECT DISTINCT day FROM masked) d LEFT JOIN tilt_w w ON d.day = w.day LEFT JOIN avg_corr c ON d.day = c.day GROUP BY 1)""",
+        "masked",
+        "tilt_w",
+        "avg_corr",
+    ),
+)
 def _(t: Tables) -> DataFrame:
     masked, _timeline, _denoms = masked_inputs(t)
     source = sinks.scratch(t.spark, "sleeve-days")

@@ -35,4 +35,4 @@ def test_matches_sql(spark, duck, name):
 def test_registry_is_complete():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     rows_only = set(catalog.QUERIES) - set(catalog.ORACLES)
-    assert rows_only == {"wf_select_nested", "mt_selection_adjusted", "mt_bayes_sharpe", "st_portfolio_day"}
+    assert rows_only == {"wf_select_nested", "mt_bayes_sharpe"}
