@@ -18,72 +18,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, mix, prefix_hash, span_hash, store, text_chunks, word_grams, word_spans
+from .common import mix, prefix_hash, span_hash, store, text_chunks, word_grams, word_spans
 
 WINDOW = 6
 SHORTEST = 4  # items of fewer words are too common to look for
 COVERAGE = 0.4
 BLOCK_KEYS = 2_000_000  # benchmark windows looked up in one pass over the documents
-PLAIN, NUMBER, TITLE, UNIT, NOTHING = range(5)
 NUMERAL = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|[a-z]{1,3})?")
-EDGES = ".,;:?!\"'()[]{}<>*%&#|-_=/\\~`«»“”„’"
+EDGES = b".,;:?!\"'()[]{}<>*%&#|-_=/\\~`"
 #: Units that follow a number.
-UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent % $ € £ dollars euros mph kmh °c °f °".split())
+UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years am pm percent $ € £ dollars euros mph kmh °c °f °".split())
 MARKS = mix(np.array([11, 22, 33], dtype=np.uint64))  # placeholders of number, name and unit
-_ENDS = np.zeros(256, dtype=bool)
-_ENDS[list(b".!?:\n")] = True
-
-
-class Canon:
-    """Kind and canonical hash of words, looked up by the hash of the written word."""
-
-    def __init__(self) -> None:
-        self.known: dict[int, tuple[int, int]] = {}
-
-    def _one(self, word: str) -> tuple[int, int]:
-        low = word.lower()
-        if low in UNITS:
-            core, kind = low, UNIT
-        else:
-            core = word.strip(EDGES)
-            low = core.lower()
-            if not core:
-                return NOTHING, 0
-            kind = NUMBER if NUMERAL.fullmatch(low) else UNIT if low in UNITS else TITLE if core[:1].isupper() and not core[1:2].isupper() and len(core) > 1 else PLAIN
-        raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        return kind, int(span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
-
-    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        written, first, back = np.unique(span_hash(prefix_hash(data, BYTE), start, end), return_index=True, return_inverse=True)
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        kinds, hashes = np.zeros(len(written), dtype=np.int8), np.zeros(len(written), dtype=np.uint64)
-        known = self.known
-        for k, key in enumerate(written.tolist()):
-            got = known.get(key)
-            if got is None:
-                at = first[k]
-                got = known[key] = self._one(bytes(data[start[at] : end[at]]).decode("utf-8", "replace"))
-            kinds[k], hashes[k] = got
-        return kinds[back], hashes[back]
-
-    def sequence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, row, start, end, is_slot) of the canonical words of a chunk."""
-        start, end, row = word_spans(data, offsets)
-        if not len(start):
-            return np.zeros(0, dtype=np.uint64), row, start, end, np.zeros(0, dtype=bool)
-        kind, hashes = self.look_up(data, start, end)
-        opens = np.ones(len(start), dtype=bool)  # first of a row, or after the end of a sentence or line
-        opens[1:] = (row[1:] != row[:-1]) | _ENDS[data[end[:-1] - 1]] | (data[np.minimum(end[:-1], len(data) - 1)] == 10)
-        keep = kind != NOTHING
-        start, end, row, kind, hashes, opens = (x[keep] for x in (start, end, row, kind, hashes, opens))
-        after_number = np.zeros(len(start), dtype=bool)
-        after_number[1:] = (kind[:-1] == NUMBER) & (row[1:] == row[:-1])
-        slots = [kind == NUMBER, (kind == TITLE) & ~opens, (kind == UNIT) & after_number]
-        out = hashes.copy()
-        for mark, at in zip(MARKS, slots, strict=True):
-            out[at] = mark
-        return out, row, start, end, slots[0] | slots[1] | slots[2]
+
+
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chars)] = True
+    return out
+
+
+_ENDS, _EDGE, _DIGIT, _SIGN = _table(b".!?:\n"), _table(EDGES), _table(b"0123456789"), _table(b"+-$" + "€£".encode())
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes in lower case, for letters of ASCII and Latin-1 (other scripts are compared as written)."""
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[second] += 32
+    return low
+
+
+def _text(data: np.ndarray, start: int, end: int) -> str:
+    return bytes(data[start:end]).decode("utf-8", "replace")
+
+
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end, is_slot) of the canonical words of a chunk; words of edge punctuation only are left out."""
+    start, end, row = word_spans(data, offsets)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), row, start, end, np.zeros(0, dtype=bool)
+    opens = np.ones(len(start), dtype=bool)  # first of a row, or after the end of a sentence or line
+    opens[1:] = (row[1:] != row[:-1]) | _ENDS[data[end[:-1] - 1]] | (data[np.minimum(end[:-1], len(data) - 1)] == 10)
+    place = np.arange(len(data))
+    inner = ~_EDGE[data]
+    after = np.minimum.accumulate(np.where(inner, place, len(data))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(inner, place, -1))
+    start, end = after[start], before[end - 1] + 1
+    keep = start < end
+    start, end, row, opens = start[keep], end[keep], row[keep], opens[keep]
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), row, start, end, np.zeros(0, dtype=bool)
+    low = lowered(data)
+    hashes = span_hash(prefix_hash(low), start, end)
+
+    number = np.zeros(len(start), dtype=bool)  # a digit first, or after a sign; the few candidates are read as text
+    for k in np.flatnonzero(_DIGIT[data[start]] | (_SIGN[data[start]] & (end - start > 1))).tolist():
+        number[k] = NUMERAL.fullmatch(_text(low, start[k], end[k])) is not None
+    unit = np.zeros(len(start), dtype=bool)
+    for k in (np.flatnonzero(number[:-1] & (row[1:] == row[:-1])) + 1).tolist():
+        unit[k] = not number[k] and _text(low, start[k], end[k]) in UNITS
+    # a capital and then no other one; two-byte capitals are followed by their next letter two bytes on
+    changed = low != data
+    wide = data[start] == 0xC3
+    first = np.where(wide, start + 1, start)
+    second = np.minimum(first + 1, len(data) - 1)
+    second = np.where(data[second] == 0xC3, np.minimum(second + 1, len(data) - 1), second)
+    title = changed[first] & (first + 1 < end) & ~changed[second] & ~opens & ~unit
+    for mark, at in zip(MARKS, (number, title, unit), strict=True):
+        hashes[at] = mark
+    return hashes, row, start, end, number | title | unit
 
 
 def windows(texts: DataFrame, key: str, lengths: tuple[int, ...], wanted: np.ndarray | None) -> DataFrame:
@@ -96,11 +100,10 @@ def windows(texts: DataFrame, key: str, lengths: tuple[int, ...], wanted: np.nda
         mask[(wanted >> np.uint64(64 - bits)).astype(np.int64)] = True
 
     def run(batches):
-        canon = Canon()
         for batch in batches:
             ids = batch.column(key)
             for first, _, data, offsets in text_chunks(batch.column("text")):
-                hashes, row, start, end, slot = canon.sequence(data, offsets)
+                hashes, row, start, end, slot = canonical(data, offsets)
                 begins = np.searchsorted(row, np.arange(len(offsets)))
                 for size in lengths:
                     grams, at = word_grams(hashes, row, size)
@@ -110,7 +113,7 @@ def windows(texts: DataFrame, key: str, lengths: tuple[int, ...], wanted: np.nda
                         grams, at = grams[hit], at[hit]
                     if not len(at):
                         continue
-                    values = [[bytes(data[start[j] : end[j]]).decode("utf-8", "replace").strip(EDGES).lower() for j in range(p, p + size) if slot[j]] for p in at.tolist()]
+                    values = [[_text(data, start[j], end[j]).lower() for j in range(p, p + size) if slot[j]] for p in at.tolist()]
                     rows = row[at]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -137,6 +140,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     parts = store(parts.where(F.col("size") == F.least("n_words", F.lit(WINDOW))), "op9-items")
     whole = parts.groupBy("item_id").agg(F.countDistinct("position").alias("item_windows"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    lengths = tuple(sorted(r["size"] for r in parts.select("size").distinct().collect())) or (WINDOW,)  # three values at most
     keys = parts.select("hash").distinct()
     rounds = max(1, -(-keys.count() // BLOCK_KEYS))
     found = None
