@@ -27,7 +27,6 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SUBSTITUTED, REPEATED, DROPPED = 1.0, 0.7, 4.0  # channel costs in nats
 READINGS = 4
 EDGES = ".,;:?!\"'()[]<>{}*%&#|-_=/\\~`"
-TOKEN = re.compile(r"\S+")
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 THRICE = re.compile(r"([^\W\d_])\1\1")
@@ -48,8 +47,9 @@ def language_model(docs: DataFrame) -> np.ndarray:
     def run(batches):
         coder, total = Coder(), np.zeros(TABLE, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total += np.bincount(coder.grams(text), minlength=TABLE)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.column("text").slice(lo, 64).to_pylist()
+                total += np.bincount(np.concatenate([coder.grams(text) for text in part]), minlength=TABLE)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
@@ -109,19 +109,36 @@ class Restorer:
         return tuple(text for _, text in _best(ends))
 
     def words(self, text: str) -> set[str]:
-        """Distinct lower-case words of a text, with the readings of its suspicious tokens."""
+        """Distinct lower-case words of a text, with the readings of its suspicious tokens.
+
+        Letters are looked for as spaced out only where four tokens of one or
+        two characters stand in a row.
+        """
         low = text.lower()
-        out = set(LETTERS.findall(low))
-        for run in SPACED.finditer(low):
-            out.update(self.read(run[0]))
-        for token in set(TOKEN.findall(low)):
-            core = token.strip(EDGES)
-            if len(core) > 2 and core[-2:] == "$$":
-                core = core.rstrip("$")
-            if not core.isalpha() and any(map(str.isalpha, core)) and any(c in LOOKALIKES or c in ".-_*" for c in core):
-                out.update(self.read(core))
-            elif THRICE.search(core):
+        parts = low.split()
+        out: set[str] = set()
+        tripled = THRICE.search(low) is not None
+        for token in set(parts):
+            if token.isalpha():
+                out.add(token)
+                core = token
+            else:
+                core = token.strip(EDGES)
+                if core.isalpha():
+                    out.add(core)
+                else:
+                    out.update(LETTERS.findall(token))
+                    if core[-2:] == "$$":
+                        core = core.rstrip("$")
+                    if not core.isalpha() and any(map(str.isalpha, core)) and any(c in LOOKALIKES or c in ".-_*" for c in core):
+                        out.update(self.read(core))
+                        continue
+            if tripled and THRICE.search(core):
                 out.update(self.read(core))
+        short = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) <= 2
+        if len(short) > 3 and (short[:-3] & short[1:-2] & short[2:-1] & short[3:]).any():
+            for run in SPACED.finditer(low):
+                out.update(self.read(run[0]))
         return out
 
 
