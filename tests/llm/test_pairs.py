@@ -75,6 +75,17 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(made, 4, 85)
 
 
+def test_join_along_chains(spark):
+    """Neighbours link, ends do not: most links are found between members that no pivot reaches."""
+    words = [f"w{k}" for k in range(900)]
+    made = {7 * k % 61 + 100: " ".join(words[6 * k : 6 * k + 150]) for k in range(61)}
+    made |= {1000 + k: " ".join(words[600 + 4 * k : 700 + 4 * k]) for k in range(30)}
+    rows = ngram_jaccard_join(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    want = brute_components(made, 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    assert len({c for _, c in want.values()}) < 5
+
+
 def test_linked_sets_share_a_part():
     rng, bounds = np.random.default_rng(1), size_classes(85, 1 << 40)
     for n in [6, 7, 8, 13, 20, 60, 200, 777]:
