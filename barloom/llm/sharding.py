@@ -113,16 +113,18 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     along = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     bounds = placed.withColumn("end", F.sum("n").over(along)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("bounds"))  # at most one element a shard
     bounds = store(bounds, "op2-bounds")
-    member = rows.join(bounds, "key", "left").withColumn("chunk", chunk)
-    ranked = dense_rank(member.where("bounds is not null"), ["key"], "chunk", ["line"], "rank").withColumn("shard", _pick(F.col("bounds"), F.col("rank")))
-    grouped = store(ranked.select("doc_id", "size", "text_crc32", "line", "chunk", "shard"), "op2-grouped")
+    columns = ["doc_id", "size", "text_crc32", "line", "chunk"]
+    # ranked inside (group, chunk) before the join on the group, so that a giant group stays spread
+    keyed = dense_rank(rows.where("key is not null").withColumn("chunk", chunk), ["key"], "chunk", ["line"], "rank")
+    named = keyed.join(bounds, "key", "left").withColumn("shard", _pick(F.col("bounds"), F.col("rank"))).select(*columns, "shard")
+    bare = rows.where("key is null").withColumn("chunk", chunk).select(*columns, F.lit(None).cast("int").alias("shard"))
+    grouped = store(named.unionByName(bare), "op2-grouped")
     loads = {r.shard: r.n for r in grouped.where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     ends, total = [], 0
     for s in range(shards):
         total += floor + (s < rest) - loads.get(s, 0)
         ends.append(F.struct(F.lit(total).cast("long").alias("end"), F.lit(s).alias("shard")))
-    columns = ["doc_id", "size", "text_crc32", "line", "chunk"]
-    fillers = member.where("bounds is null").select(columns).unionByName(grouped.where("shard is null").select(columns)).withColumn("all", F.lit(0))
+    fillers = grouped.where("shard is null").select(*columns).withColumn("all", F.lit(0))
     filled = dense_rank(fillers, ["all"], "chunk", ["line"], "rank").withColumn("shard", _pick(F.array(*ends), F.col("rank"))).select(*columns, "shard")
     every = store(grouped.where("shard is not null").select(*columns, "shard").unionByName(filled), "op2-placed")
     slots = dense_rank(every, ["shard"], "chunk", ["doc_id", "line"], "slot")
