@@ -5,8 +5,9 @@ after a number become typed placeholders, case and edge punctuation go.  Every
 window of `WINDOW` canonical words of a document whose hash occurs among the
 windows of the benchmark is joined with them by hash in Spark, and the slots of
 matching runs must agree: one value of the item always stands for one value of
-the document.  A document that covers enough of an item's windows is
-contaminated, also when the question was given other numbers or names.
+the document.  A document that covers enough of an item's windows, or holds an
+unbroken run of `EXCERPT` of its words, is contaminated, also when the question
+was given other numbers or names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import mix, prefix_hash, span_hash, store, text_chunks, word_grams,
 WINDOW = 6
 SHORTEST = 4  # items of fewer words are too common to look for
 COVERAGE = 0.4
+EXCERPT = 13  # words of an excerpt that counts whatever its share of the item
 BLOCK_KEYS = 2_000_000  # benchmark windows looked up in one pass over the documents
 NUMERAL = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|[a-z]{1,3})?")
 EDGES = b".,;:?!\"'()[]{}<>*%&#|-_=/\\~`"
@@ -156,11 +158,32 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     item = parts.select("item_id", "size", "hash", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
     match = found.join(item, ["hash", "size"]).withColumn("run", F.col("position") - F.col("item_position"))
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("of"), z["slots"].alias("to")))
-    # a run holds at most one window per position of its item
-    runs = match.withColumn("pairs", pairs).groupBy("doc_id", "item_id", "run").agg(F.collect_set("item_position").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["of"])))
-    other = F.exists("pairs", lambda p: p["of"] != p["to"])
-    kept = runs.where(consistent).select("doc_id", "item_id", F.explode("at").alias("position"), other.alias("other"))
-    covered = kept.groupBy("doc_id", "item_id", "position").agg(F.min("other").alias("other")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("other").alias("reparameterised"))
+    # a run holds at most one window per position of its item; both steps below use the one shuffle
+    windowed = match.withColumn("pairs", pairs).withColumn("worded", F.size("slots") < F.col("size")).repartition("doc_id", "item_id", "run")
+    each = windowed.groupBy("doc_id", "item_id", "run", F.col("item_position").alias("at")).agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("worded").alias("worded"))
+    each = each.withColumn("other", F.exists("pairs", lambda p: p["of"] != p["to"]))
+    runs = each.groupBy("doc_id", "item_id", "run").agg(F.array_sort(F.collect_list(F.struct("at", "pairs", "worded", "other"))).alias("w"))
+
+    def agree(pairs):
+        return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["of"])))
+
+    def pairs_of(windows):
+        return F.array_distinct(F.flatten(F.transform(windows, lambda x: x["pairs"])))
+
+    span = EXCERPT - WINDOW + 1  # consecutive windows of an excerpt
+
+    def excerpt(k):
+        part = F.slice("w", k + 1, span)
+        # windows of slots only say nothing when their values differ
+        return (F.element_at(part, -1)["at"] - F.element_at(part, 1)["at"] == span - 1) & F.forall(part, lambda x: x["worded"] | ~x["other"]) & agree(pairs_of(part))
+
+    begins = F.when(F.size("w") >= span, F.filter(F.sequence(F.lit(0), F.size("w") - span), excerpt)).otherwise(F.array().cast("array<int>"))
+    runs = runs.withColumn("begins", begins).withColumn("whole", agree(pairs_of(F.col("w")))).where(F.col("whole") | (F.size("begins") > 0))
+    inside = F.array_distinct(F.flatten(F.transform("begins", lambda k: F.sequence(k, k + span - 1))))
+    held = F.when(F.col("whole"), F.col("w")).otherwise(F.transform(inside, lambda k: F.get("w", k)))
+    held = runs.select("doc_id", "item_id", (F.size("begins") > 0).alias("excerpt"), held.alias("w"))
+    kept = held.select("doc_id", "item_id", "excerpt", F.explode("w.at").alias("position"), F.exists("w", lambda x: x["other"]).alias("other"))
+    covered = kept.groupBy("doc_id", "item_id", "position").agg(F.min("other").alias("other"), F.max("excerpt").alias("excerpt"))
+    covered = covered.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("other").alias("reparameterised"), F.max("excerpt").alias("excerpt"))
     share = covered.join(whole, "item_id").withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
-    return share.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
+    return share.where((F.col("coverage") >= coverage) | F.col("excerpt")).select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")

@@ -193,6 +193,25 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_excerpts_of_long_items(spark):
+    plain = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(400))
+    numbers = " ".join([*(f"v{chr(97 + k % 26)}{chr(97 + k // 26)}y" for k in range(200)), *(str(k * 7 + 3) for k in range(20))])
+    w = plain.split()
+    twice = " ".join(w[:20] + ["5", *w[20:40], "5"] + w[40:])
+    items = spark.createDataFrame([(1, plain), (2, numbers), (3, twice)], "item_id long, text string")
+    docs = [
+        (1, "so it says " + " ".join(w[100:113]) + " and ends"),
+        (2, "so it says " + " ".join(w[100:112]) + " and ends"),  # one word short
+        (3, " ".join(str(k * 5 + 1) for k in range(20))),  # other numbers alone are no template
+        (4, "the numbers " + " ".join(str(k * 7 + 3) for k in range(5, 18))),
+        (5, " ".join([*w[:6], *("gap" for _ in range(9)), *w[30:36], *("gap" for _ in range(9)), *w[60:66]])),  # no run
+        (6, twice.replace(" 5 ", " 8 ", 1)),  # the two slots contradict, long runs do not
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (4, 2), (6, 1), (6, 3), (1, 3)}
+    assert got[(1, 1)].n_windows == 8 and got[(1, 1)].coverage < 0.4 and not got[(1, 1)].reparameterised
+
+
 def test_contamination_of_nothing(spark, empty, corpus):
     bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     assert contaminated_pairs(empty, bench).collect() == []
