@@ -8,6 +8,11 @@ matching runs must agree: one value of the item always stands for one value of
 the document.  A document that covers enough of an item's windows, or holds an
 unbroken run of `EXCERPT` of its words, is contaminated, also when the question
 was given other numbers or names.
+
+Capitals and line ends decide what is a name, and copies change them.  Windows
+with names are therefore looked up in a second form too, in which names are
+lower-cased words like all others and only numbers and units are placeholders:
+a copy in lower, upper or title case or with other line breaks matches there.
 """
 
 from __future__ import annotations
@@ -42,12 +47,26 @@ def _table(chars: bytes) -> np.ndarray:
 _ENDS, _EDGE, _DIGIT, _SIGN = _table(b".!?:\n"), _table(EDGES), _table(b"0123456789"), _table(b"+-$" + "€£".encode())
 
 
+def _pairs() -> np.ndarray:
+    """Lower case of every code point below 0x800, where that is one letter of two bytes."""
+    out = np.arange(0x800)
+    for point in range(0x80, 0x800):
+        low = chr(point).lower()
+        if len(low) == 1 and 0x80 <= ord(low) < 0x800:
+            out[point] = ord(low)
+    return out
+
+
+_LOW = _pairs()
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Bytes in lower case, for letters of ASCII and Latin-1 (other scripts are compared as written)."""
+    """Bytes in lower case, for letters of one and two bytes (other scripts are compared as written)."""
     low = data.copy()
     low[(data >= 65) & (data <= 90)] += 32
-    second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    low[second] += 32
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF) & (data[1:] >= 0x80) & (data[1:] <= 0xBF))
+    points = _LOW[(data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)]
+    low[lead], low[lead + 1] = 0xC0 | points >> 6, 0x80 | points & 0x3F
     return low
 
 
@@ -55,11 +74,12 @@ def _text(data: np.ndarray, start: int, end: int) -> str:
     return bytes(data[start:end]).decode("utf-8", "replace")
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end, is_slot) of the canonical words of a chunk; words of edge punctuation only are left out."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, name-blind hash, row, start, end, is_value, is_name) of the canonical words of a chunk; words of edge punctuation only are left out."""
     start, end, row = word_spans(data, offsets)
     if not len(start):
-        return np.zeros(0, dtype=np.uint64), row, start, end, np.zeros(0, dtype=bool)
+        none = np.zeros(0, dtype=np.uint64)
+        return none, none, row, start, end, np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     opens = np.ones(len(start), dtype=bool)  # first of a row, or after the end of a sentence or line
     opens[1:] = (row[1:] != row[:-1]) | _ENDS[data[end[:-1] - 1]] | (data[np.minimum(end[:-1], len(data) - 1)] == 10)
     place = np.arange(len(data))
@@ -70,7 +90,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     keep = start < end
     start, end, row, opens = start[keep], end[keep], row[keep], opens[keep]
     if not len(start):
-        return np.zeros(0, dtype=np.uint64), row, start, end, np.zeros(0, dtype=bool)
+        none = np.zeros(0, dtype=np.uint64)
+        return none, none, row, start, end, np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     low = lowered(data)
     hashes = span_hash(prefix_hash(low), start, end)
 
@@ -82,18 +103,22 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         unit[k] = not number[k] and _text(low, start[k], end[k]) in UNITS
     # a capital and then no other one; two-byte capitals are followed by their next letter two bytes on
     changed = low != data
-    wide = data[start] == 0xC3
+    wide = (data[start] >= 0xC3) & (data[start] <= 0xDF)
     first = np.where(wide, start + 1, start)
     second = np.minimum(first + 1, len(data) - 1)
-    second = np.where(data[second] == 0xC3, np.minimum(second + 1, len(data) - 1), second)
+    second = np.where((data[second] >= 0xC3) & (data[second] <= 0xDF), np.minimum(second + 1, len(data) - 1), second)
     title = changed[first] & (first + 1 < end) & ~changed[second] & ~opens & ~unit
-    for mark, at in zip(MARKS, (number, title, unit), strict=True):
-        hashes[at] = mark
-    return hashes, row, start, end, number | title | unit
+    hashes[number], hashes[unit] = MARKS[0], MARKS[2]
+    blind = hashes.copy()
+    hashes[title] = MARKS[1]
+    return hashes, blind, row, start, end, number | unit, title
 
 
 def windows(texts: DataFrame, key: str, lengths: tuple[int, ...], wanted: np.ndarray | None) -> DataFrame:
-    """(key, n_words, size, position, hash, slots) of template windows; only those with a wanted hash, where given."""
+    """(key, n_words, size, position, hash, slots) of template windows; only those with a wanted hash, where given.
+
+    A window with names has two rows, one a form; the forms of others are the same.
+    """
     bits = 20
     mask = None
     if wanted is not None:
@@ -105,25 +130,30 @@ def windows(texts: DataFrame, key: str, lengths: tuple[int, ...], wanted: np.nda
         for batch in batches:
             ids = batch.column(key)
             for first, _, data, offsets in text_chunks(batch.column("text")):
-                hashes, row, start, end, slot = canonical(data, offsets)
+                hashes, blind, row, start, end, value, name = canonical(data, offsets)
                 begins = np.searchsorted(row, np.arange(len(offsets)))
+                named = np.concatenate([[0], np.cumsum(name)])
                 for size in lengths:
-                    grams, at = word_grams(hashes, row, size)
-                    if mask is not None:
-                        hit = np.flatnonzero(mask[(grams >> np.uint64(64 - bits)).astype(np.int64)])
-                        hit = hit[wanted[np.minimum(np.searchsorted(wanted, grams[hit]), len(wanted) - 1)] == grams[hit]]
-                        grams, at = grams[hit], at[hit]
-                    if not len(at):
-                        continue
-                    values = [[_text(data, start[j], end[j]).lower() for j in range(p, p + size) if slot[j]] for p in at.tolist()]
-                    rows = row[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(first + rows)), pa.array((begins[rows + 1] - begins[rows]).astype(np.int32)), pa.array(np.full(len(at), size, dtype=np.int32)),
-                            pa.array((at - begins[rows]).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(values, pa.list_(pa.string())),
-                        ],
-                        [key, "n_words", "size", "position", "hash", "slots"],
-                    )
+                    for form, slot in ((hashes, value | name), (blind, value)):
+                        grams, at = word_grams(form, row, size)
+                        if form is blind:
+                            other = named[at + size] > named[at]
+                            grams, at = grams[other], at[other]
+                        if mask is not None:
+                            hit = np.flatnonzero(mask[(grams >> np.uint64(64 - bits)).astype(np.int64)])
+                            hit = hit[wanted[np.minimum(np.searchsorted(wanted, grams[hit]), len(wanted) - 1)] == grams[hit]]
+                            grams, at = grams[hit], at[hit]
+                        if not len(at):
+                            continue
+                        values = [[_text(data, start[j], end[j]).lower() for j in range(p, p + size) if slot[j]] for p in at.tolist()]
+                        rows = row[at]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                ids.take(pa.array(first + rows)), pa.array((begins[rows + 1] - begins[rows]).astype(np.int32)), pa.array(np.full(len(at), size, dtype=np.int32)),
+                                pa.array((at - begins[rows]).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(values, pa.list_(pa.string())),
+                            ],
+                            [key, "n_words", "size", "position", "hash", "slots"],
+                        )
 
     return texts.select(key, "text").mapInArrow(run, f"{key} long, n_words int, size int, position int, hash long, slots array<string>")
 

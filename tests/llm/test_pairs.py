@@ -212,6 +212,15 @@ def test_excerpts_of_long_items(spark):
     assert got[(1, 1)].n_windows == 8 and got[(1, 1)].coverage < 0.4 and not got[(1, 1)].reparameterised
 
 
+def test_copies_in_another_case_or_with_other_line_ends(spark):
+    item = "Then Anna gave Boris and Clara the old map of Dover.\nTomorrow Edgar and Fiona will sail from Genoa to Haifa\nwith 12 km of rope for Ivan and Élodie while Жанна reads"
+    copies = [item, item.lower(), item.upper(), item.title(), item.replace("\n", " "), item.replace(" ", "\n"), item.lower().replace("\n", " "), "He said that " + " ".join(item.upper().split()[9:25]) + " and left"]
+    docs = spark.createDataFrame([(k, c) for k, c in enumerate(copies)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in contaminated_pairs(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(rows) == set(range(len(copies)))
+    assert all(rows[k].coverage == 1 and not rows[k].reparameterised for k in range(7))
+
+
 def test_contamination_of_nothing(spark, empty, corpus):
     bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     assert contaminated_pairs(empty, bench).collect() == []
