@@ -1,7 +1,7 @@
 """Toxicity of restored text: a noisy channel read by Viterbi, then a word score.
 
 The channel writes letters as look-alikes (leetspeak), repeats them, or spaces
-them out.  A character language model counted over the whole corpus weighs the
+them out, also over several words.  A character language model counted over the whole corpus weighs the
 readings of every suspicious token; Viterbi search over its character lattice
 gives the best ones.  Word weights are learned from labelled training rows:
 log odds of distinct texts with and without the label, lowered by their
@@ -24,12 +24,14 @@ from .language import CODES, TABLE, Coder, held_out
 
 #: Letters a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
-SUBSTITUTED, REPEATED, DROPPED = 1.0, 0.7, 4.0  # channel costs in nats
+SUBSTITUTED, REPEATED, DROPPED, GAP = 1.0, 0.7, 4.0, 1.0  # channel costs in nats
 READINGS = 4
 EDGES = ".,;:?!\"'()[]<>{}*%&#|-_=/\\~`"
+OUTER = "".join(c for c in EDGES if c not in LOOKALIKES)
+SPACERS = " .-_*"
 LETTERS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
-THRICE = re.compile(r"([^\W\d_])\1\1")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?![^\W_])")
+MARKED = re.compile(r"([^\W\d_])\1|[" + re.escape("".join(LOOKALIKES) + SPACERS) + "]")  # a doubled letter, a look-alike or a spacer
 MIN_TEXTS = 5
 MIN_WEIGHT = 2.0
 CAUTION = 1.5  # standard errors taken off a log odds
@@ -87,17 +89,26 @@ class Restorer:
 
     def _viterbi(self, token: str) -> tuple[str, ...]:
         model, before = self.model, ""
+        solid = [k for k, char in enumerate(token) if char.isalnum()] or [0]
         beam = {(0, 0): [(0.0, "")]}
-        for char in token:
+        for k, char in enumerate(token):
             arcs = [(char, 0.0)] if char.isalpha() else [(x, SUBSTITUTED) for x in LOOKALIKES.get(char, "")]
             if char == before:
                 arcs.append(("", REPEATED))
             elif not arcs:
-                arcs.append(("", 0.0 if char in " .-_*" else DROPPED))
+                arcs.append(("", 0.0 if char in SPACERS else DROPPED))
+            elif not solid[0] <= k <= solid[-1]:  # punctuation around the word
+                arcs.append(("", DROPPED))
+            if char in SPACERS:
+                arcs.append((" ", GAP))
             grown: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (a, b), paths in beam.items():
                 for letter, cost in arcs:
-                    if letter:
+                    if letter == " ":
+                        if b == 0:
+                            continue  # a word has begun already
+                        key, gain = (b, 0), float(model[a, b, 0])
+                    elif letter:
                         c = self.code(letter)
                         key, gain = (b, c), float(model[a, b, c])
                     else:
@@ -105,40 +116,37 @@ class Restorer:
                     grown.setdefault(key, []).extend((s + gain - cost, text + letter) for s, text in paths)
             beam = {k: _best(v) for k, v in grown.items()}
             before = char
-        ends = [(s + float(model[a, b, 0]), text) for (a, b), paths in beam.items() for s, text in paths]
+        ends = [(s + (float(model[a, b, 0]) if b else 0.0), text.rstrip()) for (a, b), paths in beam.items() for s, text in paths]
         return tuple(text for _, text in _best(ends))
 
     def words(self, text: str) -> set[str]:
         """Distinct lower-case words of a text, with the readings of its suspicious tokens.
 
-        Letters are looked for as spaced out only where four tokens of one or
-        two characters stand in a row.
+        Tokens are read as written, without quotes and the like around them, and
+        without all edge punctuation.  Letters are looked for as spaced out only
+        where three tokens of one or two characters stand in a row.
         """
         low = text.lower()
         parts = low.split()
         out: set[str] = set()
-        tripled = THRICE.search(low) is not None
         for token in set(parts):
             if token.isalpha():
                 out.add(token)
-                core = token
+                forms = (token,)
             else:
                 core = token.strip(EDGES)
                 if core.isalpha():
                     out.add(core)
                 else:
                     out.update(LETTERS.findall(token))
-                    if core[-2:] == "$$":
-                        core = core.rstrip("$")
-                    if not core.isalpha() and any(map(str.isalpha, core)) and any(c in LOOKALIKES or c in ".-_*" for c in core):
-                        out.update(self.read(core))
-                        continue
-            if tripled and THRICE.search(core):
-                out.update(self.read(core))
+                forms = {core, token.strip(OUTER)}
+            for form in forms:
+                if MARKED.search(form):
+                    out.update(*map(str.split, self.read(form)))
         short = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) <= 2
-        if len(short) > 3 and (short[:-3] & short[1:-2] & short[2:-1] & short[3:]).any():
+        if len(short) > 2 and (short[:-2] & short[1:-1] & short[2:]).any():
             for run in SPACED.finditer(low):
-                out.update(self.read(run[0]))
+                out.update(*map(str.split, self.read(run[0])))
         return out
 
 

@@ -192,6 +192,17 @@ def test_restored_words(spark):
     assert "stupid" in restorer.words("so $tupiiid!!") and "things" in restorer.words("Things, things")
 
 
+def test_obfuscations_pass_the_gates(spark):
+    told = "an idiot and a stupid clown said stupid idiot clown things, a dumbass is an ass and what a stupid ass he was "
+    restorer = Restorer(language_model(spark.createDataFrame([(1, told * 20)], "doc_id long, text string")))
+    written = {
+        "a$$": "ass", "dumba$$": "dumbass", "dumba$$!": "dumbass", "!diot": "idiot", "|diot": "idiot", "(!diot)": "idiot", "\"(lown\"": "clown", "iidiioott": "idiot", "455": "ass",
+        "a s s": "ass", "4 5 5": "ass", "a s t u p i d": "stupid", "what.a.$tupid": "stupid", "idiot$$$": "idiot", "cl0wn!!": "clown",
+    }
+    missed = [w for w, meant in written.items() if meant not in restorer.words(f"so {w} then")]
+    assert not missed
+
+
 # ------------------------------------------------------------------ shards and bins
 
 
