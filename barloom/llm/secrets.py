@@ -3,7 +3,8 @@
 Base patterns give spans that always stay.  Every candidate value, base or
 high-entropy token, is hashed; per hash Spark counts the distinct repositories
 (`source`) and owners (`owner`, the document where no such column exists) that
-hold it.  Values in few places are owner-specific and look live; values copied
+hold it.  Exact copies of a text count once, as one owner in one repository,
+unless they fill more repositories than a value may have owners.  Values in few places are owner-specific and look live; values copied
 widely are examples.  High-entropy tokens that are owner-specific become spans
 of kind `live`.
 """
@@ -63,7 +64,7 @@ SPANS = "array<struct<start:int,kind:int,end:int,hash:string>>"
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, repository, owner and the candidate spans with hashed values (the values themselves are not kept)."""
+    """doc_id, repository, owner, copy (hash of the text) and the candidate spans with hashed values (the values themselves are not kept)."""
     owner = F.col("owner").cast("string") if "owner" in docs.columns else F.col("doc_id").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("repository"), owner.alias("owner"), F.col("text").cast("string").alias("text"))
 
@@ -73,31 +74,38 @@ def find_candidates(docs: DataFrame) -> DataFrame:
                 [{"start": a, "kind": k, "end": b, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32]} for a, k, b, v in scan(t)] if t else []
                 for t in part["text"]
             ]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "repository": part["repository"], "owner": part["owner"], "spans": spans})
+            copies = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()[:32] if s else None for t, s in zip(part["text"], spans)]
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "repository": part["repository"], "owner": part["owner"], "copy": pd.Series(copies, dtype=object, index=part.index), "spans": spans})
 
-    return rows.mapInPandas(run, f"doc_id long, repository string, owner string, spans {SPANS}")
+    return rows.mapInPandas(run, f"doc_id long, repository string, owner string, copy string, spans {SPANS}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """Distinct repositories and owners of every candidate hash, and whether it looks live.
 
-    Distinct (hash, repository) and (hash, owner) are formed with map-side
+    A text that has copies stands once, in its first repository and with its
+    first owner there.  Distinct (hash, repository) and (hash, owner) are formed with map-side
     combine before counting, so a value in a third of all documents is no
     large group anywhere.
     """
-    each = found.select("repository", "owner", F.explode("spans.hash").alias("hash"))
+    rows = found.select("repository", "owner", "copy", F.explode("spans.hash").alias("hash"))
+    places = rows.groupBy("hash", "copy", "repository").agg(F.min("owner").alias("owner"))
+    texts = places.groupBy("hash", "copy").agg(F.min(F.struct("repository", "owner")).alias("first"), F.count(F.lit(1)).alias("n"))
+    texts = store(texts, "op5-texts")
+    each = texts.select("hash", "first.repository", "first.owner")
+    spread = texts.groupBy("hash").agg(F.max("n").alias("spread"))
     repositories = each.select("hash", "repository").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"))
     owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
-    live = (F.col("n_repositories") <= MAX_REPOSITORIES) & (F.col("n_owners") <= MAX_OWNERS)
-    return repositories.join(owners, "hash").withColumn("live", live)
+    live = (F.col("n_repositories") <= MAX_REPOSITORIES) & (F.col("n_owners") <= MAX_OWNERS) & (F.col("spread") <= MAX_OWNERS)
+    return repositories.join(owners, "hash").join(spread, "hash").withColumn("live", live)
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples) of every row of `docs`.
 
     Null and empty texts have no spans.  A null source is a repository of its
-    own.  Rows are scanned one by one; repeated rows count as the same owner
-    when they carry the same doc_id.  An empty table gives an empty result.
+    own.  Rows are scanned one by one; rows with the same doc_id or the same
+    text count as the same owner.  An empty table gives an empty result.
     """
     found = store(find_candidates(docs).withColumn("row", F.monotonically_increasing_id()), "op5-candidates")
     verdicts = store(ownership(found), "op5-ownership")

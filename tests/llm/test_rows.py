@@ -134,6 +134,17 @@ def test_secrets_match_brute_force_and_ownership_decides(spark, corpus, texts):
     assert "live:" in got[6_000].spans and all("live:" not in got[5_000 + k].spans for k in range(6))
 
 
+def test_copies_of_a_document_are_one_owner(spark):
+    near, far, shared = "ghp_Zk93mQ0xLw71TfRb8YuN2sVe5CdA6", "ghp_Qp82nR1yMx60SgSc7ZvO3tWf4DeB7", "ghp_Aa11bB2cCd33DdEe4FfG5hHi6JjK8"
+    rows = [(k, f"my {near} key token={near[4:]}", "a") for k in range(20)]  # copies in one repository
+    rows += [(100, f"my {far} key", "a"), (101, f"my {far} key", "b")]  # a copy in another one
+    rows += [(200 + k, f"{k} times {shared}", "a") for k in range(6)]  # six texts
+    got = by_id(scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all("live:" in got[k].spans and got[k].n_examples == 0 and got[k].n_live == 2 for k in range(20))
+    assert all("live:" in got[k].spans for k in (100, 101))
+    assert all("live:" not in got[200 + k].spans for k in range(6))
+
+
 def test_secrets_of_nothing(empty):
     assert scan_secrets(empty).collect() == []
 
