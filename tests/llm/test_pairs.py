@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from barloom.llm import suffix_dedup
+from barloom.llm import ngram_join, suffix_dedup
 from barloom.llm.common import components, dense_rank, text_chunks, word_spans
 from barloom.llm.decontaminate import contaminated_pairs
 from barloom.llm.ngram_join import ngram_jaccard_join, part_keys, size_classes
@@ -98,6 +98,30 @@ def test_linked_sets_share_a_part():
                 assert len(np.intersect1d(part_keys(a, 85, bounds), part_keys(b, 85, bounds)))
 
 
+def test_tiles_of_many_short_documents_hold_few(spark, monkeypatch, tmp_path):
+    """Short documents that share a line without linking; every tile notes its rows."""
+    line = "all rights reserved under the usual licence"
+    made = {k: f"{line} a{k} b{k} c{k}" for k in range(1500)}
+    forest, seen = ngram_join.tile_forest, str(tmp_path)
+
+    def noted(percent):
+        run = forest(percent)
+
+        def told(rows):
+            with open(f"{seen}/{rows['i'].iloc[0]}-{rows['j'].iloc[0]}-{rows['doc_id'].min()}", "w") as out:
+                out.write(str(len(rows)))
+            return run(rows)
+
+        return told
+
+    monkeypatch.setattr(ngram_join, "tile_forest", noted)
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", 100, raising=False)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    assert got == {k: k for k in made}
+    rows = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert rows and max(rows) <= 2 * 100 * 1.6  # two blocks dealt by hash
+
+
 def test_join_of_nothing(empty):
     assert ngram_jaccard_join(empty).collect() == []
 
