@@ -16,7 +16,10 @@ from .quality import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
+from .token_align import align_tokens
 from .toxicity import score_toxicity
+from .url_filter import filter_urls, oracle_sql
+from .whitening import whiten
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir))
+
+
+def op13_host_reputation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("reputation", "bound")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_label_propagation_shards": op2_label_propagation_shards,
@@ -70,5 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_deobfuscated_toxicity": op10_deobfuscated_toxicity,
+    "op11_jacobi_davidson_whitening": op11_jacobi_davidson_whitening,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_host_reputation_filter": op13_host_reputation_filter,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_host_reputation_filter": oracle_sql()}
