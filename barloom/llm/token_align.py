@@ -17,6 +17,7 @@ distinct segment.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -35,6 +36,7 @@ PAIR_LIMIT = 4_000_000  # rows of the pair table sent to tasks, 24 bytes each
 KEPT = 400_000  # segments a task keeps aligned
 KEPT_CHARS = 16_000_000
 CHUNK_CHARS = 4_000_000
+RUN = 50_000  # characters of segments encoded in one call
 SHIFT = 32
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
@@ -76,6 +78,7 @@ class Vocabularies:
         self.identity = np.array([same.get(t, -1) if t else -1 for t in self.a_bytes], dtype=np.int64)
         self.a_len = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_len = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
+        self.texts: list[str] = []
 
     def segments(self, text: str) -> list[str]:
         """Segments of space+text without the space each begins with."""
@@ -85,11 +88,41 @@ class Vocabularies:
             return [s[1:] for s in CUT.split(" " + text)]
         return text.split(" ")
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = self.b.encode(segments, num_threads=1)
-        return a, [ids if s else [self.space] for s, ids in zip(segments, b, strict=True)]
-
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids and B ids of the segments one after the other, and per segment its bytes and whether both sides give them back.
+
+        Segments are joined and encoded in runs, which the cuts make exact.  A
+        segment that ends in white space would not be cut there, and a run that
+        comes back with other bytes is encoded again segment by segment.
+        """
+        a, b, sizes, fine = [], [], [], []
+        lo = 0
+        while lo < len(segments):
+            hi, held = lo + 1, len(segments[lo])
+            while self.splits and hi < len(segments) and held < RUN and segments[hi - 1][-1:].strip():
+                held += len(segments[hi]) + 1
+                hi += 1
+            if not self._run(segments[lo:hi], a, b, sizes, fine):
+                for one in segments[lo:hi]:
+                    if not self._run([one], a, b, sizes, fine):
+                        sizes.append([0])
+                        fine.append([False])
+            lo = hi
+        ids = (np.fromiter(itertools.chain.from_iterable(x), dtype=np.int64) for x in (a, b))
+        return *ids, np.fromiter(itertools.chain.from_iterable(sizes), dtype=np.int64), np.fromiter(itertools.chain.from_iterable(fine), dtype=bool)
+
+    def _run(self, segments: list[str], a: list, b: list, sizes: list, fine: list) -> bool:
+        text = " ".join(segments)
+        left = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids
+        right = self.b.encode(text, num_threads=1) if text else [self.space]
+        whole = f" {text}".encode()
+        if not b"".join(map(self.a_bytes.__getitem__, left)) == whole == b"".join(map(self.b_bytes.__getitem__, right)):
+            return False
+        a.append(left)
+        b.append(right)
+        sizes.append([len(s.encode()) + 1 for s in segments])
+        fine.append([True] * len(segments))
+        return True
 
 def vocabularies(folder: str) -> Vocabularies:
     if folder not in _LOADED:
@@ -114,23 +147,17 @@ class Aligner:
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Segment numbers of all texts and the number of segments of each."""
-        split = [self.v.segments(t) for t in texts]
-        fresh = sorted({s for parts in split for s in parts if s not in self.number})
+        split = list(map(self.v.segments, texts))
+        fresh = list(set().union(*split).difference(self.number))
         if fresh:
             self._learn(fresh)
-        size = np.array([len(parts) for parts in split], dtype=np.int64)
-        return np.fromiter((self.number[s] for parts in split for s in parts), dtype=np.int64, count=int(size.sum())), size
+        size = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        return np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(size.sum())), size
 
     def _learn(self, fresh: list[str]) -> None:
-        v, first = self.v, len(self.number)
-        a, b = v.encode(fresh)
-        raw = [(" " + s).encode() for s in fresh]
-        ok = np.array([b"".join(map(v.a_bytes.__getitem__, x)) == t == b"".join(map(v.b_bytes.__getitem__, y)) for x, y, t in zip(a, b, raw, strict=True)])
-        none: list[int] = []
-        a, b = ([x if k else none for x, k in zip(side, ok, strict=True)] for side in (a, b))
-        size = np.array([len(t) if k else 0 for t, k in zip(raw, ok, strict=True)], dtype=np.int64)
+        v, first, count = self.v, len(self.number), len(fresh)
+        *ids, size, ok = v.encode(fresh)
         ends = np.cumsum(size)
-        ids = [np.fromiter((i for x in side for i in x), dtype=np.int64) for side in (a, b)]
         stops = [np.cumsum(length[i]) for length, i in zip((v.a_len, v.b_len), ids, strict=True)]
         every = np.union1d(*stops)
         at = [np.searchsorted(s, every) for s in stops]
@@ -139,11 +166,11 @@ class Aligner:
         alone = common.copy()  # one A and one B token: the group begins where this elementary range begins
         alone[1:] &= common[:-1]
         mapped = alone & (v.identity[codes >> SHIFT] == codes & ((1 << SHIFT) - 1))
-        of = np.searchsorted(ends, every)
-        count = len(fresh)
+        of = np.searchsorted(ends, every)  # bad segments have no bytes and own no token
         sizes = np.zeros((6, count), dtype=np.int64)
         sizes[0] = ok
-        sizes[1], sizes[2] = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+        for k in range(2):
+            sizes[1 + k] = np.bincount(np.searchsorted(ends, stops[k]), minlength=count)
         sizes[3] = np.bincount(of[common], minlength=count)
         if self.lookup is not None:
             n, best = self.lookup(codes)
@@ -153,24 +180,28 @@ class Aligner:
         self.links.append((of + first, codes, mapped))
         self.seen = np.concatenate([self.seen, np.zeros(count, dtype=np.int64)])
         if self.strings:
-            self.groups.extend(self._strings(a, b, ids, at, common))
+            self.groups.extend(self._strings(ids, stops, every[common], sizes[1] + sizes[2]))
         self.number.update(zip(fresh, range(first, first + count), strict=True))
         self.chars += sum(map(len, fresh))
 
-    @staticmethod
-    def _strings(a, b, ids, at, common) -> Iterator[bytes]:
-        """`a1,a2|b1;a3|b2,b3` of each segment."""
-        last = np.flatnonzero(common)
-        bounds = [x[last] + 1 for x in at]
-        text = [list(map(str, i.tolist())) for i in ids]
-        whole, lo = [], (0, 0)
-        for i, j in zip(bounds[0].tolist(), bounds[1].tolist(), strict=True):
-            whole.append(f"{','.join(text[0][lo[0] : i])}|{','.join(text[1][lo[1] : j])}")
-            lo = (i, j)
-        starts = np.cumsum([0, *map(len, a)])
-        cuts = np.searchsorted(bounds[0], starts, side="right").tolist()
-        for k in range(len(a)):
-            yield ";".join(whole[cuts[k] : cuts[k + 1]]).encode()
+    def _strings(self, ids: list[np.ndarray], stops: list[np.ndarray], closed: np.ndarray, size: np.ndarray) -> Iterator[bytes]:
+        """`a1,a2|b1;a3|b2,b3` of each segment: both sides' tokens in the order of their groups, each with what follows it."""
+        if not self.v.texts:
+            last = (len(self.v.a_len), len(self.v.b_len))
+            self.v.texts = [f"{k}{after}" for n, pair in zip(last, (",|", ",;"), strict=True) for after in pair for k in range(n)]
+        group = [np.searchsorted(closed, s) for s in stops]
+        # where in its list a token with its separator stands: A with a comma, A with a bar, B with a comma, B with a semicolon
+        table, base = [], 0
+        for i, g, n in zip(ids, group, (len(self.v.a_len), len(self.v.b_len)), strict=True):
+            ends = np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, dtype=bool)
+            table.append(base + np.where(ends, n, 0) + i)
+            base += 2 * n
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        written = list(map(self.v.texts.__getitem__, np.concatenate(table)[order].tolist()))
+        lo = 0
+        for n in size.tolist():
+            yield "".join(written[lo : lo + n])[:-1].encode()
+            lo += n
 
     def count(self, number: np.ndarray, size: np.ndarray) -> None:
         """Add the segments of the whole texts that both tokenizers keep."""
