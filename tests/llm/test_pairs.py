@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import ngram_join, suffix_dedup
 from barloom.llm.common import components, dense_rank, text_chunks, word_spans
@@ -95,13 +96,23 @@ def test_linked_sets_share_a_part():
             b = np.unique(np.concatenate([rng.permutation(a)[: max(keep, n - int(0.081 * n))], rng.integers(0, 1 << 63, size=int(0.06 * n)).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common):
-                assert len(np.intersect1d(part_keys(a, 85, bounds), part_keys(b, 85, bounds)))
-
-
-def test_tiles_of_many_short_documents_hold_few(spark, monkeypatch, tmp_path):
-    """Short documents that share a line without linking; every tile notes its rows."""
+                (x, need_x), (y, need_y) = part_keys(a, 85, bounds), part_keys(b, 85, bounds)
+                shared = np.intersect1d(x, y)
+                by_class = [int((shared & np.uint64(1) == k).sum()) for k in (0, 1)]
+                # in the larger one's class, which both are dealt into, either bound is kept
+                assert any(0 < max(need_x[k], need_y[k]) <= by_class[k] for k in (0, 1))
+
+
+@pytest.mark.parametrize("pruned", [True, False])
+def test_tiles_of_many_short_documents_hold_few(spark, monkeypatch, tmp_path, pruned):
+    """Documents that share a passage without linking fall before any tile; of short ones, unpruned, every tile notes its rows."""
+    if not pruned:
+        bound = ngram_join.possible
+        monkeypatch.setattr(ngram_join, "possible", lambda shared, needs, label: bound(shared, needs.withColumns({"need0": F.lit(1), "need1": F.lit(1)}), label))
     line = "all rights reserved under the usual licence"
     made = {k: f"{line} a{k} b{k} c{k}" for k in range(1500)}
+    if pruned:  # half of each longer text is shared
+        made = {k: " ".join([f"w{j}" for j in range(50)] + [f"x{k}y{j}" for j in range(50)]) for k in range(400)}
     forest, seen = ngram_join.tile_forest, str(tmp_path)
 
     def noted(percent):
@@ -119,7 +130,7 @@ def test_tiles_of_many_short_documents_hold_few(spark, monkeypatch, tmp_path):
     got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
     assert got == {k: k for k in made}
     rows = [int(f.read_text()) for f in tmp_path.iterdir()]
-    assert rows and max(rows) <= 2 * 100 * 1.6  # two blocks dealt by hash
+    assert not rows if pruned else rows and max(rows) <= 2 * 100 * 1.6  # two blocks dealt by hash
 
 
 def test_join_of_nothing(empty):
