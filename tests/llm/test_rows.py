@@ -1,14 +1,18 @@
 """Operators on single documents and groups: exact digests, held-out accuracy, balance."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm.language import identify_languages
+from barloom.llm import toxicity
+from barloom.llm.language import CODES, identify_languages
 from barloom.llm.packing import best_fit, pack
 from barloom.llm.pii import find_pii, pii_report, posterior, redact, reliabilities
 from barloom.llm.quality import quality_rules
@@ -214,6 +218,32 @@ def test_obfuscations_pass_the_gates(spark):
     assert not missed
 
 
+def test_the_gate_drops_no_word_of_the_lexicon(monkeypatch):
+    rng, lexicon = random.Random(4), frozenset({"ass", "idiot", "bill", "gag", "co", "stool"})
+    model = np.random.default_rng(2).standard_normal((CODES, CODES, CODES)).astype(np.float32)
+    letters = "asidotblgc10$!|45(8 .-_#"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(12)) for _ in range(150)]
+    texts += ["a s s", "!d!0t $t00l", "b1ll 6a9", "((o)) c0", "", "#"]
+    plain, gated = Restorer(model), Restorer(model, lexicon)
+    for text in texts:
+        assert gated.words(text) == plain.words(text) & lexicon, text
+    # writing down common beginnings of the paths changes nothing
+    whole = [plain.read(t) for t in texts]
+    monkeypatch.setattr(toxicity, "SETTLE", 10)
+    assert [plain.read(t) for t in texts] == whole
+
+
+def test_a_long_unbroken_token_costs_no_more_than_its_length():
+    model = np.zeros((CODES, CODES, CODES), dtype=np.float32)
+    took = []
+    for n in (4_000, 32_000):
+        start = time.perf_counter()
+        Restorer(model).read("a11b" * (n // 4))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 20 * took[0]
+    assert Restorer(model, frozenset({"idiot"})).words("a11b" * 250_000) == set()
+
+
 # ------------------------------------------------------------------ shards and bins
 
 
