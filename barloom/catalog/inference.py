@@ -220,19 +220,20 @@ cte("shuf_m", summary_sql("shuf_path", "symbol, rep", 365, 0.0, "count(ret)", "p
 @query(
     "bs_shuffle",
     sql(
-        f"""SELECT b.symbol, {r('any_value(a.max_drawdown)', 'actual_mdd')}, {r('avg((b.max_drawdown <= a.max_drawdown)::INT)', 'dd_percentile')}, {r('list_sort(list(b.max_drawdown))[count(*) // 2 + 1]', 'mdd_median')}, {r('min(b.max_drawdown)', 'mdd_worst')}
+        f"""SELECT b.symbol, {r('any_value(a.max_drawdown)', 'actual_mdd')}, {r('avg((round(b.max_drawdown, 12) <= round(a.max_drawdown, 12))::INT)', 'dd_percentile')}, {r('list_sort(list(b.max_drawdown))[count(*) // 2 + 1]', 'mdd_median')}, {r('min(b.max_drawdown)', 'mdd_worst')}
             FROM shuf_m b JOIN seg_actual a USING (symbol) GROUP BY 1""",
         "shuf_m",
         "seg_actual",
     ),
 )
 def _(t: Tables) -> DataFrame:
+    """Drawdowns of permuted streams; drawdowns equal to 12 digits are ties, as products of the same returns in another order differ in the last bits."""
     returns = seg_returns(t)
     index = rs.shuffled(rs.lengths(returns, ["symbol"]), ["symbol"], REPS)
     m = pf.summary(rs.resampled(index, returns, ["symbol"]), ["symbol", "rep"], order="pos")
     actual = pf.summary(returns, ["symbol"]).select("symbol", F.col("max_drawdown").alias("actual_mdd"))
     agg = m.join(actual, "symbol").groupBy("symbol").agg(
-        F.max("actual_mdd").alias("actual_mdd"), F.avg((F.col("max_drawdown") <= F.col("actual_mdd")).cast("double")).alias("dd_percentile"),
+        F.max("actual_mdd").alias("actual_mdd"), F.avg((F.round("max_drawdown", 12) <= F.round("actual_mdd", 12)).cast("double")).alias("dd_percentile"),
         F.sort_array(F.collect_list("max_drawdown")).alias("s"), F.min("max_drawdown").alias("mdd_worst"),
     )
     mid = F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,16 @@ def cte(name: str, text: str, *deps: str) -> None:
     CTES[name] = (deps, text)
 
 
+def clone(names: list[str], prefix: str, sources: dict[str, str]) -> None:
+    """Register copies of CTEs under a prefix, reading `sources` in place of the originals' inputs."""
+    renamed = sources | {n: f"{prefix}{n}" for n in names}
+    for name in names:
+        deps, text = CTES[name]
+        for old, new in renamed.items():
+            text = re.sub(rf"\b{old}\b", new, text)
+        cte(f"{prefix}{name}", text, *[renamed.get(dep, dep) for dep in deps])
+
+
 def sql(body: str, *deps: str, recursive: bool = False) -> str:
     """Assemble a SELECT with the transitive closure of its named CTEs."""
     ordered: list[str] = []

@@ -19,7 +19,7 @@ from ..sources import panels
 from ..sources.panels import Tables
 from .ingest import timeline_of
 from .portfolio import COMBINE, masked_inputs
-from .registry import cte, query, r, sql
+from .registry import clone, cte, query, r, sql
 from .signals import OVERLAY, PREV_W, d, features_cte, summary_sql, transition_sql, weight_sql, weights_cte
 from .universe import eligibility
 from .walk import POOL, RATE, RFD, SETUP, Walk, walk_ctes
@@ -199,41 +199,6 @@ def _(t: Tables) -> DataFrame:
     return rows(pf.summary(base.unionByName(targeted), ["variant"], 365, SETUP.rf), "variant")
 
 
-# ladder without the rebalance-band rung: that one needs path-dependent sleeves (see README)
-cte(
-    "ladder",
-    f"""SELECT 1 AS rung, 'equal' AS component, day, ret FROM pf_equal UNION ALL SELECT 2, 'inverse vol', day, ret FROM pf_iv UNION ALL SELECT 3, 'tilt', day, ret FROM pf_tilted UNION ALL SELECT 4, 'crisis', day, ret FROM pf_rule
-        UNION ALL SELECT 6, 'vol overlay', day, oret FROM ({OVERLAY.format(w='ORDER BY day', src='pf_rule')})""",
-    "pf_equal", "pf_iv", "pf_tilted", "pf_rule",
-)
-cte("base_turn", "SELECT sum(tv) AS turns FROM (SELECT day, sum(abs(w - pw)) / 2 AS tv FROM (SELECT g.day, g.symbol, coalesce(b.w, 0) AS w, lag(coalesce(b.w, 0), 1, 0) OVER (PARTITION BY g.symbol ORDER BY g.day) AS pw FROM (SELECT day, symbol FROM timeline, (SELECT DISTINCT symbol FROM bars)) g LEFT JOIN (SELECT m.day, m.symbol, 1.0::DOUBLE / d.denom AS w FROM masked m JOIN denoms d USING (day)) b USING (day, symbol)) GROUP BY 1)", "timeline", "bars", "masked", "denoms")
-
-
-@query(
-    "at_ladder",
-    sql(
-        f"""SELECT rung, component, {OUT}, {r('coalesce(cagr - lag(cagr) OVER (ORDER BY rung), 0)', 'delta_cagr')}, {r('coalesce(sharpe - lag(sharpe) OVER (ORDER BY rung), 0)', 'delta_sharpe')}, {r('-0.0015::DOUBLE * turns', 'cost_line')}
-            FROM ({summary_sql('ladder', 'rung, component', 365, SETUP.rf)}), base_turn""",
-        "ladder",
-        "base_turn",
-    ),
-)
-def _(t: Tables) -> DataFrame:
-    masked, timeline, denoms = masked_inputs(t)
-    rung = {"equal_weight": (1, "equal"), "inv_vol": (2, "inverse vol"), "inv_vol+tilt": (3, "tilt"), "inv_vol+tilt+crisis": (4, "crisis")}
-    base = combiner_streams(masked, denoms)
-    full = base.where("variant = 'inv_vol+tilt+crisis'")
-    overlay = costs.vol_overlay(full, ["variant"]).select(F.lit("overlay").alias("variant"), "day", "ret")
-    dim = t.spark.createDataFrame([(k, *v) for k, v in rung.items()] + [("overlay", 6, "vol overlay")], "variant string, rung int, component string")
-    m = pf.summary(base.unionByName(overlay), ["variant"], 365, SETUP.rf).join(F.broadcast(dim), "variant")
-    order = Window.partitionBy(F.lit(0)).orderBy("rung")  # five rungs
-    weights = masked.join(denoms, "day").select("day", "symbol", (F.lit(1.0) / F.col("denom")).alias("weight"))
-    turns = pt.weight_turnover(weights, timeline).agg(F.sum("turnover").alias("turns"))
-    out = m.crossJoin(F.broadcast(turns))
-    deltas = {f"delta_{c}": F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0.0)) for c in ("cagr", "sharpe")}
-    return out.withColumns(deltas).select("rung", "component", *[rd(c).alias(c) for c in COLS], rd("delta_cagr").alias("delta_cagr"), rd("delta_sharpe").alias("delta_sharpe"), rd(F.lit(-0.0015) * F.col("turns")).alias("cost_line"))
-
-
 # ---------------------------------------------------------------- baselines and the comparison report
 
 BASE = {"momentum SMA10/50": cand.sma_cross(10, 50), "mean-reversion RSI-2": cand.rsi_dip(2, 60, 150), "buy&hold": cand.buy_hold()}
@@ -273,48 +238,158 @@ def _(t: Tables) -> DataFrame:
     return rows(pf.summary(baseline_streams(t, calendar_folds(t)), ["baseline"]), "baseline")
 
 
-# sleeves = walk-forward streams aligned to the out-of-sample calendar, masked, combined, volatility targeted
+# sleeves = walk-forward streams aligned to the out-of-sample calendar and masked, in three versions: as selected, selected and
+# traded under a rebalance band, and the one fixed rule under that band
+BAND = 0.05
+BANDED, FIXED = SETUP.with_(band=BAND), [cand.risk_ensemble()]
+
+
+def banded_ctes(tag: str, base: str, source: str, keys: str, idx: str) -> None:
+    """Held weights of a pool: recursion over bars, one list of all candidates per key."""
+    cols = keys.split(", ")
+    cte(f"{tag}_in", f"SELECT {keys}, {idx} AS i, list(CASE WHEN {idx} >= 1 THEN weight ELSE 0.0::DOUBLE END ORDER BY pool_idx) AS ws FROM {source} GROUP BY ALL", source)
+    cte(
+        f"{tag}_held",
+        f"""SELECT {keys}, i, list_transform(ws, lambda x: 0.0::DOUBLE) AS held FROM {tag}_in WHERE i = 0
+            UNION ALL -- recursive
+            SELECT {", ".join(f"s.{k}" for k in cols)}, s.i, list_transform(list_zip(s.ws, e.held), lambda x: CASE WHEN abs(x[1] - x[2]) > {d(BAND)} THEN x[1] ELSE x[2] END)
+            FROM {tag}_held e JOIN {tag}_in s ON {" AND ".join(f"s.{k} = e.{k}" for k in cols)} AND s.i = e.i + 1""",
+        f"{tag}_in",
+    )
+    rows = f"SELECT {keys}, i, unnest(held) AS h, unnest(range(len(held))) AS k FROM {tag}_held"
+    cte(base, f"SELECT w.* REPLACE (h AS weight) FROM {source} w JOIN ({rows}) r ON {" AND ".join(f"w.{k} = r.{k}" for k in cols)} AND w.{idx} = r.i AND w.pool_idx = r.k", source, f"{tag}_held")
+
+
+banded_ctes("bnd_tr", "bnd_w", "big_w", "symbol", "bar_idx")
+banded_ctes("bnd_te", "bnd_tw", "big_tw", "symbol, fold_id", "slice_idx")
+walk_ctes("bnd", POOL, base="bnd")
+only_fixed = f"pool_idx = {POOL.index(FIXED[0])}"
+cte("fix_w", f"SELECT * FROM bnd_w WHERE {only_fixed}", "bnd_w")
+cte("fix_tw", f"SELECT * FROM bnd_tw WHERE {only_fixed}", "bnd_tw")
+walk_ctes("fix", FIXED, base="fix")
+
 cte("oos_days", "SELECT t.day FROM timeline t, oos_span s WHERE t.day > s.f AND t.day <= s.l", "timeline", "oos_span")
-cte("sleeves", "SELECT symbol, day, coalesce(ret, 0.0) AS ret FROM (SELECT s.symbol, t.day FROM oos_days t JOIN (SELECT symbol, min(day) AS f, max(day) AS l FROM big_oos GROUP BY 1) s ON t.day BETWEEN s.f AND s.l) LEFT JOIN big_oos USING (symbol, day)", "oos_days", "big_oos")
-cte("sleeve_masked", "SELECT * FROM sleeves SEMI JOIN eligible USING (day, symbol)", "sleeves", "eligible")
 cte("sleeve_denoms", "SELECT t.day, greatest(1, count(e.symbol)) AS denom FROM oos_days t LEFT JOIN eligible e ON t.day = e.day GROUP BY 1", "oos_days", "eligible")
-cte("cmp_equal", "SELECT d.day, coalesce(sum(m.ret), 0) / max(d.denom) AS ret FROM sleeve_denoms d LEFT JOIN sleeve_masked m ON d.day = m.day GROUP BY 1", "sleeve_denoms", "sleeve_masked")
-cte("cmp", f"SELECT 'equal_raw' AS series, day, ret FROM cmp_equal UNION ALL SELECT 'equal_rm', day, oret FROM ({OVERLAY.format(w='ORDER BY day', src='cmp_equal')}) UNION ALL SELECT baseline, day, ret FROM baselines UNION ALL SELECT symbol, day, ret FROM big_oos", "cmp_equal", "baselines", "big_oos")
+COMBINED = ["pf_equal", "iv_raw", "iv_fill", "iv_w", "pf_iv", "tilt_w", "corr_z", "avg_corr", "pf_rule"]
+for kind, oos in (("pl_", "big_oos"), ("bd_", "bnd_oos"), ("fx_", "fix_oos")):
+    cte(f"{kind}sleeves", f"SELECT symbol, day, coalesce(ret, 0.0) AS ret FROM (SELECT s.symbol, t.day FROM oos_days t JOIN (SELECT symbol, min(day) AS f, max(day) AS l FROM {oos} GROUP BY 1) s ON t.day BETWEEN s.f AND s.l) LEFT JOIN {oos} USING (symbol, day)", "oos_days", oos)
+    cte(f"{kind}masked", f"SELECT * FROM {kind}sleeves SEMI JOIN eligible USING (day, symbol)", f"{kind}sleeves", "eligible")
+    clone(COMBINED, kind, {"masked": f"{kind}masked", "denoms": "sleeve_denoms"})
+cte("pl_pf_tilt", COMBINE.format(w="pl_tilt_w").replace("denoms", "sleeve_denoms"), "sleeve_denoms", "pl_tilt_w")
+cte("cmp_thr_in", "SELECT variant, day, ret, row_number() OVER (PARTITION BY variant ORDER BY day) AS i FROM (SELECT 'full' AS variant, day, ret FROM pl_pf_rule UNION ALL SELECT 'fixed', day, ret FROM fx_pf_rule)", "pl_pf_rule", "fx_pf_rule")
+clone(["throttled"], "cmp_", {"thr_in": "cmp_thr_in"})
+cte("cmp_thr", "SELECT t.variant, i.day, t.ret FROM cmp_throttled t JOIN cmp_thr_in i USING (variant, i)", "cmp_throttled", "cmp_thr_in")
 
 
-def report_streams(t: Tables) -> tuple[DataFrame, DataFrame, Walk]:
-    from .universe import calendar_folds
+def overlay_of(source: str) -> str:
+    return f"SELECT day, oret AS ret FROM ({OVERLAY.format(w='ORDER BY day', src=source)})"
 
-    w = Walk(t, POOL)
-    picks = wf.select_argmax(w.features, POOL, w.bounds, SETUP).select("symbol", "fold_id", "pool_idx")
-    oos = t.keep("oos-sleeves", lambda: w.streams(picks).select("symbol", "day", "ret"))
-    folds = calendar_folds(t)
-    span = folds.agg(F.min("train_end_ms").alias("f"), F.max("test_end_ms").alias("l"))
-    days = timeline_of(w.bars).join(F.broadcast(span), (F.col("day") > F.col("f")) & (F.col("day") <= F.col("l"))).select("day")
-    eligible = eligibility(t)
-    sleeves = t.keep("sleeves", lambda: pt.mask(align_to_timeline(oos, days, ["symbol"]), eligible))
-    denoms = pt.denominators(days, eligible)
-    portfolio = combiner_streams(sleeves, denoms)
-    return portfolio, oos, folds
 
+TARGETED = {
+    "equal_rm": "pl_pf_equal", "inv_vol_rm": "pl_pf_iv", "full_rm": "pl_pf_rule", "throttle_rm": "(SELECT day, ret FROM cmp_thr WHERE variant = 'full')",
+    "banded_rm": "bd_pf_rule", "fixed_rm": "(SELECT day, ret FROM cmp_thr WHERE variant = 'fixed')",
+}
+cte(
+    "cmp",
+    "SELECT 'equal_raw' AS series, day, ret FROM pl_pf_equal UNION ALL " + " UNION ALL ".join(f"SELECT '{name}', day, ret FROM ({overlay_of(source)})" for name, source in TARGETED.items())
+    + " UNION ALL SELECT baseline, day, ret FROM baselines UNION ALL SELECT symbol, day, ret FROM big_oos",
+    "pl_pf_equal", "pl_pf_iv", "pl_pf_rule", "bd_pf_rule", "cmp_thr", "baselines", "big_oos",
+)
+
+
+class Report:
+    """Masked sleeves of the three walk-forward versions on the out-of-sample calendar, each stored once."""
+
+    def __init__(self, t: Tables):
+        from .universe import calendar_folds
+
+        self.walk = Walk(t, POOL)
+        self.folds = calendar_folds(t)
+        span = self.folds.agg(F.min("train_end_ms").alias("f"), F.max("test_end_ms").alias("l"))
+        self.days = timeline_of(self.walk.bars).join(F.broadcast(span), (F.col("day") > F.col("f")) & (F.col("day") <= F.col("l"))).select("day")
+        self.eligible = eligibility(t)
+        self.denoms = pt.denominators(self.days, self.eligible)
+        self.t = t
+
+    def oos(self, kind: str) -> DataFrame:
+        """(symbol, day, ret) of 'plain', 'banded' or 'fixed'."""
+        pool, setup = (FIXED if kind == "fixed" else POOL), (SETUP if kind == "plain" else BANDED)
+
+        def streams() -> DataFrame:
+            w = self.walk
+            picks = wf.select_argmax(w.features, pool, w.bounds, setup).select("symbol", "fold_id", "pool_idx")
+            return wf.picked_streams(w.features, pool, w.bounds, picks, setup).select("symbol", "day", "ret")
+
+        return self.t.keep(f"oos-{kind}", streams)
 
-def overlaid(portfolio: DataFrame) -> DataFrame:
-    return costs.vol_overlay(portfolio, ["variant"])
+    def sleeves(self, kind: str) -> DataFrame:
+        return self.t.keep(f"sleeves-{kind}", lambda: pt.mask(align_to_timeline(self.oos(kind), self.days, ["symbol"]), self.eligible))
+
+    def rule(self, kind: str) -> DataFrame:
+        return pt.rule(self.sleeves(kind), self.denoms)
+
+
+def named(df: DataFrame, name: str, column: str = "variant") -> DataFrame:
+    return df.select(F.lit(name).alias(column), "day", "ret")
 
 
 @query("at_compare", sql(f"SELECT series, n, {OUT} FROM ({summary_sql('cmp', 'series', 365, SETUP.rf)})", "cmp"))
 def _(t: Tables) -> DataFrame:
-    portfolio, oos, folds = report_streams(t)
-    equal = portfolio.where("variant = 'equal_weight'")
+    """Seven portfolio series over the out-of-sample days, the baselines and every symbol on its own."""
+    report = Report(t)
+    plain = report.sleeves("plain")
+    equal, full, fixed = pt.equal_weight(plain, report.denoms), t.keep("report-full", lambda: report.rule("plain")), report.rule("fixed")
+    throttled = pt.drawdown_throttle(named(full, "throttle_rm").unionByName(named(fixed, "fixed_rm")))
+    raw = (
+        named(equal, "equal_rm")
+        .unionByName(named(pt.inverse_vol(plain, report.denoms), "inv_vol_rm"))
+        .unionByName(named(full, "full_rm"))
+        .unionByName(throttled.select("variant", "day", "ret"))
+        .unionByName(named(report.rule("banded"), "banded_rm"))
+    )
     series = (
-        equal.select(F.lit("equal_raw").alias("series"), "day", "ret")
-        .unionByName(overlaid(equal).select(F.lit("equal_rm").alias("series"), "day", "ret"))
-        .unionByName(baseline_streams(t, folds).select(F.col("baseline").alias("series"), "day", "ret"))
-        .unionByName(oos.select(F.col("symbol").alias("series"), "day", "ret"))
+        named(equal, "equal_raw", "series")
+        .unionByName(costs.vol_overlay(raw, ["variant"]).select(F.col("variant").alias("series"), "day", "ret"))
+        .unionByName(baseline_streams(t, report.folds).select(F.col("baseline").alias("series"), "day", "ret"))
+        .unionByName(report.oos("plain").select(F.col("symbol").alias("series"), "day", "ret"))
     )
     return rows(pf.summary(series, ["series"], 365, SETUP.rf), "series").join(series.groupBy("series").agg(F.count(F.lit(1)).alias("n")), "series")
 
 
+# ---------------------------------------------------------------- attribution ladder
+
+RUNGS = ["equal", "inverse vol", "tilt", "crisis", "rebalance band", "vol overlay"]
+LADDER = ["pl_pf_equal", "pl_pf_iv", "pl_pf_tilt", "pl_pf_rule", "bd_pf_rule", f"({overlay_of('bd_pf_rule')})"]
+cte("ladder", " UNION ALL ".join(f"SELECT {k} AS rung, '{name}' AS component, day, ret FROM {source}" for k, (name, source) in enumerate(zip(RUNGS, LADDER, strict=True), start=1)), *LADDER[:5])
+cte("base_turn", "SELECT sum(tv) AS turns FROM (SELECT day, sum(abs(w - pw)) / 2 AS tv FROM (SELECT g.day, g.symbol, coalesce(b.w, 0) AS w, lag(coalesce(b.w, 0), 1, 0) OVER (PARTITION BY g.symbol ORDER BY g.day) AS pw FROM (SELECT day, symbol FROM oos_days, (SELECT DISTINCT symbol FROM bars)) g LEFT JOIN (SELECT m.day, m.symbol, 1.0::DOUBLE / d.denom AS w FROM pl_masked m JOIN sleeve_denoms d USING (day)) b USING (day, symbol)) GROUP BY 1)", "oos_days", "bars", "pl_masked", "sleeve_denoms")
+
+
+@query(
+    "at_ladder",
+    sql(
+        f"""SELECT rung, component, {OUT}, {r('coalesce(cagr - lag(cagr) OVER (ORDER BY rung), 0)', 'delta_cagr')}, {r('coalesce(sharpe - lag(sharpe) OVER (ORDER BY rung), 0)', 'delta_sharpe')}, {r('-0.0015::DOUBLE * turns', 'cost_line')}
+            FROM ({summary_sql('ladder', 'rung, component', 365, SETUP.rf)}), base_turn""",
+        "ladder",
+        "base_turn",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Six rungs over the walk-forward sleeves; the band acts inside the sleeves, so rungs 5 and 6 use banded ones."""
+    report = Report(t)
+    masked, denoms = report.sleeves("plain"), report.denoms
+    banded = t.keep("report-banded", lambda: report.rule("banded")).withColumn("variant", F.lit("rebalance band"))
+    base = combiner_streams(masked, denoms).replace({"equal_weight": "equal", "inv_vol": "inverse vol", "inv_vol+tilt": "tilt", "inv_vol+tilt+crisis": "crisis"}, subset="variant")
+    overlay = costs.vol_overlay(banded, ["variant"]).select(F.lit("vol overlay").alias("variant"), "day", "ret")
+    dim = t.spark.createDataFrame([(c, k, c) for k, c in enumerate(RUNGS, start=1)], "variant string, rung int, component string")
+    m = pf.summary(base.unionByName(banded.select("variant", "day", "ret")).unionByName(overlay), ["variant"], 365, SETUP.rf).join(F.broadcast(dim), "variant")
+    order = Window.partitionBy(F.lit(0)).orderBy("rung")  # six rungs
+    weights = masked.join(denoms, "day").select("day", "symbol", (F.lit(1.0) / F.col("denom")).alias("weight"))
+    turns = pt.weight_turnover(weights, report.days).agg(F.sum("turnover").alias("turns"))
+    out = m.crossJoin(F.broadcast(turns))
+    deltas = {f"delta_{c}": F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0.0)) for c in ("cagr", "sharpe")}
+    return out.withColumns(deltas).select("rung", "component", *[rd(c).alias(c) for c in COLS], rd("delta_cagr").alias("delta_cagr"), rd("delta_sharpe").alias("delta_sharpe"), rd(F.lit(-0.0015) * F.col("turns")).alias("cost_line"))
+
+
 # ---------------------------------------------------------------- selection rules side by side
 
 RULE_SOURCES = {"argmax": "big_oos", "one_se_worst": "oos_worst", "one_se_turnover": "oos_cheap", "robust_shrunk": "oos_robust"}

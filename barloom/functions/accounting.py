@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,17 +90,21 @@ def account(
     latency: int = 0,
     idx: str = "bar_idx",
     cost: Column | None = None,
+    band: float = 0.0,
 ) -> DataFrame:
-    """Band-0 return stream: (keys, open_time, bar_idx, target) -> ret, cost, traded, w.
+    """Return stream of a weight: (keys, open_time, bar_idx, target) -> ret, cost, traded, w.
 
     Needs columns open, close, prev_close, weight; the first bar of a slice
-    yields no return and the stream starts flat.
+    yields no return and the stream starts flat.  With a `band`, a new target is
+    acted on only when it leaves the band around the weight held.
     """
     w = Window.partitionBy(*keys).orderBy("open_time")
     held = F.col("weight") if latency == 0 else F.coalesce(F.lag("weight", latency).over(w), F.lit(0.0))
     if latency:
         held = F.when(F.col(idx) - latency >= 1, held).otherwise(F.lit(0.0))
     staged = weighted.withColumn("w", F.when(F.col(idx) >= 1, held).otherwise(F.lit(0.0)))
+    if band:
+        staged = hold_pool_with_band(staged.withColumn("w", F.array("w")), keys, band, "w").withColumn("w", F.get("w", F.lit(0)))
     staged = staged.withColumn("w_prev", F.lag("w", 1, 0.0).over(w)).where(F.col(idx) >= 1)
     legs = stream_return(
         F.col("w_prev"), F.col("w"), F.col("prev_close"), F.col("open"), F.col("close"),
@@ -128,6 +133,26 @@ def hold_with_band(targets: DataFrame, keys: Sequence[str], band: Column | str =
     return targets.groupBy(*keys).applyInPandas(fold, schema)
 
 
+def hold_pool_with_band(rows: DataFrame, keys: Sequence[str], band: float, column: str = "ws") -> DataFrame:
+    """Replace the target weights of a whole pool, one array per bar, by the weights a band lets through.
+
+    The held weights of all candidates are one vector, carried over the bars of
+    a key in one pass: bars are sorted once, whatever the size of the pool, and
+    a key has at most one bar per calendar day.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("open_time", ignore_index=True)
+        targets = np.stack(pdf[column].to_numpy()).astype(float)
+        held = np.zeros(targets.shape[1])
+        for i, row in enumerate(targets):
+            held = np.where(np.abs(row - held) > band, row, held)
+            targets[i] = held
+        return pdf.assign(**{column: list(targets)})
+
+    return rows.groupBy(*keys).applyInPandas(fold, rows.schema)
+
+
 def signal_cash(bars: DataFrame, fee: float = 0.001) -> DataFrame:
     """All-in / all-out ledger from buy and sell events, per symbol.
 

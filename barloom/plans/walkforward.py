@@ -40,6 +40,7 @@ class Setup:
     execution: str = "next_open"
     latency: int = 0
     embargo: int = 30
+    band: float = 0.0  # targets within the band around the held weight are not traded
 
     def with_(self, **changes) -> Setup:
         return replace(self, **changes)
@@ -83,6 +84,8 @@ def training_streams(features: DataFrame, pool: list[Spec], setup: Setup, bounds
     rows = rows.select(*BAR_COLUMNS, now.alias("ws"))
     lagged = F.lag("ws", setup.latency).over(w) if setup.latency else F.col("ws")
     rows = rows.withColumn("ws", F.when(F.col("bar_idx") - setup.latency >= 1, F.coalesce(lagged, zero)).otherwise(zero))
+    if setup.band:
+        rows = ac.hold_pool_with_band(rows, ["symbol"], setup.band)
     rows = rows.withColumn("wp", F.coalesce(F.lag("ws").over(w), zero)).where("bar_idx >= 1")
     first = F.get(F.filter("cuts", lambda c: c["cut"] > F.col("bar_idx")), F.lit(0))["fold_id"]
     tagged = rows.join(fold_cuts(bounds, setup.embargo), "symbol").withColumn("tag", first).where("tag is not null")  # one row per symbol; left to AQE
@@ -188,7 +191,7 @@ def picked_streams(features: DataFrame, pool: list[Spec], bounds: DataFrame, pic
     rows = joined.withColumn("ws", ws).withColumn("weight", weight)
     keep = ["symbol", "fold_id", "pool_idx", "open_time", "slice_idx", "open", "close", "prev_close", "weight"]
     out = ac.account(
-        rows.select(*keep), ["symbol", "fold_id"], setup.cost_rate, setup.rf, setup.ppy, setup.execution, setup.latency, "slice_idx"
+        rows.select(*keep), ["symbol", "fold_id"], setup.cost_rate, setup.rf, setup.ppy, setup.execution, setup.latency, "slice_idx", band=setup.band
     )
     return out.select("symbol", "fold_id", "pool_idx", F.col("open_time").alias("day"), "ret", "w", "traded")
 
@@ -201,6 +204,8 @@ def fixed_streams(features: DataFrame, pool: list[Spec], bounds: DataFrame, setu
     staged = rows.select("symbol", "fold_id", "open_time", "slice_idx", "open", "close", "prev_close", wt.pool_weights(pool, F.col("slice_idx")).alias("ws"))
     lagged = F.lag("ws", setup.latency).over(w) if setup.latency else F.col("ws")
     staged = staged.withColumn("ws", F.when(F.col("slice_idx") - setup.latency >= 1, F.coalesce(lagged, zero)).otherwise(zero))
+    if setup.band:
+        staged = ac.hold_pool_with_band(staged, ["symbol", "fold_id"], setup.band)
     staged = staged.withColumn("wp", F.coalesce(F.lag("ws").over(w), zero)).where("slice_idx >= 1")
     flat = staged.select(
         "symbol", "fold_id", "open_time", "open", "close", "prev_close", F.posexplode(F.arrays_zip("ws", "wp")).alias("pool_idx", "z")
