@@ -28,8 +28,7 @@ BAR_SQL = """SELECT symbol, epoch_ms(time_bucket(INTERVAL '1 hour', ts)::TIMESTA
 
 @query("st_tumbling", sql(BAR_SQL, "ticks"))
 def _(t: Tables) -> DataFrame:
-    bars = ticks.ohlc(tick_stream(t).withWatermark("ts", "1 day"), "1 hour")
-    return t.spark.read.parquet(runner.drain_complete(bars, "tumbling"))
+    return runner.Clocked(tick_stream(t), lambda rows: ticks.ohlc(rows.withWatermark("ts", "1 day"), "1 hour"), "tumbling").closed()
 
 
 @query(
@@ -41,8 +40,9 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    stats = ticks.trailing_stats(tick_stream(t).withWatermark("ts", "1 day"))
-    out = t.spark.read.parquet(runner.drain_complete(stats, "sliding"))
+    """Hourly panes from the stream, windows of 24 panes on read."""
+    parts = runner.Clocked(tick_stream(t), lambda rows: ticks.panes(rows.withWatermark("ts", "1 day")), "sliding").closed()
+    out = ticks.trailing_stats(parts)
     return out.select("symbol", "end_ms", "n", rd("mean", 9).alias("mean"), rd("sd").alias("sd"), "volume")
 
 
@@ -55,7 +55,9 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    spells = ticks.bursts(panels.ticks(t), "2 hours")
+    """Partial spells from the stream, merged on read."""
+    parts = runner.Clocked(tick_stream(t), lambda rows: ticks.partial_bursts(rows.withWatermark("ts", "1 day"), "2 hours"), "spells").closed()
+    spells = ticks.bursts(parts)
     return spells.withColumn("total", rd("total", 4))
 
 
@@ -75,9 +77,23 @@ def _(t: Tables) -> DataFrame:
     return by_status(t, ticks.future_status(tick_stream(t), "2024-01-25 12:00:00"), "future")
 
 
-@query("st_late_policy", sql("SELECT symbol, CASE WHEN ts::DATE <= DATE '2024-01-05' THEN 'refused' ELSE 'kept' END AS status, count(*) AS n FROM ticks GROUP BY 1, 2", "ticks"))
+cte("arrivals", "SELECT *, seq + CASE WHEN seq % 50 = 7 THEN 1500 ELSE 0 END AS arrive, CASE WHEN ts::DATE > DATE '2024-01-05' THEN ts::DATE END AS day FROM ticks", "ticks")
+
+
+@query(
+    "st_late_policy",
+    sql(
+        """SELECT symbol, status, count(*) AS n FROM (SELECT symbol, CASE WHEN day IS NULL THEN 'refused'
+             WHEN day < max(day) OVER (PARTITION BY symbol ORDER BY arrive, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'out_of_order' ELSE 'kept' END AS status FROM arrivals) GROUP BY 1, 2""",
+        "arrivals",
+    ),
+)
 def _(t: Tables) -> DataFrame:
-    return by_status(t, ticks.late_status(tick_stream(t), "2024-01-05"), "late")
+    """Every 50th print arrives 1500 places late; those whose date has passed by then are set aside."""
+    late = F.when(F.col("seq") % 50 == 7, 1500).otherwise(0)
+    out, state = (sinks.scratch(t.spark, f"late{part}") for part in ("", "-state"))
+    runner.drain_batches(tick_stream(t).withColumn("arrive", F.col("seq") + late), ticks.order_policy("2024-01-05", out, state, 1000), "late")
+    return t.spark.read.parquet(out).groupBy("symbol", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -98,15 +114,16 @@ def _(t: Tables) -> DataFrame:
 @query(
     "st_staleness",
     sql(
-        """SELECT symbol, n, epoch_us(last_ts) // 1000 AS last_ms, CASE WHEN last_ts < TIMESTAMP '2024-01-30 23:40:00' - INTERVAL 10 MINUTE THEN 'stale' ELSE 'fresh' END AS status
+        """SELECT symbol, n, epoch_us(last_ts) // 1000 AS last_ms, CASE WHEN last_ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 MINUTE THEN 'stale' ELSE 'fresh' END AS status
            FROM (SELECT symbol, count(*) AS n, max(ts) AS last_ts FROM ticks GROUP BY 1)""",
         "ticks",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    path = runner.drain_complete(ticks.last_seen(tick_stream(t)), "freshness")
-    limit = F.to_timestamp(F.lit("2024-01-30 23:30:00"))
-    return t.spark.read.parquet(path).select("symbol", "n", F.unix_millis("last_ts").alias("last_ms"), F.when(F.col("last_ts") < limit, "stale").otherwise("fresh").alias("status"))
+    """Silence of half an hour before the clock's midnight raises an alert by timer; the newest message of a symbol is its state."""
+    watch = runner.Clocked(tick_stream(t), lambda rows: ticks.silence_alerts(rows, 1_800_000), "freshness", "update").run().tick("2024-01-31 00:00:00")
+    newest = watch.rows().groupBy("symbol").agg(F.max_by(F.struct("n", "last_ms", "status"), "batch").alias("m"))
+    return newest.select("symbol", "m.n", "m.last_ms", "m.status")
 
 
 @query(
@@ -115,8 +132,14 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     static = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
-    joined = tick_stream(t).join(static, "user_id").groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
-    return t.spark.read.parquet(runner.drain_complete(joined, "static")).select("segment", "n", rd("total", 4).alias("total"))
+
+    def daily(rows: DataFrame) -> DataFrame:
+        # an outer join, as an inner one would filter the clock rows before they reach the watermark
+        known = rows.withWatermark("ts", "1 day").join(static, "user_id", "left")
+        return known.groupBy("segment", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")).select("segment", "n", "total")
+
+    parts = runner.Clocked(tick_stream(t), daily, "static").closed().where("segment is not null")
+    return parts.groupBy("segment").agg(F.sum("n").alias("n"), rd(F.sum("total"), 4).alias("total"))
 
 
 # ---------------------------------------------------------------- sleeves and portfolio

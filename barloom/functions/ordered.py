@@ -61,6 +61,19 @@ def running_sum_split(df: DataFrame, keys: list[str], order: list[str], values:
     return joined.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
 
 
+def max_before_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
+    """Largest value of all earlier rows over (keys, order), NULL where there is none, computed chunk by chunk."""
+    staged = df.withColumn("_chunk", chunk)
+    part = [*keys, "_chunk"]
+    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = staged.groupBy(*part).agg(*[F.max(src).alias(f"_t_{name}") for name, src in values.items()])
+    carried = tops.select(*part, *[F.max(f"_t_{n}").over(before).alias(f"_o_{n}") for n in values])
+    local = staged.select("*", *[F.max(src).over(inner).alias(f"_r_{name}") for name, src in values.items()])
+    joined = null_safe_join(local, carried, part)
+    return joined.select(*df.columns, *[F.greatest(f"_r_{n}", f"_o_{n}").alias(n) for n in values])
+
+
 def asof_split(
     left: DataFrame,
     right: DataFrame,

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch
 
+END_OF_TIME = "2200-01-01 00:00:00"
+
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet folder (or file) as a stream, with the schema of the files already there."""
@@ -34,8 +37,48 @@ def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], l
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", log).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain_complete(stream: DataFrame, label: str) -> str:
-    """Latest full result of a streaming aggregate as a parquet folder (one row per group)."""
-    out = scratch(stream.sparkSession, label)
-    drain_batches(stream, lambda batch, _id: batch.write.mode("overwrite").parquet(out), label, "complete")
-    return out
+def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """Writer of one folder per batch id: a batch that runs again replaces its own rows and no others."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
+
+
+class Clocked:
+    """A stream with a clock beside it, so that time passes, and windows close, without new rows.
+
+    The clock is a folder of rows that hold a time only.  `run` processes what
+    is there; `tick` sets the clock and runs again on the same checkpoint.  The
+    result has a folder per batch.  `late` counts the rows that came after
+    their window had closed.
+    """
+
+    def __init__(self, rows: DataFrame, build: Callable[[DataFrame], DataFrame], label: str, mode: str = "append", time: str = "ts"):
+        spark = rows.sparkSession
+        self.spark, self.mode, self.time, self.late = spark, mode, time, 0
+        self.out, self.log, self.beats = (scratch(spark, f"{label}{part}") for part in ("", "-log", "-clock"))
+        spark.createDataFrame([], f"{time} timestamp").write.parquet(self.beats)
+        clock = spark.readStream.schema(f"{time} timestamp").parquet(self.beats)
+        self.stream = build(rows.unionByName(clock, allowMissingColumns=True))
+
+    def run(self) -> Clocked:
+        sink = self.stream.writeStream.foreachBatch(batch_sink(self.out)).option("checkpointLocation", self.log).outputMode(self.mode)
+        query = sink.trigger(availableNow=True).start()
+        query.awaitTermination()
+        self.late += sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+        return self
+
+    def tick(self, now: str) -> Clocked:
+        """Let the clock show `now` (UTC)."""
+        self.spark.sql("SELECT 1").select(F.to_timestamp(F.lit(now)).alias(self.time)).write.mode("append").parquet(self.beats)
+        return self.run()
+
+    def rows(self) -> DataFrame:
+        """All result rows with the id of their batch."""
+        return self.spark.read.schema(self.stream.schema.add("batch", "long")).parquet(self.out)
+
+    def closed(self) -> DataFrame:
+        """The whole result of a bounded source: run, then let the clock pass every window."""
+        return self.run().tick(END_OF_TIME).rows().drop("batch")
