@@ -10,7 +10,7 @@ from ..functions.normal import norm_cdf
 from ..functions.numeric import r as rd
 from ..operators import clusters as cl
 from ..operators import inference as inf
-from ..operators import pairs
+from ..operators import pairs, paths
 from ..operators import resample as rs
 from ..plans import walkforward as wf
 from ..sources.panels import Tables
@@ -100,9 +100,12 @@ def bands_sql(wanted: dict) -> str:
     return ", ".join(r(q_sql(m, p), name) for name, (m, p) in wanted.items())
 
 
-def boot_metrics(t: Tables, scheme: str) -> DataFrame:
-    returns = seg_returns(t)
-    return rs.path_metrics(rs.resampled(index_of(scheme, rs.lengths(returns, ["symbol"])), returns, ["symbol"]), ["symbol"])
+DRAWS = {"stationary": paths.stationary_draws, "circular": paths.circular_draws, "moving": paths.moving_draws}
+
+
+def boot_metrics(t: Tables, scheme: str, returns: DataFrame | None = None) -> DataFrame:
+    draws = DRAWS[scheme]
+    return paths.replicate(seg_returns(t) if returns is None else returns, ["symbol"], REPS, lambda n, reps: draws(n, reps, BLOCK))
 
 
 @query("bs_metrics", sql(f"SELECT symbol, {bands_sql(BANDS)} FROM bm_stationary GROUP BY 1", "bm_stationary"))
@@ -116,14 +119,9 @@ def _(t: Tables) -> DataFrame:
     sql(" UNION ALL ".join(f"SELECT '{s}' AS scheme, symbol, {bands_sql(EXPANDED)} FROM bm_{s} GROUP BY 2" for s in ("stationary", "circular", "moving")), "bm_stationary", "bm_circular", "bm_moving"),
 )
 def _(t: Tables) -> DataFrame:
-    returns = seg_returns(t)
-    sizes = rs.lengths(returns, ["symbol"])
-    index = None
-    for scheme in ("stationary", "circular", "moving"):
-        part = index_of(scheme, sizes).withColumn("scheme", F.lit(scheme))
-        index = part if index is None else index.unionByName(part)
-    paths = rs.resampled(index, returns, ["symbol"])
-    out = rs.bands(rs.path_metrics(paths, ["scheme", "symbol"]), ["scheme", "symbol"], EXPANDED)
+    returns = t.keep("segment-returns", lambda: seg_returns(t))
+    every = [boot_metrics(t, scheme, returns).withColumn("scheme", F.lit(scheme)) for scheme in DRAWS]
+    out = rs.bands(every[0].unionByName(every[1]).unionByName(every[2]), ["scheme", "symbol"], EXPANDED)
     return out.select("scheme", "symbol", *[rd(c).alias(c) for c in EXPANDED])
 
 
@@ -197,17 +195,15 @@ def _(t: Tables) -> DataFrame:
     ).withColumn("analytic_p", rd(norm_cdf(F.col("neg_z"))))
 
 
-HORIZON = 252
-cte("future_ix", idx_sql("stationary", emit=str(HORIZON), seed=5), "sizes")
+HORIZON, PATHS = 252, 5000
+cte("future_ix", idx_sql("stationary", emit=str(HORIZON), seed=5, reps=PATHS), "sizes")
 cte("future_m", summary_sql("(SELECT x.symbol, x.rep, x.pos, n.ret FROM future_ix x JOIN numbered n ON x.symbol = n.symbol AND x.idx = n.i)", "symbol, rep", 365, 0.0, "count(ret)", "pos"), "future_ix", "numbered")
 FUTURE = {"terminal_p05": ("final", 0.05), "terminal_median": ("final", 0.5), "terminal_p95": ("final", 0.95), "mdd_median": ("max_drawdown", 0.5), "mdd_p95": ("max_drawdown", 0.05), "mdd_worst": ("max_drawdown", 0.0)}
 
 
 @query("bs_future_paths", sql(f"SELECT symbol, {r('avg((final < 1)::INT)', 'p_loss')}, {bands_sql(FUTURE)} FROM future_m GROUP BY 1", "future_m"))
 def _(t: Tables) -> DataFrame:
-    returns = seg_returns(t)
-    index = rs.stationary(rs.lengths(returns, ["symbol"]), ["symbol"], REPS, BLOCK, F.lit(HORIZON).cast("bigint"), seed=5)
-    m = pf.summary(rs.resampled(index, returns, ["symbol"]), ["symbol", "rep"], order="pos")
+    m = t.keep("future-paths", lambda: paths.replicate(seg_returns(t), ["symbol"], PATHS, lambda n, reps: paths.stationary_draws(n, reps, BLOCK, HORIZON, 5), emit=HORIZON))
     loss = m.groupBy("symbol").agg(rd(F.avg((F.col("final") < 1).cast("double"))).alias("p_loss"))
     return rs.bands(m, ["symbol"], FUTURE).join(loss, "symbol").select("symbol", "p_loss", *[rd(c).alias(c) for c in FUTURE])
 
@@ -229,8 +225,7 @@ cte("shuf_m", summary_sql("shuf_path", "symbol, rep", 365, 0.0, "count(ret)", "p
 def _(t: Tables) -> DataFrame:
     """Drawdowns of permuted streams; drawdowns equal to 12 digits are ties, as products of the same returns in another order differ in the last bits."""
     returns = seg_returns(t)
-    index = rs.shuffled(rs.lengths(returns, ["symbol"]), ["symbol"], REPS)
-    m = pf.summary(rs.resampled(index, returns, ["symbol"]), ["symbol", "rep"], order="pos")
+    m = paths.replicate(returns, ["symbol"], REPS, paths.shuffle_draws)
     actual = pf.summary(returns, ["symbol"]).select("symbol", F.col("max_drawdown").alias("actual_mdd"))
     agg = m.join(actual, "symbol").groupBy("symbol").agg(
         F.max("actual_mdd").alias("actual_mdd"), F.avg((F.round("max_drawdown", 12) <= F.round("actual_mdd", 12)).cast("double")).alias("dd_percentile"),
@@ -257,13 +252,12 @@ def hz_sql(source: str, part: str, order: str) -> str:
 )
 def _(t: Tables) -> DataFrame:
     returns = seg_returns(t)
-    paths = rs.resampled(rs.shuffled(rs.lengths(returns, ["symbol"]), ["symbol"], REPS), returns, ["symbol"])
     seen = returns.select("symbol", pf.horizon_return(HORIZON, ["symbol"]).alias("h")).where("h is not null")
     lost = F.avg((F.col("h") < 0).cast("double"))
     obs = seen.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_windows"), lost.alias("p"), F.min("h").alias("worst"))
     med = rs.bands(seen, ["symbol"], {"med": ("h", 0.5)})
-    sh = paths.select("symbol", "rep", pf.horizon_return(HORIZON, ["symbol", "rep"], "pos").alias("h")).where("h is not null")
-    sh = sh.groupBy("symbol", "rep").agg(lost.alias("q")).groupBy("symbol").agg(F.avg("q").alias("q"))
+    sh = paths.replicate(returns, ["symbol"], REPS, paths.shuffle_draws, paths.loss_shares(HORIZON), ["q"])
+    sh = sh.where("q is not null").groupBy("symbol").agg(F.avg("q").alias("q"))
     out = obs.join(med, "symbol").join(sh, "symbol")
     return out.select(
         "symbol", "n_windows", rd("p").alias("observed_p_loss"), rd("worst").alias("observed_worst"), rd("med").alias("observed_median"), rd("q").alias("shuffle_p_loss"), rd(F.col("p") - F.col("q")).alias("gap")

@@ -153,20 +153,67 @@ def tape_lines(t: Tables) -> DataFrame:
     return joined.select("tape", "seq", F.when(torn, F.substring(line, 1, 17)).otherwise(line).alias("value"))
 
 
-@query(
-    "src_tape_strict",
-    sql(
-        """SELECT tape, n_lines, interior_corrupt, torn_tail, interior_corrupt > 0 AS voided,
-                  CASE WHEN interior_corrupt > 0 THEN 0 ELSE n_lines - torn_tail::BIGINT END AS n_rows
-           FROM (SELECT tape, count(*) AS n_lines, max_by(corrupt, seq) AS torn_tail,
-                 count(*) FILTER (corrupt) - max_by(corrupt, seq)::BIGINT AS interior_corrupt
-                 FROM tape_lines GROUP BY tape)""",
-        "tape_lines",
-    ),
+# evidence tapes: one entry per day and order priority and year, with faults in odd years; low-priority tapes end in a torn line
+TAPE_FAULTS = {97: "not_json", 101: "no_date", 103: "invalid_date", 107: "repeated_date", 109: "invalid_return", 113: "impossible_return", 127: "no_assets"}
+cte(
+    "evidence_days",
+    """SELECT *, d = max(d) OVER (PARTITION BY tape) AND tape LIKE '%5-LOW' AS torn, y % 2 = 1 AS odd FROM (
+         SELECT year(o_orderdate) || '/' || o_orderpriority AS tape, year(o_orderdate) AS y, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d FROM orders GROUP BY ALL)""",
+)
+
+
+def fault_sql() -> str:
+    cases = " ".join(f"WHEN odd AND d % {m} = 0 THEN '{name}'" for m, name in TAPE_FAULTS.items())
+    return f"CASE WHEN torn THEN 'torn_tail' {cases} ELSE 'ok' END"
+
+
+cte("evidence_faults", f"SELECT *, {fault_sql()} AS fault FROM evidence_days", "evidence_days")
+# a repeated line carries the date of the dated line before it; without one, its own
+cte(
+    "evidence_dated",
+    """SELECT *, CASE WHEN fault = 'repeated_date' THEN coalesce(prev, d) ELSE d END AS shown FROM (
+         SELECT *, lag(d) OVER (PARTITION BY tape ORDER BY d) AS prev FROM evidence_faults)""",
+    "evidence_faults",
+)
+cte(
+    "evidence_checked",
+    """SELECT tape, CASE WHEN fault IN ('torn_tail', 'not_json', 'no_date', 'invalid_date') THEN fault WHEN count(*) OVER seen > 0 THEN 'repeated_date' WHEN shown <= lag(shown) OVER line THEN 'not_increasing'
+              WHEN fault = 'repeated_date' THEN 'ok' ELSE fault END AS reason
+       FROM (SELECT *, fault IN ('torn_tail', 'not_json', 'no_date', 'invalid_date') AS undated FROM evidence_dated)
+       WINDOW seen AS (PARTITION BY tape, undated, shown ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), line AS (PARTITION BY tape, undated ORDER BY d)""",
+    "evidence_dated",
 )
+
+
+def write_evidence(t: Tables) -> str:
+    """The evidence tapes as JSONL files, a file per tape, oldest day first."""
+    d = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    days = t.orders.select(F.concat(F.year("o_orderdate").cast("string"), F.lit("/"), "o_orderpriority").alias("tape"), F.year("o_orderdate").alias("y"), F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus")
+    lines = days.groupBy("tape", "y", "day").agg(F.count(F.lit(1)).alias("orders"), F.min("o_orderstatus").alias("asset")).withColumn("d", d)
+    tape = Window.partitionBy("tape")
+    torn = (F.col("day") == F.max("day").over(tape)) & F.col("tape").endswith("5-LOW")
+    staged = lines.withColumns({"torn": torn, "prev": F.lag("day").over(tape.orderBy("day"))})
+    fault = F.when(F.col("torn"), "torn_tail")
+    for m, name in TAPE_FAULTS.items():
+        fault = fault.when((F.col("y") % 2 == 1) & (F.col("d") % m == 0), name)
+    f = fault.otherwise("ok")
+    shown = F.when(f == "invalid_date", "1995-13-45").when(f == "repeated_date", F.coalesce("prev", "day").cast("string")).when(f != "no_date", F.col("day").cast("string"))
+    ret = F.when(f == "invalid_return", F.lit('"x"')).when(f == "impossible_return", F.lit("-1.5")).otherwise(F.format_string("%.4f", (F.col("orders") % 7 - 3) / 1000))
+    assets = F.when(f == "no_assets", F.lit("{}")).otherwise(F.concat(F.lit('{"'), "asset", F.lit('": '), F.col("orders").cast("string"), F.lit("}")))
+    date = F.coalesce(F.concat(F.lit('"date": "'), shown, F.lit('", ')), F.lit(""))
+    line = F.concat(F.lit("{"), date, F.lit('"port_ret": '), ret, F.lit(', "assets": '), assets, F.lit("}"))
+    value = F.when(f.isin("torn_tail", "not_json"), F.substring(line, 1, 19)).otherwise(line)
+    path = sinks.scratch(t.spark, "evidence")
+    name = F.replace(F.col("tape"), F.lit("/"), F.lit("_"))
+    staged.select(name.alias("tape"), "day", value.alias("value")).repartition("tape").sortWithinPartitions("tape", "day").drop("day").write.partitionBy("tape").text(path)
+    return path
+
+
+@query("src_tape_strict", sql("SELECT replace(tape, '/', '_') AS tape, reason, count(*) AS n, bool_or(bool_or(reason NOT IN ('ok', 'torn_tail'))) OVER (PARTITION BY tape) AS voided FROM evidence_checked GROUP BY tape, reason", "evidence_checked"))
 def _(t: Tables) -> DataFrame:
-    parsed = tapes.parse_tape(tape_lines(t), "seq bigint, cust bigint, price double", ["tape", "seq"])
-    return tapes.tape_status(parsed, "tape", "seq")
+    """Tapes written as files and read back under the rules; the reasons are counted."""
+    entries = tapes.read_tape(t.spark, write_evidence(t))
+    return tapes.tape_reasons(entries, F.url_decode(F.regexp_extract("file", r"tape=([^/]*)/", 1)))
 
 
 def snapshot_lines(t: Tables) -> DataFrame:
@@ -199,7 +246,11 @@ def snapshot_lines(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    parsed = tapes.parse_tape(snapshot_lines(t), tapes.SNAPSHOT_SCHEMA, ["line_id"])
+    """The log as a file, one line per snapshot in the order they were taken."""
+    path = sinks.scratch(t.spark, "snapshots")
+    snapshot_lines(t).repartitionByRange("line_id").sortWithinPartitions("line_id").select("value").write.text(path)
+    lines = tapes.numbered_lines(t.spark, path).withColumn("line_id", F.struct("file", "block", "at"))
+    parsed = tapes.parse_tape(lines, tapes.SNAPSHOT_SCHEMA, ["line_id"])
     return tapes.snapshot_conflicts(tapes.snapshot_members(parsed))
 
 
@@ -225,26 +276,29 @@ def _(t: Tables) -> DataFrame:
 @query(
     "sink_quarantine",
     sql(
-        """SELECT 'archive' AS output, count(*) AS n FROM tape_lines
-           UNION ALL SELECT 'annotated', count(*) FROM tape_lines
-           UNION ALL SELECT 'verified', count(*) FROM tape_lines WHERE NOT corrupt""",
+        """SELECT 'archive' AS output, count(DISTINCT tape) AS files, 0::BIGINT AS changed, count(*) AS n FROM tape_lines
+           UNION ALL SELECT 'annotated', 0, 0, count(*) FROM tape_lines
+           UNION ALL SELECT 'verified', 0, 0, count(*) FROM tape_lines WHERE NOT corrupt""",
         "tape_lines",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    lines = tape_lines(t)
-    parsed = tapes.parse_tape(lines, "seq bigint, cust bigint, price double", ["tape", "seq"])
-    classified = parsed.select(
-        "tape", "seq", F.col("row.cust"), F.col("row.price"), F.when(F.col("corrupt"), "malformed").otherwise("verified").alias("verdict")
-    )
-    path = sinks.scratch(t.spark, "quarantine")
-    sinks.write_quarantine(lines.select("value"), classified, path)
-    counts = [
-        t.spark.read.text(f"{path}/archive").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit("archive")),
-        t.spark.read.parquet(f"{path}/annotated").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit("annotated")),
-        t.spark.read.parquet(f"{path}/verified").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit("verified")),
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """Monthly tapes written as files; the archive is checked file by file against what was read."""
+    source, path = sinks.scratch(t.spark, "mixed"), sinks.scratch(t.spark, "quarantine")
+    tape_lines(t).repartition("tape").sortWithinPartitions("tape", "seq").select("tape", "value").write.partitionBy("tape").text(source)
+    lines = tapes.numbered_lines(t.spark, source).withColumn("tape", F.regexp_extract("file", r"tape=([^/]*)/", 1))
+    parsed = tapes.parse_tape(lines, "seq bigint, cust bigint, price double", ["tape"])
+    classified = parsed.select("tape", F.col("row.seq"), F.col("row.cust"), F.col("row.price"), F.when(F.col("corrupt"), "malformed").otherwise("verified").alias("verdict"))
+    sinks.write_quarantine(t.spark, source, classified, path)
+    archive = t.spark.read.parquet(f"{path}/archive")
+    now = sinks.file_bytes(t.spark, source).select("path", F.sha2("content", 256).alias("now"))
+    same = archive.join(now, "path", "full").agg(
+        F.count("path").alias("files"), F.count_if(~F.sha2("content", 256).eqNullSafe(F.col("now")) | (F.col("sha256") != F.col("now"))).alias("changed"),
+        F.sum(F.regexp_count(F.col("content").cast("string"), F.lit("\n"))).alias("n"),
+    )
+    zero = F.lit(0).cast("bigint")
+    counts = [t.spark.read.parquet(f"{path}/{part}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("output"), zero.alias("files"), zero.alias("changed"), "n") for part in ("annotated", "verified")]
+    return same.select(F.lit("archive").alias("output"), "files", "changed", "n").unionByName(counts[0]).unionByName(counts[1])
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import performance as pf
 from ..functions.normal import norm_cdf, norm_ppf
+from . import paths
 from . import resample as rs
 
 EULER_GAMMA = 0.5772156649015329
@@ -38,14 +39,9 @@ def reality_check(streams: DataFrame, keys: Sequence[str], series: str, reps: in
         obs = obs.withColumn("stat", pf.sharpe(F.col("mean"), F.col("sd"), F.col("n"), ppy))
     best = obs.groupBy(*keys).agg(F.max("stat").alias("best"), F.count(F.lit(1)).alias("n_series"))
     sizes = obs.groupBy(*keys).agg(F.max("n").alias("n"))
-    index = rs.stationary(sizes, list(keys), reps, block)
-    # A replicate only needs how often it drew each day: counts shrink the join before the series fan out.
-    drawn = index.groupBy(*keys, "rep", "idx").agg(F.count(F.lit(1)).alias("c"))
-    centred = rs.numbered(streams, [*keys, series]).join(obs.select(*keys, series, "mean", F.col("sd").alias("sd0"), "n"), [*keys, series])
-    centred = centred.select(*keys, series, F.col("i").alias("idx"), (F.col("ret") - F.col("mean")).alias("x"), "sd0", "n")
-    sums = drawn.join(centred, [*keys, "idx"]).groupBy(*keys, "rep", series).agg(
-        F.sum(F.col("c") * F.col("x")).alias("s1"), F.sum(F.col("c") * F.col("x") * F.col("x")).alias("s2"), F.max("n").alias("n"), F.max("sd0").alias("sd0")
-    )
+    centred = rs.numbered(streams, [*keys, series]).join(obs.select(*keys, series, "mean"), [*keys, series]).join(sizes, list(keys))
+    centred = centred.select(*keys, series, F.col("i").alias("idx"), (F.col("ret") - F.col("mean")).alias("x"), "n")
+    sums = paths.drawn_sums(centred, keys, series, reps, block).join(obs.select(*keys, series, "n", F.col("sd").alias("sd0")), [*keys, series])
     m = F.col("s1") / F.col("n")
     if studentised:
         stat = F.sqrt(F.col("n").cast("double")) * m / F.col("sd0")

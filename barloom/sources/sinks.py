@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -39,15 +40,17 @@ def append_rows(new: DataFrame, path: str, keys: list[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
-def write_quarantine(raw: DataFrame, classified: DataFrame, path: str) -> None:
-    """Three outputs: untouched archive, all rows annotated, verified rows only."""
-    raw.write.mode("overwrite").text(f"{path}/archive")
+def file_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every file below a folder, a row per file that is not empty (of at most 2 GB), read by the tasks."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def write_quarantine(spark: SparkSession, source: str, classified: DataFrame, path: str) -> None:
+    """Three outputs: every file of `source` byte for byte with its checksum, all rows annotated, verified rows only."""
+    file_bytes(spark, source).withColumn("sha256", F.sha2("content", 256)).write.mode("overwrite").parquet(f"{path}/archive")
     classified.write.mode("overwrite").partitionBy("verdict").parquet(f"{path}/annotated")
     # The verified set is one partition of the annotated output: no second pass over the input.
-    spark = raw.sparkSession
-    spark.read.parquet(f"{path}/annotated").where("verdict = 'verified'").drop("verdict").write.mode("overwrite").parquet(
-        f"{path}/verified"
-    )
+    spark.read.parquet(f"{path}/annotated").where("verdict = 'verified'").drop("verdict").write.mode("overwrite").parquet(f"{path}/verified")
 
 
 def write_report(metrics: DataFrame, path: str, run_id: str = "run_id") -> None:
