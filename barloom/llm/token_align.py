@@ -33,15 +33,16 @@ from .common import store
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIR_LIMIT = 4_000_000  # rows of the pair table sent to tasks, 24 bytes each
-KEPT = 400_000  # segments a task keeps aligned
+KEPT = 500_000  # segments a worker keeps aligned, some 350 bytes each
 KEPT_CHARS = 16_000_000
 CHUNK_CHARS = 4_000_000
-RUN = 50_000  # characters of segments encoded in one call
+RUN = 20_000  # characters of segments encoded in one call
 SHIFT = 32
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
 SPACE = "▁"
 _LOADED: dict[str, Vocabularies] = {}
+_MEMORIES: dict[str, Memory] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -130,66 +131,67 @@ def vocabularies(folder: str) -> Vocabularies:
     return _LOADED[folder]
 
 
-class Aligner:
-    """Alignments of distinct segments: counts, group strings and links, in the order of their numbers."""
+class Memory:
+    """Alignments of distinct segments, numbered; a worker keeps them over its tasks and over both passes."""
 
-    def __init__(self, folder: str, strings: bool, lookup=None) -> None:
-        self.v, self.strings, self.lookup = vocabularies(folder), strings, lookup
+    def __init__(self, v: Vocabularies) -> None:
+        self.v = v
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.groups: list[bytes] = []
-        self.sizes = np.zeros((6, 0), dtype=np.int64)  # ok, n_a, n_b, n_groups, n_best, count_sum
+        self.sizes = np.zeros((4, 0), dtype=np.int64)  # whether both sides give the bytes back, n_a, n_b, n_groups
         self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segment, code, follows the identity map
-        self.seen = np.zeros(0, dtype=np.int64)
+        self.groups: list[bytes] = []
+        self.unwritten: list[tuple] = []
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Segment numbers of all texts and the number of segments of each."""
-        split = list(map(self.v.segments, texts))
-        fresh = list(set().union(*split).difference(self.number))
-        if fresh:
-            self._learn(fresh)
-        size = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        return np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(size.sum())), size
+    def full(self) -> bool:
+        return len(self.number) > KEPT or self.chars > KEPT_CHARS
 
-    def _learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: list[str]) -> None:
         v, first, count = self.v, len(self.number), len(fresh)
         *ids, size, ok = v.encode(fresh)
         ends = np.cumsum(size)
         stops = [np.cumsum(length[i]) for length, i in zip((v.a_len, v.b_len), ids, strict=True)]
-        every = np.union1d(*stops)
-        at = [np.searchsorted(s, every) for s in stops]
-        codes = (ids[0][at[0]] << SHIFT) | ids[1][at[1]] if len(every) else np.zeros(0, dtype=np.int64)
-        common = (stops[0][at[0]] == every) & (stops[1][at[1]] == every) if len(every) else np.zeros(0, dtype=bool)
+        total = int(ends[-1]) if count else 0
+        marks = np.zeros((2, total + 1), dtype=bool)
+        for mark, stop in zip(marks, stops, strict=True):
+            mark[stop] = True
+        every = np.flatnonzero(marks[0] | marks[1])  # elementary ranges end where a token of either side ends
+        common = marks[0][every] & marks[1][every]
+        # an elementary range is in the token after those that ended before it
+        at = [np.cumsum(mark, dtype=np.int32)[every] - mark[every] for mark in marks]
+        codes = (ids[0][at[0]] << SHIFT) | ids[1][at[1]]
         alone = common.copy()  # one A and one B token: the group begins where this elementary range begins
         alone[1:] &= common[:-1]
         mapped = alone & (v.identity[codes >> SHIFT] == codes & ((1 << SHIFT) - 1))
-        of = np.searchsorted(ends, every)  # bad segments have no bytes and own no token
-        sizes = np.zeros((6, count), dtype=np.int64)
+        of = np.repeat(np.arange(count), np.diff(np.searchsorted(every, ends, side="right"), prepend=0))
+        sizes = np.zeros((4, count), dtype=np.int64)
         sizes[0] = ok
         for k in range(2):
-            sizes[1 + k] = np.bincount(np.searchsorted(ends, stops[k]), minlength=count)
+            sizes[1 + k] = np.diff(np.searchsorted(stops[k], ends, side="right"), prepend=0)
         sizes[3] = np.bincount(of[common], minlength=count)
-        if self.lookup is not None:
-            n, best = self.lookup(codes)
-            sizes[4] = np.bincount(of[best], minlength=count)
-            np.add.at(sizes[5], of, n)
         self.sizes = np.concatenate([self.sizes, sizes], axis=1)
         self.links.append((of + first, codes, mapped))
-        self.seen = np.concatenate([self.seen, np.zeros(count, dtype=np.int64)])
-        if self.strings:
-            self.groups.extend(self._strings(ids, stops, every[common], sizes[1] + sizes[2]))
+        closed = np.cumsum(marks[0] & marks[1], dtype=np.int32)
+        group = [closed[s] - (marks[0] & marks[1])[s] for s in stops]
+        self.unwritten.append((*(i.astype(np.int32) for i in ids), *group, sizes[1] + sizes[2]))
         self.number.update(zip(fresh, range(first, first + count), strict=True))
         self.chars += sum(map(len, fresh))
 
-    def _strings(self, ids: list[np.ndarray], stops: list[np.ndarray], closed: np.ndarray, size: np.ndarray) -> Iterator[bytes]:
-        """`a1,a2|b1;a3|b2,b3` of each segment: both sides' tokens in the order of their groups, each with what follows it."""
+    def write(self) -> list[bytes]:
+        """`a1,a2|b1;a3|b2,b3` of each segment."""
+        while self.unwritten:
+            *ids, group_a, group_b, size = self.unwritten.pop(0)
+            self.groups.extend(self._strings(ids, [group_a, group_b], size))
+        return self.groups
+
+    def _strings(self, ids: list[np.ndarray], group: list[np.ndarray], size: np.ndarray) -> Iterator[bytes]:
+        """Both sides' tokens in the order of their groups, each with what follows it."""
         if not self.v.texts:
             last = (len(self.v.a_len), len(self.v.b_len))
             self.v.texts = [f"{k}{after}" for n, pair in zip(last, (",|", ",;"), strict=True) for after in pair for k in range(n)]
-        group = [np.searchsorted(closed, s) for s in stops]
         # where in its list a token with its separator stands: A with a comma, A with a bar, B with a comma, B with a semicolon
         table, base = [], 0
         for i, g, n in zip(ids, group, (len(self.v.a_len), len(self.v.b_len)), strict=True):
@@ -203,20 +205,63 @@ class Aligner:
             yield "".join(written[lo : lo + n])[:-1].encode()
             lo += n
 
+
+def memory(folder: str) -> Memory:
+    if folder not in _MEMORIES:
+        _MEMORIES[folder] = Memory(vocabularies(folder))
+    return _MEMORIES[folder]
+
+
+class Aligner:
+    """What a task counts or reads over the worker's memory."""
+
+    def __init__(self, folder: str, lookup=None) -> None:
+        self.m, self.v, self.lookup = memory(folder), vocabularies(folder), lookup
+        self.restart()
+
+    def restart(self) -> None:
+        self.seen = np.zeros(len(self.m.number), dtype=np.int64)
+        self.read = np.zeros((2, 0), dtype=np.int64)  # n_best and count_sum of each segment
+        self.looked = 0
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Segment numbers of all texts and the number of segments of each."""
+        split = list(map(self.v.segments, texts))
+        number = self.m.number
+        fresh = list(set().union(*split).difference(number))
+        if fresh:
+            self.m.learn(fresh)
+        self.seen = np.concatenate([self.seen, np.zeros(len(number) - len(self.seen), dtype=np.int64)])
+        size = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        return np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(size.sum())), size
+
+    def values(self) -> np.ndarray:
+        """n_best and count_sum of all segments, by the pair table."""
+        if self.looked < len(self.m.links):
+            more = np.zeros((2, len(self.m.number) - self.read.shape[1]), dtype=np.int64)
+            base = self.read.shape[1]
+            for of, codes, _ in self.m.links[self.looked :]:
+                n, best = self.lookup(codes)
+                np.add.at(more[0], of[best] - base, 1)
+                np.add.at(more[1], of - base, n)
+            self.read = np.concatenate([self.read, more], axis=1)
+            self.looked = len(self.m.links)
+        return self.read
+
     def count(self, number: np.ndarray, size: np.ndarray) -> None:
         """Add the segments of the whole texts that both tokenizers keep."""
         number = number[np.repeat(self.kept(number, size), size)]
         self.seen += np.bincount(number, minlength=len(self.seen))
 
     def kept(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
-        bad = np.bincount(np.repeat(np.arange(len(size)), size)[self.sizes[0][number] == 0], minlength=len(size))
+        bad = np.bincount(np.repeat(np.arange(len(size)), size)[self.m.sizes[0][number] == 0], minlength=len(size))
         return bad == 0
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The vector of identity groups by A id, and code and count of all other links; starts anew."""
+        """The vector of identity groups by A id, and code and count of all other links; counting starts anew."""
         vector = np.zeros(len(self.v.a_bytes), dtype=np.int64)
         codes, times = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for of, code, mapped in self.links:
+        for of, code, mapped in self.m.links:
             n = self.seen[of]
             np.add.at(vector, code[mapped] >> SHIFT, n[mapped])
             rest = ~mapped & (n > 0)
@@ -225,11 +270,14 @@ class Aligner:
         code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
         total = np.zeros(len(code), dtype=np.int64)
         np.add.at(total, inverse, np.concatenate(times))
-        self.clear()
+        self.restart()
         return vector, code, total
 
-    def full(self) -> bool:
-        return len(self.number) > KEPT or self.chars > KEPT_CHARS
+    def relieve(self) -> None:
+        """Forget all segments once they are too many."""
+        if self.m.full():
+            self.m.clear()
+            self.restart()
 
 
 def chunks(batches, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -248,7 +296,7 @@ def pair_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(code, n, best): the number of links of every id pair of the corpus, code = A id * 2**32 + B id; best: no pair of the B id has more."""
 
     def run(batches):
-        aligner = Aligner(folder, strings=False)
+        aligner = Aligner(folder)
         vector = np.zeros(len(aligner.v.a_bytes), dtype=np.int64)
 
         def spill():
@@ -261,8 +309,9 @@ def pair_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
             whole = [t for t in texts if t]
             if whole:
                 aligner.count(*aligner.numbers(whole))
-            if aligner.full():
+            if aligner.m.full():
                 yield spill()
+                aligner.relieve()
         yield spill()
         at = np.flatnonzero(vector)
         yield pa.RecordBatch.from_arrays([pa.array((at << SHIFT) | aligner.v.identity[at]), pa.array(vector[at])], ["code", "n"])
@@ -298,21 +347,25 @@ def align_tokens(docs: DataFrame, folder: str = TOKENIZERS, pair_limit: int = PA
 
     def lookup(codes):
         code, n, best = sent.value
-        at = np.searchsorted(code, codes)
-        return n[at], best[at]
+        if not len(code):
+            return np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
+        at = np.minimum(np.searchsorted(code, codes), len(code) - 1)
+        known = code[at] == codes  # the worker may remember segments of another table
+        return np.where(known, n[at], 0), known & best[at]
 
     def run(batches):
-        aligner = Aligner(folder, strings=True, lookup=lookup if small else None)
+        aligner = Aligner(folder, lookup if small else None)
         row = 0
         for part, texts in chunks(batches, CHUNK_CHARS):
             number, size = aligner.numbers(texts)
             start = np.concatenate([[0], np.cumsum(size)])
             kept = aligner.kept(number, size) & np.array([t != "" for t in texts])
-            sums = np.array([np.bincount(np.repeat(np.arange(len(size)), size), weights=x[number], minlength=len(size)) for x in aligner.sizes[1:4]]).astype(np.int64)
+            sums = np.array([np.bincount(np.repeat(np.arange(len(size)), size), weights=x[number], minlength=len(size)) for x in aligner.m.sizes[1:4]]).astype(np.int64)
             exact = np.zeros((2, len(size)), dtype=np.int64)
-            for k in range(2):
-                np.add.at(exact[k], np.repeat(np.arange(len(size)), size), aligner.sizes[4 + k][number])
-            numbers, groups = number.tolist(), aligner.groups
+            if small:
+                upto = np.concatenate([np.zeros((2, 1), dtype=np.int64), np.cumsum(aligner.values()[:, number], axis=1)], axis=1)
+                exact = upto[:, start[1:]] - upto[:, start[:-1]]
+            numbers, groups = number.tolist(), aligner.m.write()
             shas = [hashlib.sha256(b";".join([groups[i] for i in numbers[lo:hi]])).hexdigest() if k else "" for k, lo, hi in zip(kept, start[:-1], start[1:], strict=True)]
             columns = [sums[0], sums[1], sums[2], sums[0] + sums[1] - sums[2], exact[0], exact[1]]  # one link per distinct token end
             arrays = [part.column("doc_id"), *(pa.array(np.where(kept, c, 0)) for c in columns), pa.array(shas, pa.string())]
@@ -322,8 +375,7 @@ def align_tokens(docs: DataFrame, folder: str = TOKENIZERS, pair_limit: int = PA
                 names += ["row", "codes", "times"]
                 row += len(texts)
             yield pa.RecordBatch.from_arrays(arrays, names)
-            if aligner.full():
-                aligner.clear()
+            aligner.relieve()
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     if small:
@@ -340,9 +392,10 @@ def align_tokens(docs: DataFrame, folder: str = TOKENIZERS, pair_limit: int = PA
 
 def _doc_links(aligner: Aligner, numbers: list[int], start: np.ndarray, kept: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Distinct link codes of each text and how often each occurs."""
-    of = np.concatenate([x[0] for x in aligner.links])
-    code = np.concatenate([x[1] for x in aligner.links])
-    first = np.searchsorted(of, np.arange(len(aligner.number) + 1))
+    none = np.zeros(0, dtype=np.int64)
+    of = np.concatenate([none, *(x[0] for x in aligner.m.links)])
+    code = np.concatenate([none, *(x[1] for x in aligner.m.links)])
+    first = np.searchsorted(of, np.arange(len(aligner.m.number) + 1))
     codes, times = [], []
     for k, ok in enumerate(kept):
         segments, n = np.unique(np.array(numbers[start[k] : start[k + 1]] if ok else [], dtype=np.int64), return_counts=True)

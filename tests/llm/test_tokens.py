@@ -103,7 +103,7 @@ def test_corpus_matches_brute_force(spark, tools, corpus):
 def test_counts_of_a_memo_are_handed_over_once(tools):
     from barloom.llm import token_align
 
-    aligner = token_align.Aligner(TOKENIZERS, strings=False)
+    aligner = token_align.Aligner(TOKENIZERS)
     whole = [t for _, t in TEXTS if t]
     aligner.count(*aligner.numbers(whole))
     vector, code, total = aligner.counted()
@@ -111,7 +111,8 @@ def test_counts_of_a_memo_are_handed_over_once(tools):
     have = Counter({(int(c) >> 32, int(c) & 0xFFFFFFFF): int(n) for c, n in zip(code, total)})
     for k in vector.nonzero()[0]:
         have[int(k), int(aligner.v.identity[k])] += int(vector[k])
-    assert have == links and aligner.number == {}
+    assert have == links and not aligner.seen.any()
+    assert not any(x.size and x.any() for x in aligner.counted())
 
 
 def test_nothing_to_align(empty):
