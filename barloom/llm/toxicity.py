@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -251,6 +252,18 @@ class Restorer:
         return out if self.lexicon is None else out & self.lexicon
 
 
+_KEPT: dict[str, Restorer] = {}
+
+
+def restorer_of(key: str, model: np.ndarray, lexicon=None) -> Restorer:
+    """The worker's restorer of a run: what a token gives is worked out once for all its tasks."""
+    if key not in _KEPT:
+        while len(_KEPT) > 1:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = Restorer(model, lexicon)
+    return _KEPT[key]
+
+
 def _best(paths: list[tuple[float, int]]) -> list[tuple[float, int]]:
     if len(paths) == 1:
         return paths
@@ -277,10 +290,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def word_weights(docs: DataFrame, rows: DataFrame, model: np.ndarray, capacity: int = LEXICON) -> tuple[dict[str, float], float]:
     """Cautious log odds of restored words, and the log odds of the label itself; words are counted inside tasks first."""
-    texts = only(docs.select("doc_id", "text"), rows, "doc_id", "inner")
+    texts, key = only(docs.select("doc_id", "text"), rows, "doc_id", "inner"), uuid.uuid4().hex
 
     def run(batches):
-        restorer, counts = Restorer(model), {}
+        restorer, counts = restorer_of(key, model), {}
         for part in batches:
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
                 for word in restorer.words(text):
@@ -319,10 +332,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, capacity: int = LEXICON)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = language_model(rows)
     training = store(training_rows(rows, labels), "op10-training")
+    key = uuid.uuid4().hex
     weights, prior = word_weights(rows, training, model, capacity)
 
     def run(batches):
-        restorer = Restorer(model, frozenset(weights))
+        restorer = restorer_of(key, model, frozenset(weights))
         for batch in batches:
             scores, flags = [], []
             for text in batch.column("text").to_pylist():
