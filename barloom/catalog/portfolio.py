@@ -100,7 +100,7 @@ cte(
     "tilt_w",
     """SELECT day, symbol, ret, CASE WHEN ranked = present AND present >= 2 THEN weight * mult / sum(weight * mult) OVER (PARTITION BY day) ELSE weight END AS weight
        FROM (SELECT *, (0.5::DOUBLE + (rk - 1)::DOUBLE / nullif(present - 1, 0)) AS mult FROM (SELECT *, count(mom) OVER (PARTITION BY day) AS ranked, row_number() OVER (PARTITION BY day ORDER BY mom NULLS LAST, symbol) AS rk
-         FROM (SELECT *, CASE WHEN count(ret) OVER w >= 90 THEN product(1 + ret) OVER w - 1 END AS mom FROM iv_w WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING))))""",
+         FROM (SELECT *, CASE WHEN count(ret) OVER w >= 90 THEN round(product(1 + ret) OVER w - 1, 12) END AS mom FROM iv_w WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING))))""",
     "iv_w",
 )
 

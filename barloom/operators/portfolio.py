@@ -90,9 +90,13 @@ def tilt_multiplier(scored: DataFrame, keys: Sequence[str] = ("day",), max_tilt:
 
 
 def tilt(weighted: DataFrame) -> DataFrame:
-    """Apply the momentum tilt on days where every present symbol is ranked and there are at least two."""
+    """Apply the momentum tilt on days where every present symbol is ranked and there are at least two.
+
+    Momenta equal to 12 digits are ties, which the symbols' order decides:
+    sleeves in cash compound the same returns, but not to the same last bit.
+    """
     day = Window.partitionBy("day")
-    scored = tilt_multiplier(weighted.withColumn("mom", trailing_cum_return(TILT_ROWS)))
+    scored = tilt_multiplier(weighted.withColumn("mom", F.round(trailing_cum_return(TILT_ROWS), 12)))
     staged = scored.withColumns({"_all": F.count("mom").over(day) == F.count(F.lit(1)).over(day), "_w": F.col("weight") * F.col("multiplier")})
     tilted = F.col("_w") / F.sum("_w").over(day)
     active = F.col("_all") & (F.count(F.lit(1)).over(day) >= 2)
