@@ -205,7 +205,7 @@ def write_evidence(t: Tables) -> str:
     value = F.when(f.isin("torn_tail", "not_json"), F.substring(line, 1, 19)).otherwise(line)
     path = sinks.scratch(t.spark, "evidence")
     name = F.replace(F.col("tape"), F.lit("/"), F.lit("_"))
-    staged.select(name.alias("tape"), "day", value.alias("value")).repartition("tape").sortWithinPartitions("tape", "day").drop("day").write.partitionBy("tape").text(path)
+    sinks.write_lines(staged.select(name.alias("tape"), "day", value.alias("value")), "tape", "day", path)
     return path
 
 
@@ -285,7 +285,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Monthly tapes written as files; the archive is checked file by file against what was read."""
     source, path = sinks.scratch(t.spark, "mixed"), sinks.scratch(t.spark, "quarantine")
-    tape_lines(t).repartition("tape").sortWithinPartitions("tape", "seq").select("tape", "value").write.partitionBy("tape").text(source)
+    sinks.write_lines(tape_lines(t), "tape", "seq", source)
     lines = tapes.numbered_lines(t.spark, source).withColumn("tape", F.regexp_extract("file", r"tape=([^/]*)/", 1))
     parsed = tapes.parse_tape(lines, "seq bigint, cust bigint, price double", ["tape"])
     classified = parsed.select("tape", F.col("row.seq"), F.col("row.cust"), F.col("row.price"), F.when(F.col("corrupt"), "malformed").otherwise("verified").alias("verdict"))

@@ -40,6 +40,16 @@ def append_rows(new: DataFrame, path: str, keys: list[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
+def write_lines(lines: DataFrame, by: str, order: str, path: str) -> None:
+    """Text files of the column `value`, one file for each value of `by`, its lines by `order`.
+
+    Dealt by a hash of `by`: after a join on `by` itself a repartition by it is dropped from the plan, and where
+    that join turns into a broadcast at run time, the lines of a value stay spread over all tasks, a file in each.
+    """
+    dealt = lines.repartition(F.xxhash64(by)).sortWithinPartitions(by, order)
+    dealt.select(by, "value").write.partitionBy(by).text(path)
+
+
 def file_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of every file below a folder, a row per file that is not empty (of at most 2 GB), read by the tasks."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")

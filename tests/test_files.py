@@ -83,3 +83,21 @@ def test_a_tape_of_nothing(spark, tmp_path):
     assert tapes.read_tape(spark, str(tmp_path)).collect() == []
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tapes.read_tape(spark, str(tmp_path / "nowhere")).collect()
+
+
+def test_one_file_per_value_when_a_join_turns_into_a_broadcast(spark, tmp_path):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100k"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(0, 400_000, numPartitions=4).select((F.col("id") % 7).cast("string").alias("tape"), F.col("id").alias("seq"))
+        lines = rows.join(rows.groupBy("tape").agg(F.max("seq").alias("last")), "tape").withColumn("value", F.concat_ws("/", "seq", "last"))
+        sinks.write_lines(lines, "tape", "seq", str(tmp_path / "out"))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    for k in range(7):
+        (file,) = (tmp_path / "out" / f"tape={k}").glob("*.txt")
+        seqs = [int(line.split("/")[0]) for line in file.read_text().splitlines()]
+        assert seqs == list(range(k, 400_000, 7))
