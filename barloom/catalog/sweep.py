@@ -387,7 +387,7 @@ def _(t: Tables) -> DataFrame:
     turns = pt.weight_turnover(weights, report.days).agg(F.sum("turnover").alias("turns"))
     out = m.crossJoin(F.broadcast(turns))
     deltas = {f"delta_{c}": F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0.0)) for c in ("cagr", "sharpe")}
-    return out.withColumns(deltas).select("rung", "component", *[rd(c).alias(c) for c in COLS], rd("delta_cagr").alias("delta_cagr"), rd("delta_sharpe").alias("delta_sharpe"), rd(F.lit(-0.0015) * F.col("turns")).alias("cost_line"))
+    return out.withColumns(deltas).select("rung", "component", *[rd(c).alias(c) for c in COLS], rd("delta_cagr").alias("delta_cagr"), rd("delta_sharpe").alias("delta_sharpe"), pt.cost_line(F.col("turns")).alias("cost_line"))
 
 
 # ---------------------------------------------------------------- selection rules side by side

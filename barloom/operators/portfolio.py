@@ -10,6 +10,7 @@ most one row per symbol).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -195,3 +196,12 @@ def weight_turnover(weights: DataFrame, timeline: DataFrame) -> DataFrame:
     ).select("m._d", "m.c")
     total = moves.groupBy("_d").agg((F.sum("c") / 2).alias("turnover"))
     return cal.join(total, "_d", "left").select("day", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+
+
+def cost_line(turns: Column, rate: str = "0.0015") -> Column:
+    """Return lost to trading: -rate * turns to 6 digits, ties away from zero, in decimals.
+
+    Turnover is a sum of fractions 1/2n of at most 31 names, so at 9 digits it has no ties, and what the order of
+    the sum leaves in the last bits is gone before the tie at 6 digits is decided.
+    """
+    return F.round(F.lit(-Decimal(rate)) * turns.cast("decimal(24,9)"), 6).cast("double") + F.lit(0.0)

@@ -311,3 +311,10 @@ def test_a_blanked_link_is_an_edit(spark):
     df = spark.createDataFrame(rows, "id bigint, timestamp string, category string, cents bigint, accepted boolean, hash string, prev_hash string")
     out = {r["id"]: (r["gap"], r["regression"], r["edited"], r["broken_link"]) for r in audits.hash_chain(df, ordered.seq_chunk("id"), body()).collect()}
     assert out == {1: (False,) * 4, 2: (False,) * 4, 3: (False, False, True, False), 4: (False,) * 4}
+
+
+def test_cost_line_does_not_depend_on_the_order_of_the_sum(spark):
+    turns = [3.2849999999999997, 3.2850000000000006, 3.284999999999997, 0.0, 20.198232323232315]  # the first three: 3.285, summed in other orders
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(turns)], "i int, turns double")
+    got = [r[0] for r in df.orderBy("i").select(portfolio.cost_line(F.col("turns"))).collect()]
+    assert got == [-0.004928, -0.004928, -0.004928, 0.0, -0.030297]
