@@ -76,6 +76,20 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(made, 4, 85)
 
 
+def test_meeting_documents_tie_their_leaders_only(spark, monkeypatch):
+    """Documents that meet in many keys add no edge for each key they meet in, and the components stay the same."""
+    made, edges, plain = edited_copies(400, 130, 12, 6), {}, ngram_join.components
+
+    def counted(links, label):
+        edges[label] = links.count()
+        return plain(links, label)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    rows = ngram_jaccard_join(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(made, 4, 85)
+    assert edges["op1-clusters"] <= len(made)
+
+
 def test_join_along_chains(spark):
     """Neighbours link, ends do not: most links are found between members that no pivot reaches."""
     words = [f"w{k}" for k in range(900)]
