@@ -679,7 +679,7 @@ def fills(t: Tables) -> DataFrame:
     base = base.withColumns({"notional": F.round(F.abs("qty") * F.col("price"), 2), "fee": F.round(F.abs("qty") * F.col("price") * 0.001, 2)})
     base = base.withColumn("flow", F.round(F.when(F.col("side") == "BUY", -F.col("notional")).otherwise(F.col("notional")) - F.col("fee"), 2))
     cash = running_sum_split(base, ["account"], ["seq"], {"cash": "flow"}, seq_chunk("seq"))
-    both = running_sum_split(cash, ["account", "symbol"], ["seq"], {"position_after": "qty"}, seq_chunk("seq"))
+    both = running_sum_split(cash, ["account", "symbol"], ["seq"], {"position_after": "qty"}, seq_chunk("seq"), base)
     s = F.col("seq")
     after = F.round(F.lit(1e9) + F.col("cash"), 2)
     return both.select(
@@ -693,7 +693,7 @@ def fills(t: Tables) -> DataFrame:
 
 @query("au_running_balance", sql(f"SELECT symbol, problem, count(*) AS n FROM ({BALANCE}) GROUP BY 1, 2", "fills"))
 def _(t: Tables) -> DataFrame:
-    out = au.running_balance(fills(t), seq_chunk("seq"))
+    out = au.running_balance(t.keep("fills", lambda: fills(t)), seq_chunk("seq"))
     return out.select("symbol", F.explode("problems").alias("problem")).groupBy("symbol", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -25,52 +25,62 @@ def null_safe_join(rows: DataFrame, parts: DataFrame, by: list[str], how: str =
     return rows.join(named, same, how).drop(*[f"_j_{c}" for c in by])
 
 
+def _place(keys: list[str], chunk: Column) -> Column:
+    """(keys, chunk) as one key: a struct equals another with NULL in the same fields, so rows dealt and sorted for the
+    windows inside a chunk stay where they are when the chunk's carried value is joined to them."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk"))
+
+
+def _across(keys: list[str]):
+    """The chunks of a key in order, over rows with the column `_at`."""
+    return Window.partitionBy(*[F.col("_at")[f"k{i}"] for i in range(len(keys))] or [F.lit(0)]).orderBy(F.col("_at")["chunk"])
+
+
 def lag_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
     """lag(values) over (keys, order), computed chunk by chunk.
 
     `values` maps output names to source columns.  `chunk` must be
     non-decreasing in `order`.
     """
-    staged = df.withColumn("_chunk", chunk)
-    part = [*keys, "_chunk"]
-    inner = Window.partitionBy(*part).orderBy(*order)
+    staged = df.withColumn("_at", _place(keys, chunk))
+    inner = Window.partitionBy("_at").orderBy(*order)
     packed = F.struct(*[F.col(src).alias(name) for name, src in values.items()])
     carried = (
-        staged.groupBy(*part)
+        staged.groupBy("_at")
         .agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")))
+        .withColumn("_carry", F.lag("_last").over(_across(keys)))
         .drop("_last")
     )
     local = staged.withColumn("_lag", F.lag(packed).over(inner))
-    joined = null_safe_join(local, carried, part)
+    joined = local.join(carried, "_at")
     prior = F.coalesce(F.col("_lag"), F.col("_carry"))
     return joined.select(*df.columns, *[prior[name].alias(name) for name in values])
 
 
-def running_sum_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
-    """Inclusive running sums over (keys, order), computed chunk by chunk."""
-    staged = df.withColumn("_chunk", chunk)
-    part = [*keys, "_chunk"]
-    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    over_keys = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = over_keys.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = staged.groupBy(*part).agg(*[F.sum(src).alias(f"_t_{name}") for name, src in values.items()])
-    offsets = totals.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_o_{n}") for n in values])
-    local = staged.select("*", *[F.sum(src).over(inner).alias(f"_r_{name}") for name, src in values.items()])
-    joined = null_safe_join(local, offsets, part)
+def running_sum_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column, source: DataFrame | None = None) -> DataFrame:
+    """Inclusive running sums over (keys, order), computed chunk by chunk.
+
+    The totals of the chunks are taken from `source`, where the same rows are there before other steps.
+    """
+    place = _place(keys, chunk)
+    inner = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (df if source is None else source).groupBy(place.alias("_at")).agg(*[F.sum(src).alias(f"_t_{name}") for name, src in values.items()])
+    offsets = totals.select("_at", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_o_{n}") for n in values])
+    local = df.withColumn("_at", place).select("*", *[F.sum(src).over(inner).alias(f"_r_{name}") for name, src in values.items()])
+    joined = local.join(offsets, "_at")
     return joined.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
 
 
 def max_before_split(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
     """Largest value of all earlier rows over (keys, order), NULL where there is none, computed chunk by chunk."""
-    staged = df.withColumn("_chunk", chunk)
-    part = [*keys, "_chunk"]
-    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = staged.groupBy(*part).agg(*[F.max(src).alias(f"_t_{name}") for name, src in values.items()])
-    carried = tops.select(*part, *[F.max(f"_t_{n}").over(before).alias(f"_o_{n}") for n in values])
+    staged = df.withColumn("_at", _place(keys, chunk))
+    inner = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    tops = staged.groupBy("_at").agg(*[F.max(src).alias(f"_t_{name}") for name, src in values.items()])
+    carried = tops.select("_at", *[F.max(f"_t_{n}").over(before).alias(f"_o_{n}") for n in values])
     local = staged.select("*", *[F.max(src).over(inner).alias(f"_r_{name}") for name, src in values.items()])
-    joined = null_safe_join(local, carried, part)
+    joined = local.join(carried, "_at")
     return joined.select(*df.columns, *[F.greatest(f"_r_{n}", f"_o_{n}").alias(n) for n in values])
 
 
@@ -93,14 +103,13 @@ def asof_split(
     side = 0 if strict else 1  # at equal times, right rows must sort after (strict) or before (not strict)
     lhs = left.withColumn("_rank", F.lit(side)).withColumn("_pack", F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType))
     rhs = right.select(*keys, time, F.lit(1 - side).alias("_rank"), packed.alias("_pack"))
-    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col(time) / F.lit(bucket)).cast("bigint"))
-    part = [*keys, "_chunk"]
-    inner = Window.partitionBy(*part).orderBy(time, "_rank").rowsBetween(Window.unboundedPreceding, 0)
-    lasts = both.groupBy(*part).agg(
+    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_at", _place(keys, F.floor(F.col(time) / F.lit(bucket)).cast("bigint")))
+    inner = Window.partitionBy("_at").orderBy(time, "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = both.groupBy("_at").agg(
         F.max_by("_pack", F.when(F.col("_pack").isNotNull(), F.struct(time, "_rank"))).alias("_last")
     )
-    outer = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select(*part, F.last("_last", ignorenulls=True).over(outer).alias("_carry"))
+    outer = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select("_at", F.last("_last", ignorenulls=True).over(outer).alias("_carry"))
     local = both.withColumn("_seen", F.last("_pack", ignorenulls=True).over(inner)).where(F.col("_rank") == side)
     hit = F.coalesce(F.col("_seen"), F.col("_carry"))
-    return null_safe_join(local, carry, part).select(*left.columns, *[hit[v].alias(v) for v in values])
+    return local.join(carry, "_at").select(*left.columns, *[hit[v].alias(v) for v in values])

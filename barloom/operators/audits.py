@@ -164,9 +164,9 @@ def running_balance(fills: DataFrame, chunk: Column, keys: Sequence[str] = ("acc
     """Fill problems per row: side, cash continuity, notional, cash arithmetic, position continuity, duplicate key."""
     keys = list(keys)
     with_prev = lag_split(fills, keys, ["seq"], {"p_cash": "cash_after"}, chunk)
-    held = running_sum_split(with_prev, [*keys, "symbol"], ["seq"], {"position": "qty"}, chunk)
-    copies = fills.groupBy("idem_key").agg(F.min("seq").alias("_first"))
-    rows = null_safe_join(held, copies.where("idem_key is not null"), ["idem_key"], "left")  # fills without a key duplicate nothing
+    held = running_sum_split(with_prev, [*keys, "symbol"], ["seq"], {"position": "qty"}, chunk, fills)
+    copies = fills.groupBy("idem_key").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last")).where("idem_key is not null and _last > _first")
+    rows = held.join(copies.drop("_last"), "idem_key", "left")  # fills without a key duplicate nothing
     signed = F.when(F.col("side") == "BUY", -F.col("notional")).otherwise(F.col("notional")) - F.col("fee")
     expected = F.abs(F.col("qty")) * F.col("price")
     loose = F.greatest(F.lit(2e-5), F.lit(1e-9) * F.greatest(F.abs("notional"), F.abs(expected)))

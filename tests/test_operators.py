@@ -318,3 +318,20 @@ def test_cost_line_does_not_depend_on_the_order_of_the_sum(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(turns)], "i int, turns double")
     got = [r[0] for r in df.orderBy("i").select(portfolio.cost_line(F.col("turns"))).collect()]
     assert got == [-0.004928, -0.004928, -0.004928, 0.0, -0.030297]
+
+
+def test_chunked_helpers_move_rows_once(spark):
+    """Rows sorted for the windows inside the chunks are not dealt again for the join with what the chunks carry."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        df = spark.range(100).selectExpr("id % 3 k", "id i", "id * 1.0D v")
+        chunk = ordered.seq_chunk("i", 10)
+        for out in (ordered.lag_split(df, ["k"], ["i"], {"p": "v"}, chunk), ordered.running_sum_split(df, ["k"], ["i"], {"s": "v"}, chunk), ordered.max_before_split(df, ["k"], ["i"], {"m": "v"}, chunk)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= 4  # the rows; totals by chunk, across chunks and to the rows
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
