@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import ngram_join, suffix_dedup
-from barloom.llm.common import components, dense_rank, text_chunks, word_spans
+from barloom.llm.common import components, dense_rank, only, text_chunks, word_spans
 from barloom.llm.decontaminate import contaminated_pairs
 from barloom.llm.ngram_join import ngram_jaccard_join, part_keys, size_classes
 from barloom.llm.suffix_dedup import remove_repeats
@@ -90,6 +90,13 @@ def test_meeting_documents_tie_their_leaders_only(spark, monkeypatch):
     assert edges["op1-clusters"] <= len(made)
 
 
+def test_tables_are_sent_by_their_bytes(spark):
+    rows = spark.range(500_000).withColumnRenamed("id", "doc_id")
+    wide = rows.select("doc_id", *[F.lit(k).cast("long").alias(f"c{k}") for k in range(5)])
+    hinted = [("broadcast" in only(rows, keys, "doc_id", "inner")._jdf.queryExecution().logical().toString()) for keys in (rows, wide, wide.limit(1000))]
+    assert hinted == [True, False, True]
+
+
 def test_join_along_chains(spark):
     """Neighbours link, ends do not: most links are found between members that no pivot reaches."""
     words = [f"w{k}" for k in range(900)]
