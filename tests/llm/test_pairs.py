@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import ngram_join, suffix_dedup
+from barloom.llm import common, ngram_join, suffix_dedup
 from barloom.llm.common import components, dense_rank, only, text_chunks, word_spans
 from barloom.llm.decontaminate import contaminated_pairs
 from barloom.llm.ngram_join import ngram_jaccard_join, part_keys, size_classes
@@ -90,6 +90,21 @@ def test_meeting_documents_tie_their_leaders_only(spark, monkeypatch):
     assert edges["op1-clusters"] <= len(made)
 
 
+def test_long_tables_do_not_go_through_the_driver(spark, monkeypatch):
+    """Beyond a few rows, runs and tiles reach the sets by shuffle; the links stay the same."""
+    made = edited_copies(120, 130, 8, 3) | {2000 + k: t for k, t in edited_copies(60, 40, 3, 5).items()}
+    docs, sent, broadcast = spark.createDataFrame(list(made.items()), "doc_id long, text string"), [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append((len(df.columns), df.count())) or broadcast(df))
+    monkeypatch.setattr(ngram_join, "ROWS", 10, raising=False)
+    few = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()}
+    assert sent and all(rows <= 10 for columns, rows in sent if columns >= 4)
+    assert few == brute_components(made, 4, 85)
+    monkeypatch.setattr(common, "SENT", 0, raising=False)  # nor do keys
+    sent.clear()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()} == few
+    assert not any(rows for _, rows in sent)
+
+
 def test_tables_are_sent_by_their_bytes(spark):
     rows = spark.range(500_000).withColumnRenamed("id", "doc_id")
     wide = rows.select("doc_id", *[F.lit(k).cast("long").alias(f"c{k}") for k in range(5)])
